@@ -113,18 +113,23 @@ def build_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The long history as a table of this application, ordered by term so scans of a term skip data."""
-    return derived_table(
-        spark, "history", sf_dir, lambda: build_history(spark, sf_dir).sortWithinPartitions("strm", "emplid")
-    )
+def classed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long history with the class key, and grade points for enrolled rows only.
 
+    A table of this application, ordered by term so that scans of one term skip data.
+    """
 
-def classed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The long history with the class key, and grade points for enrolled rows only."""
-    hist = with_class_key(history(spark, sf_dir))
-    points = F.when(F.col("course_source") == "MU", F.col("unt_taken") * F.col("grd_pts_per_unit"))
-    return hist.withColumn("grade_points", points)
+    def build() -> DataFrame:
+        hist = with_class_key(build_history(spark, sf_dir))
+        points = F.when(F.col("course_source") == "MU", F.col("unt_taken") * F.col("grd_pts_per_unit"))
+        return hist.withColumn("grade_points", points).sortWithinPartitions("strm", "emplid")
+
+    return derived_table(spark, "history", sf_dir, build)
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long history as the fixture defines it."""
+    return classed_history(spark, sf_dir).drop("class", "grade_points")
 
 
 def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -132,18 +132,20 @@ def course_history_by_subject(
     return history.where(F.col("strm") >= fv.FIRST_TERM if terms is None else terms).distinct()
 
 
-def _student_terms(progress: DataFrame, cohort: DataFrame, plans, taken: DataFrame) -> DataFrame:
+def _student_terms(progress: DataFrame, cohort: DataFrame, plans, courses: DataFrame) -> DataFrame:
     """Progress rows of the cohort in the given plans, with the lifetime hours of each student.
 
-    Lifetime hours count only terms that have a course row, as they would over the joined rows.
-    Working them out here keeps the many course rows out of it.
+    Lifetime hours count only terms that have a course row, as a window over the joined rows
+    would. Working them out here, from the distinct terms of the courses, keeps the many course
+    rows out of a shuffle by student.
     """
     rows = restrict_to(progress.where(F.col("acad_plan").isin(*plans)), cohort)
-    rows = rows.select(
-        "emplid", "strm", "term", "acad_plan", "acad_subplan", "unt_taken_prgrss", "cum_gpa", "tot_cumulative"
+    taken = courses.select("emplid", "strm").distinct()
+    lifetime = (
+        restrict_to(rows, taken, ["emplid", "strm"]).groupBy("emplid").agg(F.max("tot_cumulative").alias("tot_hrs_life"))
     )
-    with_course = restrict_to(rows, taken.select("emplid", "strm").distinct(), ["emplid", "strm"])
-    return with_lifetime_max(with_course)
+    columns = ["emplid", "strm", "term", "acad_plan", "acad_subplan", "unt_taken_prgrss", "cum_gpa", "tot_cumulative"]
+    return rows.select(*columns).join(lifetime, "emplid")
 
 
 def _attach_admit(df: DataFrame, admissions: DataFrame, how: str) -> DataFrame:

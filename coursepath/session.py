@@ -15,6 +15,7 @@ _SKEW_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+_local_dirs: dict[str, str] = {}
 _derived: dict[tuple[str, str, str], tuple[str, object]] = {}
 
 
@@ -34,11 +35,12 @@ def shared_dir(spark: SparkSession) -> str | None:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        folder = tempfile.mkdtemp(prefix="coursepath-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    return None
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        return None
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="coursepath-")
+    return _local_dirs[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str | None:
