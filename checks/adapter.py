@@ -132,97 +132,113 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classed_history(spark, sf_dir).drop("class", "grade_points")
 
 
+class Sources(dict):
+    """The seven warehouse tables as views over the history, each built when first asked for."""
+
+    def __init__(self, hist: DataFrame):
+        super().__init__()
+        self._hist = hist
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = pad_to(_VIEWS[name](self._hist), SOURCE_SCHEMAS[name])
+        return self[name]
+
+
 def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The seven warehouse tables as views over the history."""
-    hist = history(spark, sf_dir)
-    number = F.col("emplid").cast("int")
-    business = F.col("acad_plan") != "OTHER"
-    enrolment = hist.where("course_source = 'MU'").select(
+    return Sources(history(spark, sf_dir))
+
+
+_NUMBER = "CAST(emplid AS INT)"
+
+
+def _enrolment(hist: DataFrame) -> DataFrame:
+    return hist.where("course_source = 'MU'").selectExpr(
         "emplid",
         "strm",
         "class_nbr",
-        F.when(F.col("l_linenumber") == 7, "D").otherwise("E").alias("stdnt_enrl_status"),
-        F.lit("ENRL").alias("enrl_status_reason"),
-        F.when(F.col("l_suppkey") % 10 == 0, "NON").otherwise("GRD").alias("grading_basis_enrl"),
-        F.when(F.col("l_suppkey") % 7 == 0, "NING")
-        .when(F.col("l_suppkey") % 7 != 1, "ORIG")
-        .alias("repeat_code"),
+        "IF(l_linenumber = 7, 'D', 'E') AS stdnt_enrl_status",
+        "'ENRL' AS enrl_status_reason",
+        "IF(l_suppkey % 10 = 0, 'NON', 'GRD') AS grading_basis_enrl",
+        "CASE WHEN l_suppkey % 7 = 0 THEN 'NING' WHEN l_suppkey % 7 <> 1 THEN 'ORIG' END AS repeat_code",
         "crse_grade_input",
-        F.col("crse_grade_input").alias("crse_grade_off"),
+        "crse_grade_input AS crse_grade_off",
         "grd_pts_per_unit",
         "unt_taken",
-        (F.col("unt_taken") * F.col("grd_pts_per_unit")).alias("grade_points"),
-        F.when(business, "BUSNU").otherwise("ARTSU").alias("acad_prog"),
+        "unt_taken * grd_pts_per_unit AS grade_points",
+        "IF(acad_plan = 'OTHER', 'ARTSU', 'BUSNU') AS acad_prog",
     )
-    class_dim = hist.select(
-        "class_nbr",
-        "strm",
-        "crse_id",
-        "subject",
-        "catalog_nbr",
-        F.when(F.col("subject").isin("ACCTCY", "MANGMT", "MRKTNG", "FINANC", "BUS_AD"), "CBUSN")
-        .otherwise("CARTS")
-        .alias("acad_group"),
-        F.concat(F.lit("T"), "strm").alias("strm_sdesc"),
-        F.concat("subject", F.lit(" "), "catalog_nbr").alias("subject_ldesc"),
-    ).distinct()
-    progress = hist.select(
-        "emplid",
-        "strm",
-        F.concat(F.lit("T"), "strm").alias("term"),
-        "acad_plan",
-        "acad_subplan",
-        "tot_cumulative",
-        F.lit(3.0).alias("cum_gpa"),
-        F.lit(15.0).alias("unt_taken_prgrss"),
-    ).distinct()
-    census = hist.select(
+
+
+def _class_dim(hist: DataFrame) -> DataFrame:
+    # Distinct on the source columns; the rest follows from them.
+    rows = hist.select("class_nbr", "strm", "crse_id", "subject", "catalog_nbr").distinct()
+    return rows.selectExpr(
+        "*",
+        "IF(subject IN ('ACCTCY', 'MANGMT', 'MRKTNG', 'FINANC', 'BUS_AD'), 'CBUSN', 'CARTS') AS acad_group",
+        "concat('T', strm) AS strm_sdesc",
+        "concat(subject, ' ', catalog_nbr) AS subject_ldesc",
+    )
+
+
+def _progress(hist: DataFrame) -> DataFrame:
+    rows = hist.select("emplid", "strm", "acad_plan", "acad_subplan", "tot_cumulative").distinct()
+    return rows.selectExpr("*", "concat('T', strm) AS term", "3.0D AS cum_gpa", "15.0D AS unt_taken_prgrss")
+
+
+def _census(hist: DataFrame) -> DataFrame:
+    rows = hist.selectExpr(
         "emplid",
         "strm",
-        F.lit("UGRD").alias("acad_career"),
-        F.when(number % 11 == 0, "N").otherwise("Y").alias("um_deg_seeking"),
-        F.when(business, "College of Business").otherwise("College of Arts").alias("um_acad_grp_descr"),
-        F.when(F.col("acad_plan") == "ACCT_BSACC", "BUSNU").otherwise("ARTSU").alias("um_acad_prog1"),
-        F.when(F.col("acad_plan") == "BUSAD_BSBA", "BUSNU").alias("um_acad_prog2"),
-        F.when(F.col("acad_plan") == "UNDEC_BUS", "BUSNU").alias("um_acad_prog3"),
+        "'UGRD' AS acad_career",
+        f"IF({_NUMBER} % 11 = 0, 'N', 'Y') AS um_deg_seeking",
+        "IF(acad_plan = 'OTHER', 'College of Arts', 'College of Business') AS um_acad_grp_descr",
+        "IF(acad_plan = 'ACCT_BSACC', 'BUSNU', 'ARTSU') AS um_acad_prog1",
+        "IF(acad_plan = 'BUSAD_BSBA', 'BUSNU', NULL) AS um_acad_prog2",
+        "IF(acad_plan = 'UNDEC_BUS', 'BUSNU', NULL) AS um_acad_prog3",
         "um_clevel_descr",
-        F.when(number % 13 != 0, (2300 + number % 97).cast("string")).alias("admit_term"),
-    ).distinct()
-    admissions = hist.select(
+        f"IF({_NUMBER} % 13 <> 0, CAST(2300 + {_NUMBER} % 97 AS STRING), NULL) AS admit_term",
+    )
+    return rows.distinct()
+
+
+def _admissions(hist: DataFrame) -> DataFrame:
+    rows = hist.selectExpr(
         "emplid",
-        F.when(~((number % 13 == 0) & (F.col("strm") > "2700")), F.col("strm")).alias("admit_term_rollup"),
-        F.lit("UGRD").alias("acad_career"),
-        F.lit("Y").alias("um_deg_seeking"),
-        F.when(number % 3 == 0, "TRE").otherwise("FTC").alias("admit_type"),
-        F.when(business, "CBUSN").otherwise("CARTS").alias("acad_group"),
-    ).distinct()
-    admissions = admissions.withColumn(
-        "admit_term_rollup_descrshort", F.concat(F.lit("T"), "admit_term_rollup")
+        f"IF({_NUMBER} % 13 = 0 AND strm > '2700', NULL, strm) AS admit_term_rollup",
+        "'UGRD' AS acad_career",
+        "'Y' AS um_deg_seeking",
+        f"IF({_NUMBER} % 3 = 0, 'TRE', 'FTC') AS admit_type",
+        "IF(acad_plan = 'OTHER', 'CARTS', 'CBUSN') AS acad_group",
     )
-    transfer = hist.where("course_source = 'TRANSFER'").select(
+    return rows.distinct().selectExpr("*", "concat('T', admit_term_rollup) AS admit_term_rollup_descrshort")
+
+
+def _transfer(hist: DataFrame) -> DataFrame:
+    return hist.where("course_source = 'TRANSFER'").selectExpr(
         "emplid",
         "crse_id",
-        F.col("strm").alias("articulation_term"),
-        F.when(F.col("l_linenumber") == 5, "N").when(F.col("l_linenumber") == 3, "P").otherwise("Y").alias("trnsfr_stat"),
-        F.when(F.col("l_suppkey") % 4 == 0, "D")
-        .when(F.col("l_suppkey") % 4 == 1, "A-")
-        .otherwise("B")
-        .alias("crse_grade_off"),
+        "strm AS articulation_term",
+        "CASE l_linenumber WHEN 5 THEN 'N' WHEN 3 THEN 'P' ELSE 'Y' END AS trnsfr_stat",
+        "CASE l_suppkey % 4 WHEN 0 THEN 'D' WHEN 1 THEN 'A-' ELSE 'B' END AS crse_grade_off",
     )
-    test_credit = hist.where("course_source = 'TEST'").select(
+
+
+def _test_credit(hist: DataFrame) -> DataFrame:
+    return hist.where("course_source = 'TEST'").selectExpr(
         "emplid",
         "crse_id",
-        F.col("strm").alias("articulation_term"),
-        F.when(F.col("l_linenumber") == 6, "N").otherwise("Y").alias("trnsfr_stat"),
-        F.lit("S").alias("crse_grade_off"),
+        "strm AS articulation_term",
+        "IF(l_linenumber = 6, 'N', 'Y') AS trnsfr_stat",
+        "'S' AS crse_grade_off",
     )
-    views = {
-        "census": census,
-        "enrolment": enrolment,
-        "class_dim": class_dim,
-        "progress": progress,
-        "admissions": admissions,
-        "transfer": transfer,
-        "test_credit": test_credit,
-    }
-    return {name: pad_to(view, SOURCE_SCHEMAS[name]) for name, view in views.items()}
+
+
+_VIEWS = {
+    "census": _census,
+    "enrolment": _enrolment,
+    "class_dim": _class_dim,
+    "progress": _progress,
+    "admissions": _admissions,
+    "transfer": _transfer,
+    "test_credit": _test_credit,
+}

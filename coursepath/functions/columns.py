@@ -44,11 +44,13 @@ def with_plan_flag(
 
 
 def coerce_number(text: Column) -> Column:
-    """Double, or NULL for anything that is not a number. NaN counts as missing."""
-    # The JVM parser also takes Java suffixes such as ``1d``; those are not numbers here.
-    java_suffix = text.rlike(r"[0-9.][dDfF]\s*$")
-    number = F.when(~java_suffix, text.try_cast("double"))
-    return F.when(~F.isnan(number), number)
+    """Double, or NULL for anything that is not a number. NaN counts as missing.
+
+    The pattern comes first because the JVM parser also takes Java suffixes such as ``1d``, and
+    raises an exception inside for every bad value.
+    """
+    number = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)\s*$"
+    return F.when(text.rlike(number), text.try_cast("double"))
 
 
 def strip_suffix(name: Column) -> Column:
