@@ -9,7 +9,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .. import fixed_values as fv
 from ..functions import pad_to
 from .cohort import earliest_admit
-from .keys import restrict_to
+from .keys import restrict_to, salted_join
 
 _ARM_SCHEMA = StructType(
     [
@@ -52,11 +52,11 @@ def with_lifetime_max(
 ) -> DataFrame:
     """Each student's maximum of ``column`` on every row.
 
-    Aggregate and join rather than a window: a student with very many rows is first reduced in
-    each task, and AQE can split such a student in the join. Student ids are not NULL.
+    Aggregate and join rather than a window: the maximum is taken in each task first, and the
+    rows of a student with very many are spread over tasks.
     """
     most = df.groupBy(student).agg(F.max(column).alias(out))
-    return df.join(most, student, "left")
+    return salted_join(df, most, student, "left").select(*df.columns, out)
 
 
 def _enrolled(enrolment: DataFrame, *, repeats: bool = True) -> DataFrame:
@@ -79,8 +79,8 @@ def _granted(credit: DataFrame, grades) -> DataFrame:
     return credit.where(kept).withColumnsRenamed({"articulation_term": "strm"})
 
 
-def _in_cohort(df: DataFrame, cohort: DataFrame | None) -> DataFrame:
-    return df if cohort is None else restrict_to(df, cohort)
+def _in_cohort(df: DataFrame, cohort: DataFrame | None, spread: list[str]) -> DataFrame:
+    return df if cohort is None else restrict_to(df, cohort, spread=spread)
 
 
 def course_history(
@@ -93,7 +93,7 @@ def course_history(
     catalog = course_catalog(src["class_dim"])
     classes = src["class_dim"].select("class_nbr", "strm", "crse_id", "subject", "catalog_nbr")
 
-    enrolled = _in_cohort(_enrolled(src["enrolment"]).where(F.col("strm") >= first_term), cohort)
+    enrolled = _in_cohort(_enrolled(src["enrolment"]).where(F.col("strm") >= first_term), cohort, ["strm", "class_nbr"])
     arms = [
         attach_class(enrolled, classes, "inner").withColumn("course_source", F.lit(fv.SOURCE_ENROLLED))
     ]
@@ -101,7 +101,7 @@ def course_history(
         ("transfer", fv.SOURCE_TRANSFER, fv.CREDIT_GRADES),
         ("test_credit", fv.SOURCE_TEST, None),
     ):
-        credit = _in_cohort(_granted(src[name], grades), cohort).join(catalog, "crse_id")
+        credit = _in_cohort(_granted(src[name], grades), cohort, ["strm", "crse_id"]).join(catalog, "crse_id")
         arms.append(
             credit.withColumn("course_source", F.lit(tag)).withColumn("grd_pts_per_unit", F.lit(fv.CREDIT_POINTS))
         )
@@ -132,27 +132,33 @@ def course_history_by_subject(
     return history.where(F.col("strm") >= fv.FIRST_TERM if terms is None else terms).distinct()
 
 
-def _student_terms(progress: DataFrame, cohort: DataFrame, plans, courses: DataFrame) -> DataFrame:
-    """Progress rows of the cohort in the given plans, with the lifetime hours of each student.
+_TERM_COLUMNS = [
+    "emplid", "strm", "term", "acad_plan", "acad_subplan", "unt_taken_prgrss", "cum_gpa",
+    "tot_cumulative", "um_clevel_descr",
+]
+
+
+def _student_terms(
+    rows: DataFrame, courses: DataFrame, cohort: DataFrame, admissions: DataFrame, admit: str
+) -> DataFrame:
+    """Progress rows of the cohort with lifetime hours and admit term. ``admit`` is the join type.
 
     Lifetime hours count only terms that have a course row, as a window over the joined rows
     would. Working them out here, from the distinct terms of the courses, keeps the many course
-    rows out of a shuffle by student.
+    rows out of a shuffle by student. What is known per student comes together first.
     """
-    rows = restrict_to(progress.where(F.col("acad_plan").isin(*plans)), cohort)
+    rows = rows.select(*_TERM_COLUMNS)
     taken = courses.select("emplid", "strm").distinct()
     lifetime = (
-        restrict_to(rows, taken, ["emplid", "strm"]).groupBy("emplid").agg(F.max("tot_cumulative").alias("tot_hrs_life"))
+        rows.join(taken, ["emplid", "strm"], "left_semi")
+        .groupBy("emplid")
+        .agg(F.max("tot_cumulative").alias("tot_hrs_life"))
     )
-    columns = ["emplid", "strm", "term", "acad_plan", "acad_subplan", "unt_taken_prgrss", "cum_gpa", "tot_cumulative"]
-    return rows.select(*columns).join(lifetime, "emplid")
-
-
-def _attach_admit(df: DataFrame, admissions: DataFrame, how: str) -> DataFrame:
     admits = earliest_admit(admissions).withColumnsRenamed(
         {"admit_term_rollup": "admit_term", "admit_term_rollup_descrshort": "admit_term_desc"}
     )
-    return df.join(admits, "emplid", how)
+    students = cohort.select("emplid").distinct().join(lifetime, "emplid").join(admits, "emplid", admit)
+    return salted_join(rows, students, "emplid", "inner", spread=["strm", "acad_plan", "acad_subplan"])
 
 
 def build_extract(
@@ -164,24 +170,19 @@ def build_extract(
     join, which also restricts them to the cohort.
     """
     courses = course_history(src, first_term=first_term)
-    terms = _student_terms(src["progress"], cohort, plans, courses)
-    terms = _attach_admit(terms, src["admissions"], "left")
     levels = src["census"].select("emplid", "strm", "um_clevel_descr")
-    terms = terms.join(levels, ["emplid", "strm"], "left")
+    rows = src["progress"].where(F.col("acad_plan").isin(*plans)).join(levels, ["emplid", "strm"], "left")
+    terms = _student_terms(rows, courses, cohort, src["admissions"], "left")
     return courses.join(terms, ["emplid", "strm"]).select(*EXTRACT_COLUMNS).distinct()
 
 
 def build_schedule(
     src: dict[str, DataFrame], cohort: DataFrame, plans=fv.EXTRACT_PLANS, levels=fv.UNDERGRAD_LEVELS
 ) -> DataFrame:
-    """The enrolled-only extract: every attribute is required, repeated rows are kept.
-
-    Lifetime hours look only at terms that reach the result.
-    """
+    """The enrolled-only extract: every attribute is required, repeated rows are kept."""
     classes = src["class_dim"].select("class_nbr", "strm", "subject", "catalog_nbr")
     courses = attach_class(_enrolled(src["enrolment"], repeats=False), classes, "inner")
     in_level = src["census"].where(F.col("um_clevel_descr").isin(*levels)).select("emplid", "strm", "um_clevel_descr")
-    progress = restrict_to(src["progress"], in_level, ["emplid", "strm"])
-    terms = _student_terms(progress, cohort, plans, courses)
-    terms = _attach_admit(terms, src["admissions"], "inner").join(in_level, ["emplid", "strm"])
+    rows = src["progress"].where(F.col("acad_plan").isin(*plans)).join(in_level, ["emplid", "strm"])
+    terms = _student_terms(rows, courses, cohort, src["admissions"], "inner")
     return courses.join(terms, ["emplid", "strm"]).select(*SCHEDULE_COLUMNS)

@@ -6,24 +6,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def restrict_to(df: DataFrame, keys: DataFrame, on: str | list[str] = "emplid") -> DataFrame:
+# Copies of a lookup that the rows of one key are spread over.
+SALTS = 8
+
+
+def _listed(on: str | list[str]) -> list[str]:
+    return [on] if isinstance(on, str) else list(on)
+
+
+def salted_join(
+    df: DataFrame, lookup: DataFrame, on: str | list[str], how: str, *, spread=None, salts: int = SALTS
+) -> DataFrame:
+    """Join many rows to a lookup of few rows per key when one key may hold much of ``df``.
+
+    Each row takes a salt from its ``spread`` columns (all but the key by default) and meets one
+    of ``salts`` copies of the lookup, so a hot key is split. A lookup that comes from an
+    aggregate is already partitioned by its key, and AQE leaves such joins alone; the salt gives
+    both sides their own shuffle, so AQE can split the hot key further. ``how`` keeps the rows of
+    ``df``: inner, left, left_semi or left_anti.
+    """
+    keys = _listed(on)
+    mix = list(spread) if spread is not None else [c for c in df.columns if c not in keys]
+    salt = F.pmod(F.xxhash64(*mix), F.lit(salts)).cast("int") if mix else F.lit(0)
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def restrict_to(df: DataFrame, keys: DataFrame, on: str | list[str] = "emplid", *, spread=None) -> DataFrame:
     """Rows whose key occurs in ``keys``."""
-    return df.join(keys, on, "left_semi")
+    return salted_join(df, keys.select(*_listed(on)).distinct(), on, "left_semi", spread=spread)
 
 
-def exclude(df: DataFrame, keys: DataFrame, on: str | list[str] = "emplid") -> DataFrame:
+def exclude(df: DataFrame, keys: DataFrame, on: str | list[str] = "emplid", *, spread=None) -> DataFrame:
     """Rows whose key does not occur in ``keys``."""
-    return df.join(keys, on, "left_anti")
+    return salted_join(df, keys.select(*_listed(on)).distinct(), on, "left_anti", spread=spread)
 
 
 def common_keys(a: DataFrame, b: DataFrame, on: str = "emplid") -> DataFrame:
-    """Distinct keys found on both sides."""
-    return a.select(on).intersect(b.select(on))
+    """Distinct keys found on both sides. Each side is made distinct in its tasks first."""
+    return a.select(on).distinct().join(b.select(on).distinct(), on, "left_semi")
 
 
 def keys_only_in(a: DataFrame, b: DataFrame, on: str = "emplid") -> DataFrame:
     """Distinct keys of ``a`` not found in ``b``."""
-    return a.select(on).subtract(b.select(on))
+    return a.select(on).distinct().join(b.select(on).distinct(), on, "left_anti")
 
 
 def first_per_key(df: DataFrame, keys: list[str], tiebreak: list[str]) -> DataFrame:

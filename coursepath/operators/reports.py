@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..sources.local import local_table
-from .keys import restrict_to
 
 
 def _waiting() -> Column:
@@ -195,6 +194,10 @@ def overlap_report(
     return with_row_total(rows, groups, "total_unique") if exclusive else rows
 
 
-def level_counts_of(df: DataFrame, students: DataFrame, levels=fv.REPORT_LEVELS) -> DataFrame:
+def level_counts_of(
+    df: DataFrame, students: DataFrame, levels=fv.REPORT_LEVELS, level: str = "um_clevel_descr"
+) -> DataFrame:
     """Distinct students per level among a given set of students."""
-    return students_by_level(restrict_to(df, students), levels)
+    seen = df.where(F.col(level).isin(*levels)).select(F.col(level).alias("level"), "emplid").distinct()
+    chosen = seen.join(students.select("emplid").distinct(), "emplid", "left_semi")
+    return complete_levels(chosen.groupBy("level").agg(F.count(F.lit(1)).alias("students")), levels)

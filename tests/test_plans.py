@@ -46,7 +46,7 @@ def test_counter_shuffles_rows_once_and_then_only_student_terms(spark, sf_dir, n
     exchanges = operators(df, "Exchange hashpartitioning")
     assert [re.search(r"\(([^)]*)", e).group(1).count("#") for e in exchanges] == [1, 2]
     assert not operators(df, "SortAggregate") and not operators(df, "ObjectHashAggregate")
-    assert len(operators(df, "Sort ")) == 1
+    assert len(operators(df, "Sort")) == 1
 
 
 def test_status_aggregates_before_each_shuffle(spark, sf_dir, no_broadcast):
