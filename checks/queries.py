@@ -196,6 +196,12 @@ def attach_class(spark, sf_dir):
     return history.attach_class(rows, classes)
 
 
+@query
+def class_fan_out(spark, sf_dir):
+    """Class numbers that recur across terms, so that a join without the term would multiply rows."""
+    return keys.repeated_keys(sources(spark, sf_dir)["class_dim"], ["class_nbr"])
+
+
 @query
 def course_catalog(spark, sf_dir):
     return history.course_catalog(sources(spark, sf_dir)["class_dim"])
@@ -389,6 +395,11 @@ def student_matrix(spark, sf_dir):
     return _matrix(spark, sf_dir)
 
 
+@query
+def student_matrix_v1(spark, sf_dir):
+    return eligibility.student_matrix_v1(classed_history(spark, sf_dir), last_term=LAST_TERM)
+
+
 @query
 def student_wide(spark, sf_dir):
     return status.to_wide(_matrix(spark, sf_dir), TARGETS, _base(spark, sf_dir))

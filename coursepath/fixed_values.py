@@ -53,6 +53,14 @@ BASE_COLUMNS_V1 = (
     "emplid", "strm", "term", "admit_term", "admit_term_desc", "um_clevel_descr",
     "acad_prog", "acad_plan", "acad_subplan", "cum_gpa", "tot_cumulative", "tot_hrs_life",
 )
+# Column names of the older wide table: target and the hours by which it is usually taken
+WIDE_COLUMNS_V1 = (
+    "ECONOM_1014_28", "BUS_AD_1500_28", "ENGLISH_1000_28",
+    "ECONOM_1015_40", "BUS_AD_2500_40", "ACCTCY_2036_40",
+    "ACCTCY_2037_50", "ACCTCY_2258_50", "MANGMT_3000_50", "MANGMT_3540_50",
+    "STAT_2500_60", "ECONOM_3229_60", "ECONOM_3251_60", "MRKTNG_3000_60",
+    "FINANC_3000_64",
+)
 # Census listing
 CENSUS_LISTING_COLUMNS = (
     "emplid", "um_acad_grp_descr", "um_acad_org_descr", "institution", "acad_career",

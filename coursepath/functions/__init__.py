@@ -5,6 +5,7 @@ from .columns import (
     coerce_number,
     level_or_label,
     normalise_headers,
+    not_nan,
     pad_to,
     strip_suffix,
     suffix_of,
@@ -19,6 +20,7 @@ __all__ = [
     "coerce_number",
     "level_or_label",
     "normalise_headers",
+    "not_nan",
     "pad_to",
     "strip_suffix",
     "suffix_of",

@@ -53,6 +53,11 @@ def coerce_number(text: Column) -> Column:
     return F.when(text.rlike(number), text.try_cast("double"))
 
 
+def not_nan(number: Column) -> Column:
+    """NaN as NULL. Spark sorts NaN above every number, so an unchecked NaN would pass as large."""
+    return F.when(~F.isnan(number), number)
+
+
 def strip_suffix(name: Column) -> Column:
     """Drop the part after the last underscore: ``BUS_AD_1500_28`` -> ``BUS_AD_1500``."""
     return F.when(name.contains("_"), F.regexp_extract(name, r"^(.*)_[^_]*$", 1)).otherwise(name)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from ..functions import not_nan
 from ..sources.local import local_table
 from .bits import BitIndex
 from .rules import CURRENT_RULES, Rule, V1_RULES
@@ -23,11 +24,11 @@ def term_summary(
     courses = list(dict.fromkeys(courses))
     listed = F.when(F.col("class").isin(*courses), F.col("class"))
     return df.groupBy("emplid", "strm").agg(
-        F.max("tot_cumulative").alias("max_hours"),
+        F.max(not_nan(F.col("tot_cumulative"))).alias("max_hours"),
         F.max(flag).alias("flag"),
         F.array_sort(F.collect_set(F.upper("um_clevel_descr"))).alias("levels"),
         F.array_sort(F.collect_set(listed)).alias("classes_taken"),
-        F.array_sort(F.collect_set(F.when(F.col(points) > 0, listed))).alias("classes_passed"),
+        F.array_sort(F.collect_set(F.when(not_nan(F.col(points)) > 0, listed))).alias("classes_passed"),
     )
 
 
@@ -89,6 +90,7 @@ def _student_terms(
     Everything has a fixed width, so each task combines its rows by hash before the shuffle, and a
     student with very many rows arrives as one row per term.
     """
+    # One row per course named in the rules: the rule set itself is on the driver.
     rows = df.join(F.broadcast(plan.vocabulary(df.sparkSession)), "class", "left")
     level = F.upper("um_clevel_descr")
     has_level = plan.levels.gather({v: level == v for v in plan.levels.names}, "level")
@@ -96,7 +98,7 @@ def _student_terms(
     rows = rows.select(
         "emplid",
         "strm",
-        F.col("tot_cumulative").alias("hours"),
+        not_nan(F.col("tot_cumulative")).alias("hours"),
         (F.col(flag) if needs_flag else F.lit(0)).cast("int").alias("flag"),
         base_flag(last_term, base).alias("in_base"),
         *has_level,
@@ -169,7 +171,7 @@ def counts_wide(
     Counting is one pass over the student's terms in order.
     """
     plan = _Plan(rules)
-    terms = _student_terms(df, plan, F.col(points) > 0, F.lit(True), flag, last_term, base)
+    terms = _student_terms(df, plan, not_nan(F.col(points)) > 0, F.lit(True), flag, last_term, base)
     terms = _eligible_rows(terms, plan)
     skipped = F.lit(False) if skip_suffix is None else F.col("strm").endswith(skip_suffix)
     later = F.col("nth") > 1
@@ -206,7 +208,7 @@ def counts_wide_v1(
     take both mean points of at least 0. The first term and summers count too.
     """
     plan = _Plan(rules)
-    usable = F.col(points) >= 0
+    usable = not_nan(F.col(points)) >= 0
     flag_term = last_term if base is None else None
     terms = _student_terms(df, plan, usable, usable, "bus_maj", flag_term, base)
     terms = _eligible_rows(terms, plan)
@@ -263,13 +265,29 @@ def student_matrix(
     member = {"last_term": last_term, "base": base}
     status = status_wide(df, targets, mode=mode, tiebreak=tiebreak, points=points, **member)
     counts = counts_wide(df, rules, skip_suffix=skip_suffix, points=points, **member)
-    return status.join(counts, "emplid").select(
-        "emplid",
-        long_rows(
-            targets,
-            {
-                "status": {t: F.col("s_" + t) for t in targets},
-                "sem_eli": {t: F.col("e_" + t) for t in targets},
-            },
-        ),
-    )
+    return _matrix(status, counts, targets)
+
+
+def student_matrix_v1(
+    df: DataFrame,
+    rules=V1_RULES,
+    *,
+    last_term: str,
+    base: DataFrame | None = None,
+    points: str = "grd_pts_per_unit",
+    pass_points: str = "grade_points",
+) -> DataFrame:
+    """The older matrix: sticky status with the older counter."""
+    targets = list(dict.fromkeys(r.target for r in rules))
+    member = {"last_term": last_term if base is None else None, "base": base}
+    status = status_wide(df, targets, mode="sticky", points=points, **member)
+    counts = counts_wide_v1(df, rules, last_term=last_term, base=base, points=pass_points)
+    return _matrix(status, counts, targets)
+
+
+def _matrix(status: DataFrame, counts: DataFrame, targets) -> DataFrame:
+    cells = {
+        "status": {t: F.col("s_" + t) for t in targets},
+        "sem_eli": {t: F.col("e_" + t) for t in targets},
+    }
+    return status.join(counts, "emplid").select("emplid", long_rows(targets, cells))

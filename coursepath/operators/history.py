@@ -162,27 +162,42 @@ def _student_terms(
 
 
 def build_extract(
-    src: dict[str, DataFrame], cohort: DataFrame, plans=fv.EXTRACT_PLANS, first_term: str = fv.FIRST_TERM
+    src: dict[str, DataFrame],
+    cohort: DataFrame,
+    plans=fv.EXTRACT_PLANS,
+    first_term: str = fv.FIRST_TERM,
+    *,
+    ordered: bool = False,
 ) -> DataFrame:
     """The full extract: course history with progress, earliest admit term and class level.
 
     The student-term attributes are put together first; the course rows then meet them in one
-    join, which also restricts them to the cohort.
+    join, which also restricts them to the cohort. ``ordered`` sorts by student and term.
     """
     courses = course_history(src, first_term=first_term)
     levels = src["census"].select("emplid", "strm", "um_clevel_descr")
     rows = src["progress"].where(F.col("acad_plan").isin(*plans)).join(levels, ["emplid", "strm"], "left")
     terms = _student_terms(rows, courses, cohort, src["admissions"], "left")
-    return courses.join(terms, ["emplid", "strm"]).select(*EXTRACT_COLUMNS).distinct()
+    extract = courses.join(terms, ["emplid", "strm"]).select(*EXTRACT_COLUMNS).distinct()
+    return extract.orderBy("emplid", "strm") if ordered else extract
 
 
 def build_schedule(
-    src: dict[str, DataFrame], cohort: DataFrame, plans=fv.EXTRACT_PLANS, levels=fv.UNDERGRAD_LEVELS
+    src: dict[str, DataFrame],
+    cohort: DataFrame,
+    plans=fv.EXTRACT_PLANS,
+    levels=fv.UNDERGRAD_LEVELS,
+    *,
+    ordered: bool = False,
 ) -> DataFrame:
-    """The enrolled-only extract: every attribute is required, repeated rows are kept."""
+    """The enrolled-only extract: every attribute is required, repeated rows are kept.
+
+    ``ordered`` sorts by student and term.
+    """
     classes = src["class_dim"].select("class_nbr", "strm", "subject", "catalog_nbr")
     courses = attach_class(_enrolled(src["enrolment"], repeats=False), classes, "inner")
     in_level = src["census"].where(F.col("um_clevel_descr").isin(*levels)).select("emplid", "strm", "um_clevel_descr")
     rows = src["progress"].where(F.col("acad_plan").isin(*plans)).join(in_level, ["emplid", "strm"])
     terms = _student_terms(rows, courses, cohort, src["admissions"], "inner")
-    return courses.join(terms, ["emplid", "strm"]).select(*SCHEDULE_COLUMNS)
+    schedule = courses.join(terms, ["emplid", "strm"]).select(*SCHEDULE_COLUMNS)
+    return schedule.orderBy("emplid", "strm") if ordered else schedule

@@ -64,6 +64,11 @@ def first_per_key(df: DataFrame, keys: list[str], tiebreak: list[str]) -> DataFr
     return first.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
 
 
+def repeated_keys(df: DataFrame, keys: list[str], out: str = "n") -> DataFrame:
+    """Keys with more than one row: a join on them would multiply rows."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)).where(F.col(out) > 1)
+
+
 def value_counts(df: DataFrame, column: str, out: str = "n") -> DataFrame:
     """How often each value occurs."""
     return df.groupBy(column).agg(F.count(F.lit(1)).alias(out))

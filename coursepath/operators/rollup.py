@@ -12,6 +12,7 @@ CLASS_COLUMNS = [
     "strm", "term", "acad_group", "acad_group_ldesc", "subject", "catalog_nbr", "class_nbr",
     "session_code", "class_section", "class_ldesc",
 ]
+CLASS_ORDER = ["strm", "subject", "catalog_nbr", "class_section"]
 
 
 def _class_attributes(class_dim: DataFrame) -> DataFrame:
@@ -30,6 +31,7 @@ def class_rollup(
         attach_class(rows.select("emplid", "strm", "class_nbr", "unt_taken"), classes, "inner")
         .groupBy(*CLASS_COLUMNS)
         .agg(F.countDistinct("emplid").alias("enrl_tot"), F.sum("unt_taken").alias("tot_credits"))
+        .orderBy(*CLASS_ORDER)
     )
 
 
@@ -40,7 +42,7 @@ def student_classes(
     rows = _enrolled(enrolment, repeats=False).where(F.col("strm") == term)
     if emplid is not None:
         rows = rows.where(F.col("emplid") == emplid)
-    return attach_class(rows, _class_attributes(class_dim), "inner").distinct()
+    return attach_class(rows, _class_attributes(class_dim), "inner").distinct().orderBy(*CLASS_ORDER)
 
 
 def latest_description(

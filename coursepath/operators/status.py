@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from ..functions import not_nan
 from .keys import first_per_key
 
 
@@ -21,7 +22,7 @@ def status_code(mode: str = "latest", points: str = "grd_pts_per_unit", grade: s
     ``latest``: a failing grade counts as done, anything without points as attempted.
     ``sticky``: zero points is attempted; rows without usable points are NULL.
     """
-    p = F.col(points)
+    p = not_nan(F.col(points))
     if mode == "latest":
         failed = (p == 0) & (F.upper(F.col(grade)) == fv.FAIL_GRADE)
         return F.when((p > 0) | failed, 2).otherwise(1)
@@ -107,17 +108,23 @@ def course_status(df: DataFrame, targets, **options) -> DataFrame:
 
 
 def to_wide(
-    matrix: DataFrame, targets, base: DataFrame | None = None, *, count_suffix: str = "_SEM_ELI"
+    matrix: DataFrame,
+    targets,
+    base: DataFrame | None = None,
+    *,
+    names: dict[str, str] | None = None,
+    count_suffix: str = "_SEM_ELI",
 ) -> DataFrame:
     """One row per student, a column per target and, if the matrix has counters, one per counter.
 
-    ``base`` puts its columns in front.
+    ``base`` puts its columns in front; ``names`` gives targets another column name.
     """
     columns = []
     for t in targets:
-        columns.append(F.max(F.when(F.col("target") == t, F.col("status"))).alias(t))
+        name, mine = (names or {}).get(t, t), F.col("target") == t
+        columns.append(F.max(F.when(mine, F.col("status"))).alias(name))
         if "sem_eli" in matrix.columns:
-            columns.append(F.max(F.when(F.col("target") == t, F.col("sem_eli"))).alias(t + count_suffix))
+            columns.append(F.max(F.when(mine, F.col("sem_eli"))).alias(name + count_suffix))
     wide = matrix.groupBy("emplid").agg(*columns)
     return wide if base is None else base.join(wide, "emplid", "left").na.fill(0, subset=wide.columns[1:])
 

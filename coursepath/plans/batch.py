@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from .. import fixed_values as fv
 from ..functions import with_class_key, with_plan_flag
 from ..operators.cohort import census_cohort
-from ..operators.eligibility import student_matrix
+from ..operators.eligibility import student_matrix, student_matrix_v1
 from ..operators.history import build_extract
 from ..operators.reports import (
     eligibility_stats,
@@ -57,6 +57,15 @@ def eligibility_batch(
         matrix.unpersist()
 
 
+def eligibility_batch_v1(history: DataFrame, term: str, out: str, *, tiebreak=(), columns=fv.BASE_COLUMNS_V1) -> None:
+    """Write the older wide table as CSV: sticky status, the older counter, suffixed column names."""
+    history = with_class_key(history, default="")
+    names = {name.rsplit("_", 1)[0]: name for name in fv.WIDE_COLUMNS_V1}
+    base = student_base(history, term, columns, tiebreak)
+    matrix = student_matrix_v1(history, last_term=term)
+    write_csv(to_wide(matrix, list(names), base, names=names), out)
+
+
 def crosstab_batch(history: DataFrame, term: str, out: str) -> None:
     """Write the level counts, the subplan overlap, and the plan and subplan tables as CSV."""
     a, b = fv.TAIL_SUBPLANS

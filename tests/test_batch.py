@@ -1,9 +1,9 @@
 from pyspark.sql import functions as F
 
 from checks.adapter import FIRST_TERM, LAST_TERM, REFERENCE_TERM, history, sources
-from coursepath.fixed_values import BASE_COLUMNS
+from coursepath.fixed_values import BASE_COLUMNS, BASE_COLUMNS_V1, WIDE_COLUMNS_V1
 from coursepath.operators.rules import CURRENT_RULES
-from coursepath.plans import crosstab_batch, eligibility_batch, extract_batch
+from coursepath.plans import crosstab_batch, eligibility_batch, eligibility_batch_v1, extract_batch
 from coursepath.sources import read_history
 
 
@@ -32,6 +32,11 @@ def test_extract_feeds_the_eligibility_job(spark, sf_dir, tmp_path):
         n = lists.where(F.col("target") == target).count()
         assert n == int(stats[target]["elig_never_enrolled"])
 
+    eligibility_batch_v1(extract, REFERENCE_TERM, str(tmp_path / "v1"), tiebreak=tiebreak)
+    v1 = read(spark, str(tmp_path / "v1"))
+    assert v1.columns == list(BASE_COLUMNS_V1) + [c for n in WIDE_COLUMNS_V1 for c in (n, n + "_SEM_ELI")]
+    assert v1.count() == students
+
 
 def test_crosstab_job(spark, sf_dir, tmp_path):
     crosstab_batch(history(spark, sf_dir), LAST_TERM, str(tmp_path))

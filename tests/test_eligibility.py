@@ -1,9 +1,16 @@
 import pytest
-from coursepath.operators.eligibility import eligible_terms, eligible_terms_v1, student_matrix, term_summary
+
+from coursepath.operators.eligibility import (
+    eligible_terms,
+    eligible_terms_v1,
+    student_matrix,
+    student_matrix_v1,
+    term_summary,
+)
 from coursepath.operators.rules import ARCHIVED_RULES, CURRENT_RULES, Rule, V1_RULES
 
 from .data import by_student, frame, random_histories, row
-from .walk import count_current, count_v1, status_latest
+from .walk import count_current, count_v1, status_latest, status_sticky
 
 OPEN = Rule("ENGLISH_1000", condreq=0)
 RULES = CURRENT_RULES + (OPEN, Rule("NOPE_1000"))
@@ -84,6 +91,25 @@ def test_matrix_has_status_and_counter_of_the_same_students(spark):
         assert (r.status, r.sem_eli) == (status_latest(mine, r.target), count_current(rules[r.target], mine))
 
 
+def test_v1_matrix(spark):
+    rows = random_histories(200, COURSES, seed=15)
+    got = student_matrix_v1(frame(spark, rows), last_term=LAST).collect()
+    students = {s: m for s, m in by_student(rows).items() if any(x["strm"] == LAST for x in m)}
+    rules = {r.target: r for r in V1_RULES}
+    assert len(got) == len(students) * len(rules)
+    for r in got:
+        mine = students[r.emplid]
+        assert (r.status, r.sem_eli) == (status_sticky(mine, r.target), count_v1(rules[r.target], mine, LAST))
+
+
+def test_nan_counts_as_missing(spark):
+    nan = float("nan")
+    rows = [row("s", "5227", "A_1000", nan, hours=nan), row("s", "5243", "B_1000", hours=10)]
+    rules = [Rule("T_1000", min_hours=45), Rule("U_1000", clauses=(("A_1000",),)), Rule("A_1000", condreq=0)]
+    got = {r.target: (r.status, r.sem_eli) for r in student_matrix(frame(spark, rows), rules, last_term="5243").collect()}
+    assert got == {"T_1000": (0, 0), "U_1000": (0, 0), "A_1000": (1, 0)}
+
+
 def test_base_keeps_students_without_history(spark):
     df = frame(spark, term_rows([("5227", 30), ("5243", 40)]))
     base = spark.createDataFrame([("s",), ("absent",)], "emplid string")

@@ -16,7 +16,15 @@ from coursepath.operators.history import (
     course_history_by_subject,
     with_lifetime_max,
 )
-from coursepath.operators.keys import common_keys, exclude, first_per_key, keys_only_in, restrict_to
+from coursepath.operators.keys import (
+    common_keys,
+    exclude,
+    first_per_key,
+    keys_only_in,
+    repeated_keys,
+    restrict_to,
+    salted_join,
+)
 from coursepath.operators.rollup import class_rollup, student_classes
 from coursepath.sources import SOURCE_SCHEMAS
 
@@ -263,6 +271,27 @@ def test_keys(spark):
     assert rows_of(common_keys(a, b)) == [("1",)] and rows_of(keys_only_in(a, b)) == [("2",)]
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_equals_the_plain_join(spark, how):
+    df = spark.createDataFrame([(k, n) for k in ("1", "1", "2", None) for n in range(40)], "emplid string, n int")
+    lookup = spark.createDataFrame([("1", "a"), ("1", "b"), ("3", "c"), (None, "d")], "emplid string, v string")
+    assert rows_of(salted_join(df, lookup, "emplid", how)) == rows_of(df.join(lookup, "emplid", how))
+    assert rows_of(salted_join(df, lookup, ["emplid"], how, spread=["n"], salts=3)) == rows_of(df.join(lookup, "emplid", how))
+
+
+def test_repeated_keys(spark):
+    df = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "a")], "emplid string, v string")
+    assert rows_of(repeated_keys(df, ["emplid"])) == [("1", 2)]
+
+
+def test_ordered_extract(src):
+    cohort = src["census"].select("emplid")
+    rows = [(r.emplid, r.strm) for r in build_extract(src, cohort, first_term="0000", ordered=True).collect()]
+    assert rows == sorted(rows) and rows
+    rows = [(r.emplid, r.strm) for r in build_schedule(src, cohort, ordered=True).collect()]
+    assert rows == sorted(rows) and rows
+
+
 def test_lifetime_max_ignores_missing_hours(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", None)], "emplid string, tot_cumulative double")
     assert rows_of(with_lifetime_max(df)) == [("a", 1.0, 1.0), ("a", None, 1.0), ("b", None, None)]
