@@ -2,13 +2,12 @@
 
 Bit sets have a fixed width, so Spark aggregates them by hash with partial results in each task,
 and a running OR over terms stays inside code generation. Lists longer than one word use more columns.
+Expressions are SQL text: rule sets give many small ones, and text reaches the JVM in one call.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +15,16 @@ from pyspark.sql import functions as F
 WORD = 62
 
 
+def quoted(text: str) -> str:
+    """``text`` as a SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def named(column: str) -> str:
+    """``column`` as a SQL identifier."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 class BitIndex:
     """Gives each name of a list a word and a bit."""
 
@@ -38,27 +47,20 @@ class BitIndex:
     def columns(self, prefix: str) -> list[str]:
         return [f"{prefix}{w}" for w in self.words]
 
-    def meets(self, prefix: str, names: Iterable[str]) -> Column:
-        """Whether the set in the ``prefix`` columns contains any of ``names``."""
-        tests = [
-            F.col(column).bitwiseAND(F.lit(mask)) != 0
-            for column, mask in zip(self.columns(prefix), self.mask(names))
-            if mask
-        ]
-        return reduce(or_, tests, F.lit(False))
+    def meets(self, prefix: str, names: Iterable[str]) -> str:
+        """SQL: whether the set in the ``prefix`` columns contains any of ``names``."""
+        pairs = zip(self.columns(prefix), self.mask(names))
+        return "(" + " OR ".join(f"({column} & {mask}L) <> 0" for column, mask in pairs if mask) + ")"
 
     def has(self, prefix: str, name: str) -> Column:
         """1 if ``name`` is in the set in the ``prefix`` columns, else 0."""
         word, bit = self._at[name]
-        return F.getbit(F.col(f"{prefix}{word}"), F.lit(bit)).cast("int")
+        return F.expr(f"CAST(getbit({prefix}{word}, {bit}) AS INT)")
 
-    def gather(self, conditions: dict[str, Column], prefix: str) -> list[Column]:
-        """Columns holding the set of names whose condition is true."""
-        words: list[list[Column]] = [[] for _ in self.words]
+    def gather(self, conditions: dict[str, str], prefix: str) -> list[Column]:
+        """Columns holding the set of names whose SQL condition is true."""
+        words: list[list[str]] = [["0L"] for _ in self.words]
         for name, condition in conditions.items():
             word, bit = self._at[name]
-            words[word].append(F.when(condition, F.lit(1 << bit)).otherwise(F.lit(0)).cast("long"))
-        return [
-            reduce(Column.bitwiseOR, parts, F.lit(0).cast("long")).alias(column)
-            for parts, column in zip(words, self.columns(prefix))
-        ]
+            words[word].append(f"IF({condition}, {1 << bit}L, 0L)")
+        return [F.expr(" | ".join(parts)).alias(column) for parts, column in zip(words, self.columns(prefix))]

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import not_nan
 from ..sources.local import local_table
-from .bits import BitIndex
+from .bits import BitIndex, quoted
 from .rules import CURRENT_RULES, Rule, V1_RULES
 from .status import base_flag, in_base, long_rows, status_wide
 
@@ -61,17 +58,17 @@ class _Plan:
                 table[column] = pa.array([m[w] for m in masks], pa.int64())
         return local_table(spark, **table)
 
-    def condition(self, rule: Rule) -> Column:
-        """Whether the rule holds with the data of this term and the passes up to it."""
+    def condition(self, rule: Rule) -> str:
+        """SQL: whether the rule holds with the data of this term and the passes up to it."""
         parts = []
         if rule.min_hours is not None:
-            parts.append(F.col("hours") >= rule.min_hours)
+            parts.append(f"hours >= {float(rule.min_hours)!r}D")
         if rule.levels:
             parts.append(self.levels.meets("level", rule.levels))
         if rule.need_flag:
-            parts.append(F.col("flag") == 1)
+            parts.append("flag = 1")
         parts += [self.courses.meets("have", clause) for clause in rule.clauses]
-        return reduce(and_, parts) if parts else F.lit(False)
+        return " AND ".join(parts) or "FALSE"
 
 
 def _or_over(columns: list[str], frame, out: list[str]) -> list[Column]:
@@ -92,8 +89,7 @@ def _student_terms(
     """
     # One row per course named in the rules: the rule set itself is on the driver.
     rows = df.join(F.broadcast(plan.vocabulary(df.sparkSession)), "class", "left")
-    level = F.upper("um_clevel_descr")
-    has_level = plan.levels.gather({v: level == v for v in plan.levels.names}, "level")
+    is_level = {v: f"upper(um_clevel_descr) = {quoted(v)}" for v in plan.levels.names}
     needs_flag = any(r.need_flag for r in plan.rules.values())
     rows = rows.select(
         "emplid",
@@ -101,7 +97,7 @@ def _student_terms(
         not_nan(F.col("tot_cumulative")).alias("hours"),
         (F.col(flag) if needs_flag else F.lit(0)).cast("int").alias("flag"),
         base_flag(last_term, base).alias("in_base"),
-        *has_level,
+        *plan.levels.gather(is_level, "level"),
         *[F.when(taken, F.col(f"is_{c}")).alias(c) for c in plan.targets.columns("target")],
         *[F.when(passed, F.col(f"is_{c}")).alias(c) for c in plan.courses.columns("course")],
     )
@@ -233,7 +229,7 @@ def counts_wide_v1(
 
 def _long_counts(wide: DataFrame) -> DataFrame:
     targets = [c[2:] for c in wide.columns if c != "emplid"]
-    return wide.select("emplid", long_rows(targets, {"sem_eli": {t: F.col("e_" + t) for t in targets}}))
+    return wide.select("emplid", long_rows(targets, {"sem_eli": "e_"}))
 
 
 def eligible_terms(df: DataFrame, rules=CURRENT_RULES, **options) -> DataFrame:
@@ -286,8 +282,5 @@ def student_matrix_v1(
 
 
 def _matrix(status: DataFrame, counts: DataFrame, targets) -> DataFrame:
-    cells = {
-        "status": {t: F.col("s_" + t) for t in targets},
-        "sem_eli": {t: F.col("e_" + t) for t in targets},
-    }
-    return status.join(counts, "emplid").select("emplid", long_rows(targets, cells))
+    cells = long_rows(targets, {"status": "s_", "sem_eli": "e_"})
+    return status.join(counts, "emplid").select("emplid", cells)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import not_nan
+from .bits import named, quoted
 from .keys import first_per_key
 
 
@@ -31,16 +32,15 @@ def status_code(mode: str = "latest", points: str = "grd_pts_per_unit", grade: s
     raise ValueError(f"unknown mode: {mode}")
 
 
-def long_rows(targets, values: dict[str, dict[str, Column]]) -> Column:
-    """Explode wide target columns into rows ``(target, value...)``, one per target."""
-    return F.inline(
-        F.array(
-            *[
-                F.struct(F.lit(t).alias("target"), *[by_target[t].alias(name) for name, by_target in values.items()])
-                for t in targets
-            ]
-        )
-    )
+def long_rows(targets, prefixes: dict[str, str]) -> Column:
+    """Explode wide target columns into rows: ``target`` and, per name, the ``<prefix><target>`` column."""
+    rows = [
+        "named_struct('target', "
+        + ", ".join([quoted(t), *[f"{quoted(name)}, {named(prefix + t)}" for name, prefix in prefixes.items()]])
+        + ")"
+        for t in targets
+    ]
+    return F.expr(f"inline(array({', '.join(rows)}))")
 
 
 def in_base(df: DataFrame, base: DataFrame | None) -> DataFrame:
@@ -95,7 +95,7 @@ def status_wide(
     per_target = rows.groupBy("emplid", "target").agg(last.alias("status"), F.max("in_base").alias("in_base"))
     per_student = per_target.groupBy("emplid").agg(
         F.max("in_base").alias("in_base"),
-        *[F.max(F.when(F.col("target") == t, F.col("status"))).alias(prefix + t) for t in targets],
+        *[F.expr(f"max(IF(target = {quoted(t)}, status, NULL))").alias(prefix + t) for t in targets],
     )
     return in_base(per_student, base).na.fill(0, subset=[prefix + t for t in targets])
 
@@ -104,7 +104,7 @@ def course_status(df: DataFrame, targets, **options) -> DataFrame:
     """``(emplid, target, status)`` for every base student and target. Options as for ``status_wide``."""
     wide = status_wide(df, targets, **options)
     targets = list(dict.fromkeys(targets))
-    return wide.select("emplid", long_rows(targets, {"status": {t: F.col("s_" + t) for t in targets}}))
+    return wide.select("emplid", long_rows(targets, {"status": "s_"}))
 
 
 def to_wide(
@@ -119,12 +119,12 @@ def to_wide(
 
     ``base`` puts its columns in front; ``names`` gives targets another column name.
     """
-    columns = []
+    columns, has_counts = [], "sem_eli" in matrix.columns
     for t in targets:
-        name, mine = (names or {}).get(t, t), F.col("target") == t
-        columns.append(F.max(F.when(mine, F.col("status"))).alias(name))
-        if "sem_eli" in matrix.columns:
-            columns.append(F.max(F.when(mine, F.col("sem_eli"))).alias(name + count_suffix))
+        name, mine = (names or {}).get(t, t), f"target = {quoted(t)}"
+        columns.append(F.expr(f"max(IF({mine}, status, NULL))").alias(name))
+        if has_counts:
+            columns.append(F.expr(f"max(IF({mine}, sem_eli, NULL))").alias(name + count_suffix))
     wide = matrix.groupBy("emplid").agg(*columns)
     return wide if base is None else base.join(wide, "emplid", "left").na.fill(0, subset=wide.columns[1:])
 

@@ -181,3 +181,11 @@ def test_term_summary(spark):
     (found,) = term_summary(frame(spark, rows), ["A_1000", "B_1000"]).collect()
     assert (found.max_hours, found.flag, found.levels) == (6.0, 1, ["SENIOR"])
     assert (found.classes_taken, found.classes_passed) == (["A_1000", "B_1000"], ["B_1000"])
+
+
+def test_names_with_quotes(spark):
+    odd = "O'BRIENS\\_1000"
+    rule = Rule(odd, levels=("IT'S",))
+    rows = [row("s", "5227", "A_1000", level="it's"), row("s", "5243", odd)]
+    got = student_matrix(frame(spark, rows), [rule], last_term="5243").collect()
+    assert [tuple(r) for r in got] == [("s", odd, 2, 1)]
