@@ -8,15 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coursepath import fixed_values as fv
-from coursepath.functions import (
-    class_key,
-    coerce_number,
-    level_or_label,
-    normalise_headers,
-    strip_suffix,
-    suffix_of,
-    with_plan_flag,
-)
+from coursepath import functions as fx
 from coursepath.operators import cohort, eligibility, history, keys, reports, rollup, rules, status
 from coursepath.session import scratch_path, tune
 from coursepath.sources import export_eligible, preview, read_history, read_rules, write_csv
@@ -84,7 +76,7 @@ def history_csv_round_trip(spark, sf_dir):
     path = scratch_path(spark, "history-csv")
     if path is None:
         return hist
-    write_csv(normalise_headers(hist, "upper"), path)
+    write_csv(fx.normalise_headers(hist, "upper"), path)
     back = read_history(spark, path, "csv", extra=TIEBREAK)
     return back.select(*columns, *[F.col(c).cast("long").alias(c) for c in TIEBREAK])
 
@@ -269,7 +261,7 @@ def student_classes(spark, sf_dir):
 
 
 @query
-def class_keys(spark, sf_dir):
+def class_key(spark, sf_dir):
     parts = long_history(spark, sf_dir).select(*TIEBREAK, "subject", "catalog_nbr")
     # Also a long number and one without digits.
     odd = F.when(F.col("l_linenumber") == 1, F.concat(F.lit("9"), "catalog_nbr")).when(
@@ -277,24 +269,24 @@ def class_keys(spark, sf_dir):
     )
     return parts.select(
         *TIEBREAK,
-        class_key(F.col("subject"), F.col("catalog_nbr")).alias("class"),
-        class_key(F.col("subject"), odd, "XXXX").alias("odd_class"),
+        fx.class_key(F.col("subject"), F.col("catalog_nbr")).alias("class"),
+        fx.class_key(F.col("subject"), odd, "XXXX").alias("odd_class"),
     )
 
 
 @query
-def class_suffixes(spark, sf_dir):
+def strip_suffix(spark, sf_dir):
     name = F.concat("class", F.lit("_"), F.col("l_linenumber").cast("string"))
     hist = classed_history(spark, sf_dir).select(name.alias("column_name")).distinct()
     return hist.select(
         "column_name",
-        strip_suffix(F.col("column_name")).alias("class"),
-        suffix_of(F.col("column_name")).alias("suffix"),
+        fx.strip_suffix(F.col("column_name")).alias("class"),
+        fx.suffix_of(F.col("column_name")).alias("suffix"),
     )
 
 
 @query
-def coerced_points(spark, sf_dir):
+def coerce_points(spark, sf_dir):
     number = F.col("l_linenumber").cast("string")
     text = (
         F.when(F.col("l_suppkey") % 4 == 0, F.concat(number, F.lit(".25")))
@@ -302,7 +294,7 @@ def coerced_points(spark, sf_dir):
         .when(F.col("l_suppkey") % 4 == 2, F.concat(number, F.lit(" pts")))
     )
     rows = _table(spark, sf_dir, "lineitem").select(*TIEBREAK, text.alias("points_text"))
-    return rows.select(*TIEBREAK, coerce_number(F.col("points_text")).alias("points"))
+    return rows.select(*TIEBREAK, fx.coerce_number(F.col("points_text")).alias("points"))
 
 
 @query
@@ -310,13 +302,13 @@ def level_labels(spark, sf_dir):
     src = sources(spark, sf_dir)
     census = src["census"].where("um_deg_seeking = 'Y'").select("emplid", "strm", "um_clevel_descr")
     rows = src["progress"].select("emplid", "strm", "acad_subplan").join(census, ["emplid", "strm"], "left")
-    return rows.select("emplid", "strm", "acad_subplan", level_or_label(F.col("um_clevel_descr")).alias("student_level"))
+    return rows.select("emplid", "strm", "acad_subplan", fx.level_or_label(F.col("um_clevel_descr")).alias("student_level"))
 
 
 @query
 def plan_flags(spark, sf_dir):
     progress = sources(spark, sf_dir)["progress"].select("emplid", "strm", "acad_plan", "acad_subplan")
-    return with_plan_flag(progress)
+    return fx.with_plan_flag(progress)
 
 
 # Status and eligibility
@@ -349,7 +341,7 @@ def taken_targets(spark, sf_dir):
 
 
 @query
-def status_value_counts(spark, sf_dir):
+def value_counts(spark, sf_dir):
     statuses = _statuses(spark, sf_dir).where("target = 'ACCTCY_2036'")
     return keys.value_counts(statuses, "status")
 
