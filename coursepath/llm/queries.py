@@ -3,12 +3,55 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursepath.llm import simhash_trie
-from coursepath.llm.tables import read
+from coursepath.llm import decontamination, packing, simhash_trie, surrogates, token_cache, toxicity
+from coursepath.llm.tables import new_path, read
+
+PII_PARAMS = surrogates.SurrogateParams(key="key-of-the-checks")
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the best window for each item."""
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text after replacement. A real run takes its key from the operator, not from code."""
+    docs = read(spark, sf_dir, "documents")
+    return surrogates.replace_pii(docs, PII_PARAMS, count="n_entities").select("doc_id", "text", "n_entities")
+
+
+def _is_held_out():
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+
+
+def op4_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(
+        read(spark, sf_dir, "documents").select("doc_id", "text"),
+        read(spark, sf_dir, "labels").where(~_is_held_out()),
+    )
+    return scored.select(
+        "doc_id",
+        _is_held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op7_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts with a cache of its own, empty at first, so that each call encodes all distinct texts."""
+    definition = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+    counts = token_cache.count_tokens(read(spark, sf_dir, "documents"), definition, new_path(spark, "token_cache"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
 
 
 def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +62,10 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_pii_surrogates": op2_pii_surrogates,
+    "op4_toxicity_trees": op4_toxicity_trees,
+    "op7_token_cache": op7_token_cache,
+    "op8_packing": op8_packing,
     "op10_simhash_trie": op10_simhash_trie,
 }
