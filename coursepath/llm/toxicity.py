@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -48,7 +49,7 @@ class ToxicityParams:
     max_labelled: int = 12_000  # labelled rows to learn from, about; all if there are fewer
     max_lexicon: int = 2_000  # entries of a lexicon, the most telling ones
     min_support: int = 4  # toxic texts that must hold an entry
-    trees: int = 30
+    trees: int = 20
     depth: int = 4
     seed: int = 7
 
@@ -196,7 +197,6 @@ def score_toxicity(
     texts get a score like any other. Without labels of both kinds, every score is the smoothed share of toxic
     labels. Every row stays, with all its columns.
     """
-    spark = docs.sparkSession
     sample = training_sample(docs, labels, params)
     kinds = {r.toxic: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
@@ -206,21 +206,26 @@ def score_toxicity(
     known = stored(
         with_features(sample, lexicons, "text", "fold").select("features", F.col("toxic").cast("double").alias("label"), "fold"),
         "toxicity_features",
-    ).withColumn("features", array_to_vector("features"))
+    )
+    # The bounded sample is small: two tasks a step keep the many steps of the fit short.
+    known = known.withColumn("features", array_to_vector("features")).coalesce(2).cache()
     trees = GBTClassifier(
-        maxIter=params.trees, maxDepth=params.depth, stepSize=0.2, minInstancesPerNode=5, subsamplingRate=0.8, seed=params.seed
+        maxIter=params.trees, maxDepth=params.depth, stepSize=0.25, minInstancesPerNode=5, subsamplingRate=0.8, seed=params.seed
     )
-    # Calibrated on a fold that its trees haven't seen; the trees in use are then grown on all rows.
-    seen, unseen = known.where("fold > 0"), known.where("fold = 0")
-    if min(part.select("label").distinct().count() for part in (seen, unseen)) < 2:
-        seen = unseen = known
     margin = lambda model, df, raw: model.transform(df).withColumn(free, vector_to_array(raw)[1])
-    names = [free_name(docs, c) for c in ("features", "raw_prediction", "probability", "prediction", "calibrated")]
     free = free_name(docs, "margin")
-    smooth = IsotonicRegression(labelCol="label", featuresCol=free).fit(margin(trees.fit(seen), unseen, "rawPrediction"))
+    # Calibrated on each fold by trees that haven't seen it; the trees in use are then grown on all rows.
+    unseen = []
+    for fold in range(_FOLDS):
+        rest, own = known.where(F.col("fold") != fold), known.where(F.col("fold") == fold)
+        fit_on = rest if rest.select("label").distinct().count() == 2 else known
+        unseen.append(margin(trees.fit(fit_on), own, "rawPrediction").select(free, "label"))
+    smooth = IsotonicRegression(labelCol="label", featuresCol=free).fit(reduce(DataFrame.unionByName, unseen))
+    final = trees.fit(known)
+    known.unpersist()
+    names = [free_name(docs, c) for c in ("features", "raw_prediction", "probability", "prediction", "calibrated")]
     smooth = smooth.setPredictionCol(names[4])
-    model = trees.fit(known).setFeaturesCol(names[0]).setRawPredictionCol(names[1])
-    model = model.setProbabilityCol(names[2]).setPredictionCol(names[3])
+    model = final.setFeaturesCol(names[0]).setRawPredictionCol(names[1]).setProbabilityCol(names[2]).setPredictionCol(names[3])
     ready = with_features(docs, lexicons, "text", out=names[0]).withColumn(names[0], array_to_vector(names[0]))
     scored = smooth.transform(margin(model, ready, names[1]))
     # Rows on one step of the isotonic fit still rank by their margin.
