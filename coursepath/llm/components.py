@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coursepath.llm.tables import stored
 
 
+def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The least position that each of ``n`` positions reaches through the links."""
+    root = np.arange(n)
+    for i, j in links:
+        while True:
+            i, j = root[i], root[j]
+            apart = i != j
+            if not apart.any():
+                break
+            i, j = i[apart], j[apart]
+            np.minimum.at(root, np.maximum(i, j), np.minimum(i, j))
+            while (up := root[root]).tobytes() != root.tobytes():
+                root = up
+    return root
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

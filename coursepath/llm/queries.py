@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursepath.llm import decontamination, packing, simhash_trie, surrogates, token_cache, toxicity
+from coursepath.llm import decontamination, embedding_pq, packing, simhash_trie, surrogates, token_cache, toxicity
 from coursepath.llm.tables import new_path, read
 
 PII_PARAMS = surrogates.SurrogateParams(key="key-of-the-checks")
@@ -43,6 +43,11 @@ def op4_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_pq.near_duplicates(read(spark, sf_dir, "embeddings")).withColumnRenamed("component", "component_id")
+    return found.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op7_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts with a cache of its own, empty at first, so that each call encodes all distinct texts."""
     definition = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_pii_surrogates": op2_pii_surrogates,
     "op4_toxicity_trees": op4_toxicity_trees,
+    "op5_embedding_pq": op5_embedding_pq,
     "op7_token_cache": op7_token_cache,
     "op8_packing": op8_packing,
     "op10_simhash_trie": op10_simhash_trie,

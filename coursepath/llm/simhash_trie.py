@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coursepath.llm.components import connected_components
+from coursepath.llm.components import connected_components, forest
 from coursepath.llm.tables import stored, text_or_empty
 
 _BITS = 64
@@ -172,22 +172,6 @@ def linked(a: np.ndarray, b: np.ndarray | None, radius: int = 3) -> Iterator[tup
             stack.append((depth + 1, *(v[at : at + _FRONTIER] for v in joined)))
 
 
-def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The least position that each of ``n`` positions reaches through the links."""
-    root = np.arange(n)
-    for i, j in links:
-        while True:
-            i, j = root[i], root[j]
-            apart = i != j
-            if not apart.any():
-                break
-            i, j = i[apart], j[apart]
-            np.minimum.at(root, np.maximum(i, j), np.minimum(i, j))
-            while (up := root[root]).tobytes() != root.tobytes():
-                root = up
-    return root
-
-
 def _join_unit(radius: int):
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         sides = [np.sort(np.concatenate([np.asarray(x, np.int64) for x in rows.fps[rows.side == s]] or [np.empty(0, np.int64)]).view(np.uint64)) for s in (0, 1)]

@@ -141,6 +141,9 @@ def _surrogate(params: SurrogateParams) -> Column:
     card = F.concat(F.substring(canon, F.lit(1), F.lit(1)), F.substring(shaped, F.lit(2), F.length(canon) - 2))
     check = F.pmod(10 - _luhn(F.concat(card, F.lit("0"))), F.lit(10))
     last = F.when(_luhn(canon) == 0, check).otherwise(F.pmod(check + 1 + _number(F.lit(60)) % 9, F.lit(10)))
+    # The exchange 555 marks a number as fictional; it stays as long as free numbers are found.
+    area, line = F.substring(shaped, F.lit(1), F.lit(3)), F.substring(shaped, F.lit(7), F.lit(4))
+    fictional = (kind == "phone") & canon.rlike(r"^\d{3}555\d{4}$") & (attempt < params.longer_after)
     private = F.regexp_extract("canon", r"^(10\.|127\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)", 1)
     octets = F.concat_ws(".", (_number(F.lit(0)) % 191 + 11).cast("string"), *((_number(F.lit(k)) % 254 + 1).cast("string") for k in (1, 2, 3)))
     kept = F.size(F.split(private, r"\.")) - 1
@@ -149,6 +152,7 @@ def _surrogate(params: SurrogateParams) -> Column:
     made = lambda script, n: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(F.array(*map(F.lit, SYLLABLES[script])), _number(i) % len(SYLLABLES[script]) + 1)), "")
     longer = F.greatest(F.lit(0), attempt - params.longer_after)
     out = F.when(kind == "card", F.concat(card, last.cast("string"))).when(kind == "ip", ip)
+    out = out.when(fictional, F.concat(area, F.lit("555"), line))
     out = out.when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), hexa)
     out = out.when(kind.isin("local", "domain"), F.concat(shaped, F.substring(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.chr(_number(i + 70) % 26 + 97)), ""), F.lit(1), longer)))
     for script in SYLLABLES:
