@@ -1,3 +1,88 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express. Parameters are written out, not imported."""
 
-ORACLES: dict[str, str] = {}
+_URL_PARTS = r"""
+parts as (
+    select page_id, url, case when instr(url, '://') > 0 then substring(url, instr(url, '://') + 3) else '' end as rest from pages
+),
+placed as (
+    select page_id, url,
+        coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+        coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path,
+        coalesce(case when instr(url, '://') > 0 then rest else url end, '') as body
+    from parts
+),
+rules(rule, action, rhost, rpath) as (
+    values ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'),
+        ('example.org/en/1', 'block', 'example.org', '/en/1'), ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/')
+),
+ruled as (
+    select p.*, r.rule, r.action,
+        '^^^' || regexp_replace(
+            translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^a-z0./\-_?=&%#]', '~', 'g'
+        ) || '$' as s,
+        substring(md5(coalesce(url, '')), 1, 1) in ('0', '1', '2') as held
+    from placed p left join lateral (
+        select rule, action from rules
+        where (p.host = rhost or ends_with(p.host, '.' || rhost)) and starts_with(p.path, rpath)
+        order by length(rule) desc limit 1
+    ) r on true
+)
+"""
+
+# Both models side by side, as rows of a model column; each order's probability builds on the shorter one.
+_URL_MODEL = r"""
+texts as (select s, action, held, count(*) as n from ruled group by all),
+at4 as (select s, action, held, n, unnest([substring(s, i, 4) for i in range(1, length(s) - 2)]) as g from texts),
+models(m) as (values ('allow'), ('block')),
+grams as (
+    select m, g, coalesce(sum(n) filter (action = m and not held), 0) as n from at4, models group by m, g
+),
+o0 as (select m, g, n, (sum(n) over (partition by m, g[4:4]) + 1) / (sum(n) over (partition by m) + 39.0) as p from grams),
+{orders}
+model as (
+    select a.g, ln(a.p) - ln(b.p) as d from o3 a join o3 b using (g) where a.m = 'allow' and b.m = 'block'
+),
+scores as (
+    select s, sum(d) / count(*) as score
+    from (select s, unnest([substring(s, i, 4) for i in range(1, length(s) - 2)]) as g from (select distinct s from texts)) join model using (g)
+    group by s
+),
+bins as (
+    select greatest(-500, least(500, floor(score * 100))) as step, coalesce(sum(n) filter (action = 'allow'), 0) as a, coalesce(sum(n) filter (action = 'block'), 0) as b
+    from texts join scores using (s) where held and action is not null group by 1
+),
+tries as (
+    select t, sum(case when step >= t then a else 0 end) * (select sum(b) from bins) + sum(case when step < t then b else 0 end) * (select sum(a) from bins) as good
+    from range(-500, 501) r(t), bins group by t
+),
+bar as (
+    select case when (select sum(a) from bins) > 0 and (select sum(b) from bins) > 0
+        then (select t / 100.0 from tries order by good desc, abs(t), t limit 1) else 0 end as bar
+)
+"""
+
+_ORDER = """
+k{o} as (
+    select m, g, n, p, sum(n) over (partition by m, g[{a}:4]) as k, sum(n) over (partition by m, g[{a}:3]) as seen from o{q}
+),
+d{o} as (select m, g[{a}:3] as h, count(distinct g[{a}:4]) as kinds from k{o} where k > 0 group by 1, 2),
+o{o} as (
+    select k.m, g, n, case when seen > 0 then (k + coalesce(kinds, 0) * p) / (seen + coalesce(kinds, 0)) else p end as p
+    from k{o} k left join d{o} d on d.m = k.m and d.h = k.g[{a}:3]
+),
+"""
+
+OP3 = (
+    "with "
+    + _URL_PARTS
+    + ","
+    + _URL_MODEL.replace("{orders}", "".join(_ORDER.format(o=o, q=o - 1, a=4 - o) for o in (1, 2, 3)))
+    + """
+select page_id, host, path, rule, coalesce(action, case when score >= bar then 'allow' else 'block' end) as verdict
+from ruled join scores using (s), bar
+"""
+)
+
+ORACLES: dict[str, str] = {
+    "op3_url_models": OP3,
+}

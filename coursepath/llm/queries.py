@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursepath.llm import decontamination, embedding_pq, packing, simhash_trie, surrogates, token_cache, toxicity
+from coursepath.llm import decontamination, embedding_pq, licenses, masked_lm, packing, simhash_trie, surrogates, token_cache, toxicity, url_filter
 from coursepath.llm.tables import new_path, read
 
 PII_PARAMS = surrogates.SurrogateParams(key="key-of-the-checks")
@@ -43,11 +43,28 @@ def op4_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [
+    url_filter.UrlRule("allow", "org/"),
+    url_filter.UrlRule("block", "example.org/es/"),
+    url_filter.UrlRule("block", "example.org/en/1"),
+    url_filter.UrlRule("allow", "com/fr/"),
+    url_filter.UrlRule("block", "com/de/"),
+]
+
+
+def op3_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embedding_pq.near_duplicates(read(spark, sf_dir, "embeddings")).withColumnRenamed("component", "component_id")
     return found.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op6_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op7_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts with a cache of its own, empty at first, so that each call encodes all distinct texts."""
     definition = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
@@ -59,6 +76,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op9_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return masked_lm.score_documents(docs, masked_lm.train_masked_lm(docs))
+
+
 def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_trie.simhash_groups(read(spark, sf_dir, "documents"))
     return groups.select(
@@ -69,9 +91,12 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_pii_surrogates": op2_pii_surrogates,
+    "op3_url_models": op3_url_models,
     "op4_toxicity_trees": op4_toxicity_trees,
     "op5_embedding_pq": op5_embedding_pq,
+    "op6_license_dice": op6_license_dice,
     "op7_token_cache": op7_token_cache,
     "op8_packing": op8_packing,
+    "op9_masked_lm": op9_masked_lm,
     "op10_simhash_trie": op10_simhash_trie,
 }
