@@ -26,18 +26,18 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_pii(docs, PII_PARAMS, count="n_entities").select("doc_id", "text", "n_entities")
 
 
-def _is_held_out():
+def is_held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
 
 
 def op4_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(
         read(spark, sf_dir, "documents").select("doc_id", "text"),
-        read(spark, sf_dir, "labels").where(~_is_held_out()),
+        read(spark, sf_dir, "labels").where(~is_held_out()),
     )
     return scored.select(
         "doc_id",
-        _is_held_out().alias("held_out"),
+        is_held_out().alias("held_out"),
         "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
     )

@@ -38,3 +38,12 @@ def free_name(df: DataFrame, base: str) -> str:
 
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(f"`{text}`"), F.lit(""))
+
+
+BROADCAST_ROWS = 1_000_000  # ids of up to 16 bytes
+
+
+def without(df: DataFrame, gone: DataFrame, match: Column) -> DataFrame:
+    """``df`` without the rows that match a row of ``gone``, a table of ids, broadcast only if it is small."""
+    gone = stored(gone, "gone")
+    return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, match, "left_anti")

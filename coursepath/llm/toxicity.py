@@ -36,9 +36,8 @@ _STEMS = (4, 5, 6, 7)  # stem lengths beside whole words
 _NEAR = 5  # words between a lexicon word and a second-person word that count as near
 _FOLDS = 3
 _WORD = re.compile(r"[^\W_]+")
-_MASKED = re.compile(r"[^\W\d_]+[0-9@$!*]+[^\W\d_]+")
-_SPACED = re.compile(r"\b(?:[^\W\d_][ .\-]){3,}[^\W\d_]\b")
-_STRETCHED = re.compile(r"([^\W\d_])\1{3,}")
+_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$!*]+[^\W\d_]+")
+_MASKS = frozenset("0123456789@$!*")
 _SHOUT = re.compile(r"[!?]{2,}")
 
 Lexicon = dict[str, float]
@@ -62,16 +61,41 @@ def _keys(word: str) -> Iterator[str]:
             yield f"{word[:k]}*"
 
 
-def _hits(counts: Counter, lexicon: Lexicon) -> dict[str, float]:
+def _hits(counts: Counter, lexicon: Lexicon, starts: frozenset[str]) -> dict[str, float]:
     """The weight of each word of the text that the lexicon knows, by the heaviest of the word and its stems."""
     found = {}
     for word in counts:
-        weight = max((lexicon.get(k, 0.0) for k in _keys(word)), default=0.0)
-        if weight:
-            found[word] = weight
+        if word[:4] in starts:
+            weight = max((lexicon.get(k, 0.0) for k in _keys(word)), default=0.0)
+            if weight:
+                found[word] = weight
     return found
 
 
+def _spelled_out(words: list[str]) -> list[str]:
+    """Words written as four or more single letters in a row."""
+    runs, run, last = [], "", -2
+    for i in [i for i, w in enumerate(words) if len(w) == 1 and w.isalpha()] + [len(words) + 1]:
+        if i != last + 1:
+            runs.append(run)
+            run = ""
+        if i < len(words):
+            run += words[i]
+        last = i
+    return [r for r in runs if len(r) > 3]
+
+
+def _stretched(text: str) -> int:
+    """How often a letter is repeated four times or more."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    if len(c) < 4:
+        return 0
+    same = c[1:] == c[:-1]
+    four = same[2:] & same[1:-1] & same[:-2]
+    starts = np.flatnonzero(four & ~np.concatenate([[False], four[:-1]]))
+    return sum(chr(c[i]).isalpha() for i in starts)
+
+
 FEATURES = (
     "log_words", "hit_density", "log_hits", "log_kinds", "weight_density", "heaviest", "second_heaviest", "near_you",
     "you_density", "unmasked_hits", "capitals", "shouted_words", "punctuation", "shouts", "masked_words", "spaced_words",
@@ -79,25 +103,29 @@ FEATURES = (
 )
 
 
-def features_of(text: str, lexicon: Lexicon) -> list[float]:
+def features_of(text: str, lexicon: Lexicon, starts: frozenset[str]) -> list[float]:
     """The dense features of a whole text, all finite; zeros for an empty one."""
     words = _WORD.findall(text.lower())
     counts = Counter(words)
     n, chars = max(1, len(words)), max(1, len(text))
-    found = _hits(counts, lexicon)
+    found = _hits(counts, lexicon, starts)
     hits = sum(counts[w] for w in found)
     top = sorted(found.values(), reverse=True)[:2] + [0.0, 0.0]
+    you = {w: counts[w] for w in SECOND_PERSON & counts.keys()}
     near = 0
-    if found and any(w in SECOND_PERSON for w in counts):
-        you = np.array([i for i, w in enumerate(words) if w in SECOND_PERSON])
+    if found and you:
+        mine = np.array([i for i, w in enumerate(words) if w in you])
         at = np.array([i for i, w in enumerate(words) if w in found])
-        k = np.searchsorted(you, at)
-        gap = np.minimum(np.abs(at - you[np.minimum(k, len(you) - 1)]), np.abs(at - you[np.maximum(k - 1, 0)]))
+        k = np.searchsorted(mine, at)
+        gap = np.minimum(np.abs(at - mine[np.minimum(k, len(mine) - 1)]), np.abs(at - mine[np.maximum(k - 1, 0)]))
         near = int((gap <= _NEAR).sum())
-    masked = _MASKED.findall(text)
-    unmasked = [w.lower().translate(_LEET) for w in masked]
-    capitals = sum(map(str.isupper, text))
-    marks = len(text) - sum(map(str.isalnum, text)) - sum(map(str.isspace, text))
+    letters = Counter(text)
+    capitals = sum(k for c, k in letters.items() if c.isupper())
+    marks = sum(k for c, k in letters.items() if not c.isalnum() and not c.isspace())
+    masked = _MASKED.findall(text) if letters.keys() & _MASKS else []
+    spaced = _spelled_out(words)
+    unmasked = Counter([*spaced, *(w.lower().translate(_LEET) for w in masked)])
+    loud = capitals > 0.3 * chars
     return [
         math.log1p(len(words)),
         hits / n,
@@ -107,15 +135,15 @@ def features_of(text: str, lexicon: Lexicon) -> list[float]:
         top[0],
         top[1],
         near / n,
-        sum(counts[w] for w in SECOND_PERSON & counts.keys()) / n,
-        math.log1p(len(_hits(Counter(unmasked), lexicon)) + len(_hits(Counter("".join(filter(str.isalpha, m.lower())) for m in _SPACED.findall(text)), lexicon))),
+        sum(you.values()) / n,
+        math.log1p(len(_hits(unmasked, lexicon, starts))),
         capitals / chars,
-        sum(len(w) > 2 and w.isupper() for w in _WORD.findall(text)) / n if capitals > 0.3 * chars else 0.0,
+        sum(len(w) > 2 and w.isupper() for w in _WORD.findall(text)) / n if loud else 0.0,
         marks / chars,
-        len(_SHOUT.findall(text)) / n,
+        len(_SHOUT.findall(text)) / n if letters["!"] + letters["?"] > 1 else 0.0,
         len(masked) / n,
-        len(_SPACED.findall(text)) / n,
-        len(_STRETCHED.findall(text)) / n,
+        len(spaced) / n,
+        _stretched(text) / n,
     ]
 
 
@@ -166,9 +194,11 @@ def _lexicons(sample: DataFrame, params: ToxicityParams) -> list[Lexicon]:
 def with_features(df: DataFrame, lexicons: list[Lexicon], text: str, fold: str | None = None, out: str = "features") -> DataFrame:
     """Add the feature array; ``fold`` names the column that picks a row's lexicon, by default the last one."""
 
+    starts = [frozenset(k[:4] for k in lexicon) for lexicon in lexicons]
+
     @F.pandas_udf("array<double>")
     def features(texts: pd.Series, folds: pd.Series) -> pd.Series:
-        return pd.Series([features_of(t, lexicons[k]) for t, k in zip(texts, folds)])
+        return pd.Series([features_of(t, lexicons[k], starts[k]) for t, k in zip(texts, folds)])
 
     return df.withColumn(out, features(text_or_empty(text), F.lit(len(lexicons) - 1) if fold is None else F.col(fold)))
 
