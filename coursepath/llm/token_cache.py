@@ -77,6 +77,10 @@ def count_tokens(docs: DataFrame, definition: str, cache: str, id: str = "doc_id
     missing = marked.select("content", "text").join(known.select("content"), "content", "left_anti").dropDuplicates(["content"])
     counted = missing.mapInPandas(_counter(definition), "content string, n_tokens long")
     counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    counts = _cached(spark, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    # Stored, so that the join below deals out both sides itself and can split a content that very many rows share.
+    counts = stored(
+        _cached(spark, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")),
+        "token_counts",
+    )
     sizes = stored(marked.select("id", "content", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     return sizes.join(counts, "content").select(F.col("id").alias(id), "n_bytes", "n_tokens")
