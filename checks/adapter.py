@@ -107,7 +107,8 @@ def build_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(total < 60, "SOPHOMORE")
         .when(total < 90, "JUNIOR")
         .when(total < 150, "SENIOR")
-        .otherwise("2ND BACH")
+        .when(total < 180, "2ND BACH")
+        .otherwise("MASTERS")
         .alias("um_clevel_descr"),
         F.col("acad_plan").isin("ACCT_BSACC", "BUSAD_BSBA").cast("int").alias("bus_maj"),
     )
@@ -124,7 +125,8 @@ def classed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         points = F.when(F.col("course_source") == "MU", F.col("unt_taken") * F.col("grd_pts_per_unit"))
         return hist.withColumn("grade_points", points).sortWithinPartitions("strm", "emplid")
 
-    return derived_table(spark, "history", sf_dir, build)
+    tables = ("customer", "lineitem", "orders", "part")
+    return derived_table(spark, "history", [f"{sf_dir}/{t}.parquet" for t in tables], build)
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +159,7 @@ def _enrolment(hist: DataFrame) -> DataFrame:
         "strm",
         "class_nbr",
         "IF(l_linenumber = 7, 'D', 'E') AS stdnt_enrl_status",
-        "'ENRL' AS enrl_status_reason",
+        "IF(l_partkey % 17 = 0, 'WDRW', 'ENRL') AS enrl_status_reason",
         "IF(l_suppkey % 10 = 0, 'NON', 'GRD') AS grading_basis_enrl",
         "CASE WHEN l_suppkey % 7 = 0 THEN 'NING' WHEN l_suppkey % 7 <> 1 THEN 'ORIG' END AS repeat_code",
         "crse_grade_input",
@@ -175,6 +177,10 @@ def _class_dim(hist: DataFrame) -> DataFrame:
     return rows.selectExpr(
         "*",
         "IF(subject IN ('ACCTCY', 'MANGMT', 'MRKTNG', 'FINANC', 'BUS_AD'), 'CBUSN', 'CARTS') AS acad_group",
+        "IF(subject IN ('ACCTCY', 'MANGMT', 'MRKTNG', 'FINANC', 'BUS_AD'), 'Business', 'Arts') AS acad_group_ldesc",
+        "IF(strm LIKE '%35', '6W', '1') AS session_code",
+        "lpad(CAST(CAST(class_nbr AS INT) % 3 + 1 AS STRING), 3, '0') AS class_section",
+        "concat(subject, ' class') AS class_ldesc",
         "concat('T', strm) AS strm_sdesc",
         "concat(subject, ' ', catalog_nbr) AS subject_ldesc",
     )
@@ -189,13 +195,19 @@ def _census(hist: DataFrame) -> DataFrame:
     rows = hist.selectExpr(
         "emplid",
         "strm",
-        "'UGRD' AS acad_career",
+        f"IF({_NUMBER} % 19 = 0, 'GRAD', 'UGRD') AS acad_career",
         f"IF({_NUMBER} % 11 = 0, 'N', 'Y') AS um_deg_seeking",
         "IF(acad_plan = 'OTHER', 'College of Arts', 'College of Business') AS um_acad_grp_descr",
         "IF(acad_plan = 'ACCT_BSACC', 'BUSNU', 'ARTSU') AS um_acad_prog1",
         "IF(acad_plan = 'BUSAD_BSBA', 'BUSNU', NULL) AS um_acad_prog2",
         "IF(acad_plan = 'UNDEC_BUS', 'BUSNU', NULL) AS um_acad_prog3",
+        f"IF(acad_plan = 'OTHER' AND {_NUMBER} % 4 = 0, 'BUSNU', NULL) AS um_acad_prog4",
         "um_clevel_descr",
+        "'UMCOL' AS institution",
+        "concat('T', strm) AS descr_term",
+        "acad_plan AS um_acad_plan1",
+        "acad_subplan AS um_acad_sub_plan1",
+        f"CAST({_NUMBER} % 500 AS DOUBLE) AS class_rank",
         f"IF({_NUMBER} % 13 <> 0, CAST(2300 + {_NUMBER} % 97 AS STRING), NULL) AS admit_term",
     )
     return rows.distinct()
@@ -205,9 +217,9 @@ def _admissions(hist: DataFrame) -> DataFrame:
     rows = hist.selectExpr(
         "emplid",
         f"IF({_NUMBER} % 13 = 0 AND strm > '2700', NULL, strm) AS admit_term_rollup",
-        "'UGRD' AS acad_career",
-        "'Y' AS um_deg_seeking",
-        f"IF({_NUMBER} % 3 = 0, 'TRE', 'FTC') AS admit_type",
+        f"IF({_NUMBER} % 23 = 0, 'GRAD', 'UGRD') AS acad_career",
+        f"IF({_NUMBER} % 17 = 0, 'N', 'Y') AS um_deg_seeking",
+        f"CASE {_NUMBER} % 5 WHEN 0 THEN 'TRE' WHEN 1 THEN 'RTR' ELSE 'FTC' END AS admit_type",
         "IF(acad_plan = 'OTHER', 'CARTS', 'CBUSN') AS acad_group",
     )
     return rows.distinct().selectExpr("*", "concat('T', admit_term_rollup) AS admit_term_rollup_descrshort")

@@ -43,7 +43,7 @@ hours AS (
 SELECT hours.*,
        CASE WHEN tot_cumulative < 30 THEN 'FRESHMAN' WHEN tot_cumulative < 60 THEN 'SOPHOMORE'
             WHEN tot_cumulative < 90 THEN 'JUNIOR' WHEN tot_cumulative < 150 THEN 'SENIOR'
-            ELSE '2ND BACH' END AS um_clevel_descr,
+            WHEN tot_cumulative < 180 THEN '2ND BACH' ELSE 'MASTERS' END AS um_clevel_descr,
        CASE WHEN acad_plan IN ('ACCT_BSACC','BUSAD_BSBA') THEN 1 ELSE 0 END AS bus_maj
 FROM hours
 """
@@ -51,7 +51,7 @@ FROM hours
 SOURCES = {
     "src_enrl": """
 SELECT emplid, strm, class_nbr,
-  CASE WHEN l_linenumber = 7 THEN 'D' ELSE 'E' END AS stdnt_enrl_status, 'ENRL' AS enrl_status_reason,
+  CASE WHEN l_linenumber = 7 THEN 'D' ELSE 'E' END AS stdnt_enrl_status, CASE WHEN l_partkey % 17 = 0 THEN 'WDRW' ELSE 'ENRL' END AS enrl_status_reason,
   CASE WHEN l_suppkey % 10 = 0 THEN 'NON' ELSE 'GRD' END AS grading_basis_enrl,
   CASE WHEN l_suppkey % 7 = 0 THEN 'NING' WHEN l_suppkey % 7 = 1 THEN NULL ELSE 'ORIG' END AS repeat_code, crse_grade_input, crse_grade_input AS crse_grade_off, grd_pts_per_unit, unt_taken, unt_taken * grd_pts_per_unit AS grade_points,
   CASE WHEN acad_plan = 'OTHER' THEN 'ARTSU' ELSE 'BUSNU' END AS acad_prog
@@ -60,6 +60,9 @@ FROM hist WHERE course_source = 'MU'
     "src_class": """
 SELECT DISTINCT class_nbr, strm, crse_id, subject, catalog_nbr,
   CASE WHEN subject IN ('ACCTCY','MANGMT','MRKTNG','FINANC','BUS_AD') THEN 'CBUSN' ELSE 'CARTS' END AS acad_group,
+  CASE WHEN subject IN ('ACCTCY','MANGMT','MRKTNG','FINANC','BUS_AD') THEN 'Business' ELSE 'Arts' END AS acad_group_ldesc,
+  CASE WHEN strm LIKE '%35' THEN '6W' ELSE '1' END AS session_code,
+  lpad(CAST(CAST(class_nbr AS INT) % 3 + 1 AS VARCHAR), 3, '0') AS class_section, concat(subject, ' class') AS class_ldesc,
   concat('T', strm) AS strm_sdesc, concat(subject, ' ', catalog_nbr) AS subject_ldesc
 FROM hist
 """,
@@ -68,20 +71,24 @@ SELECT DISTINCT emplid, strm, concat('T', strm) AS term, acad_plan, acad_subplan
 FROM hist
 """,
     "src_census": """
-SELECT DISTINCT emplid, strm, 'UGRD' AS acad_career,
+SELECT DISTINCT emplid, strm, CASE WHEN CAST(emplid AS INT) % 19 = 0 THEN 'GRAD' ELSE 'UGRD' END AS acad_career,
   CASE WHEN CAST(emplid AS INT) % 11 = 0 THEN 'N' ELSE 'Y' END AS um_deg_seeking,
   CASE WHEN acad_plan = 'OTHER' THEN 'College of Arts' ELSE 'College of Business' END AS um_acad_grp_descr,
   CASE WHEN acad_plan = 'ACCT_BSACC' THEN 'BUSNU' ELSE 'ARTSU' END AS um_acad_prog1,
   CASE WHEN acad_plan = 'BUSAD_BSBA' THEN 'BUSNU' END AS um_acad_prog2,
-  CASE WHEN acad_plan = 'UNDEC_BUS' THEN 'BUSNU' END AS um_acad_prog3, CAST(NULL AS VARCHAR(8)) AS um_acad_prog4, um_clevel_descr,
+  CASE WHEN acad_plan = 'UNDEC_BUS' THEN 'BUSNU' END AS um_acad_prog3, CASE WHEN acad_plan = 'OTHER' AND CAST(emplid AS INT) % 4 = 0 THEN 'BUSNU' END AS um_acad_prog4, um_clevel_descr,
+  'UMCOL' AS institution, concat('T', strm) AS descr_term, acad_plan AS um_acad_plan1, acad_subplan AS um_acad_sub_plan1,
+  CAST(CAST(emplid AS INT) % 500 AS DOUBLE) AS class_rank,
   CASE WHEN CAST(emplid AS INT) % 13 <> 0 THEN CAST(2300 + CAST(emplid AS INT) % 97 AS VARCHAR(4)) END AS admit_term
 FROM hist
 """,
     "src_admit": """
 SELECT DISTINCT emplid,
   CASE WHEN CAST(emplid AS INT) % 13 = 0 AND strm > '2700' THEN NULL ELSE strm END AS admit_term_rollup,
-  CASE WHEN CAST(emplid AS INT) % 13 = 0 AND strm > '2700' THEN NULL ELSE concat('T', strm) END AS admit_term_rollup_descrshort, 'UGRD' AS acad_career, 'Y' AS um_deg_seeking,
-  CASE WHEN CAST(emplid AS INT) % 3 = 0 THEN 'TRE' ELSE 'FTC' END AS admit_type,
+  CASE WHEN CAST(emplid AS INT) % 13 = 0 AND strm > '2700' THEN NULL ELSE concat('T', strm) END AS admit_term_rollup_descrshort,
+  CASE WHEN CAST(emplid AS INT) % 23 = 0 THEN 'GRAD' ELSE 'UGRD' END AS acad_career,
+  CASE WHEN CAST(emplid AS INT) % 17 = 0 THEN 'N' ELSE 'Y' END AS um_deg_seeking,
+  CASE WHEN CAST(emplid AS INT) % 5 = 0 THEN 'TRE' WHEN CAST(emplid AS INT) % 5 = 1 THEN 'RTR' ELSE 'FTC' END AS admit_type,
   CASE WHEN acad_plan = 'OTHER' THEN 'CARTS' ELSE 'CBUSN' END AS acad_group
 FROM hist
 """,

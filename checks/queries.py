@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coursepath import fixed_values as fv
 from coursepath import functions as fx
 from coursepath.operators import cohort, eligibility, history, keys, reports, rollup, rules, status
 from coursepath.session import scratch_path, tune
-from coursepath.sources import export_eligible, preview, read_history, read_rules, write_csv
+from coursepath.sources import SOURCE_SCHEMAS, export_eligible, load_sources, preview, read_history, read_rules, write_csv
 
 from .adapter import FIRST_TERM, LAST_TERM, REFERENCE_TERM, TIEBREAK, classed_history, sources
 from .adapter import history as long_history
 
 RULES = rules.CURRENT_RULES + (rules.Rule("ENGLISH_1000", condreq=0),)
 TARGETS = [r.target for r in RULES]
+EXPORTED = [r for r in RULES if r.target in fv.EXPORT_TARGETS]
 ARCHIVED = rules.ARCHIVED_RULES + (rules.Rule("ENGLISH_1000", condreq=0),)
 BASE_COLUMNS = ["emplid", "strm", "um_clevel_descr", "acad_plan", "acad_subplan", "bus_maj", "tot_cumulative"]
 LEVELS = fv.REPORT_LEVELS
@@ -43,8 +44,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _matrix(spark, sf_dir) -> DataFrame:
-    return eligibility.student_matrix(classed_history(spark, sf_dir), RULES, last_term=LAST_TERM, tiebreak=TIEBREAK)
+def _matrix(spark, sf_dir, listed=RULES) -> DataFrame:
+    return eligibility.student_matrix(classed_history(spark, sf_dir), listed, last_term=LAST_TERM, tiebreak=TIEBREAK)
 
 
 def _statuses(spark, sf_dir, mode="latest") -> DataFrame:
@@ -74,8 +75,6 @@ def history_csv_round_trip(spark, sf_dir):
     columns = ["emplid", "strm", "class_nbr", "acad_subplan", "grd_pts_per_unit", "tot_cumulative"]
     hist = long_history(spark, sf_dir).select(*columns, *TIEBREAK)
     path = scratch_path(spark, "history-csv")
-    if path is None:
-        return hist
     write_csv(fx.normalise_headers(hist, "upper"), path)
     back = read_history(spark, path, "csv", extra=TIEBREAK)
     return back.select(*columns, *[F.col(c).cast("long").alias(c) for c in TIEBREAK])
@@ -83,10 +82,8 @@ def history_csv_round_trip(spark, sf_dir):
 
 @query
 def eligible_export_round_trip(spark, sf_dir):
-    lists = reports.eligible_not_enrolled(_matrix(spark, sf_dir), _base(spark, sf_dir))
+    lists = reports.eligible_not_enrolled(_matrix(spark, sf_dir, EXPORTED), _base(spark, sf_dir))
     path = scratch_path(spark, "eligible")
-    if path is None:
-        return lists.select("target", "emplid", "status", "sem_eli")
     export_eligible(lists, fv.EXPORT_TARGETS, path, fmt="parquet")
     return spark.read.parquet(path).select("target", "emplid", "status", "sem_eli")
 
@@ -95,18 +92,54 @@ def eligible_export_round_trip(spark, sf_dir):
 def rule_table_statuses(spark, sf_dir):
     """Status of the targets of a rule table that went through a file."""
     path = scratch_path(spark, "rules")
-    table = rules.rules_table(spark, RULES)
-    if path is not None:
-        write_csv(table, path)
-        table = read_rules(spark, path, "csv")
-    read_back = rules.rules_from_table(table, conditions=())
+    write_csv(rules.rules_table(spark, RULES), path)
+    read_back = rules.rules_from_table(read_rules(spark, path, "csv"), conditions=())
     matrix = eligibility.eligible_terms(classed_history(spark, sf_dir), read_back, last_term=LAST_TERM)
     return matrix.groupBy("target").agg(F.sum("sem_eli").alias("terms"), F.count("sem_eli").alias("students"))
 
 
+@query
+def rule_table_first_rows(spark, sf_dir):
+    """A rule table with repeated and blank targets, one row per class and line number: the least ``ord`` counts."""
+    lines = classed_history(spark, sf_dir).select("class", "l_linenumber").distinct()
+    table = lines.select(
+        F.col("l_linenumber").cast("int").alias("ord"),
+        F.when(F.col("l_linenumber") > 1, F.lower("class")).alias("class"),
+        (F.col("l_linenumber") % 2).cast("int").alias("condreq"),
+        (F.col("l_linenumber") * 10.0).alias("min_hours"),
+    )
+    path = scratch_path(spark, "rules")
+    write_csv(table.unionByName(table), path)
+    found = rules.rules_from_table(read_rules(spark, path, "csv"))
+    return spark.createDataFrame([(r.target, r.condreq, r.min_hours) for r in found], "target string, condreq int, min_hours double")
+
+
+@query
+def history_csv_files(spark, sf_dir):
+    """Two CSV files with their columns in another order, read as one."""
+    columns = ["emplid", "strm", "acad_plan", "acad_subplan"]
+    hist = long_history(spark, sf_dir).select(*columns, "l_orderkey")
+    path = scratch_path(spark, "history-files")
+    write_csv(hist.where("l_orderkey % 2 = 0").select(*columns), path)
+    write_csv(hist.where("l_orderkey % 2 = 1").select(*reversed(columns)), path, mode="append")
+    return read_history(spark, path, "csv").groupBy(*columns).agg(F.count("*").alias("n"))
+
+
+@query
+def load_sources_round_trip(spark, sf_dir):
+    """The seven tables written and read back; the enrolment facts have some text for a number."""
+    src, path = sources(spark, sf_dir), scratch_path(spark, "sources")
+    for name in SOURCE_SCHEMAS:
+        src[name].write.parquet(f"{path}/{name}")
+    columns = ["emplid", "strm", "class_nbr", "grading_basis_enrl", "grd_pts_per_unit", "acad_prog"]
+    return load_sources(spark, path)["enrolment"].groupBy(*columns).agg(F.count("*").alias("n"))
+
+
 @query
 def preview_rows(spark, sf_dir):
-    return preview(sources(spark, sf_dir)["enrolment"], 20, F.col("strm") == REFERENCE_TERM)
+    """Any rows may come back, so what is compared is how many there are and that all meet the condition."""
+    rows = preview(sources(spark, sf_dir)["enrolment"], 20, F.col("strm") == REFERENCE_TERM)
+    return rows.agg(F.count("*").alias("n"), F.bool_and(F.col("strm") == REFERENCE_TERM).alias("all_meet"))
 
 
 # Cohorts, membership, admissions
@@ -129,8 +162,8 @@ def census_cohort_program(spark, sf_dir):
 
 @query
 def census_listing_top(spark, sf_dir):
-    columns = ["emplid", "strm", "acad_career", "um_acad_grp_descr", "admit_term", "um_clevel_descr"]
-    return cohort.census_listing(sources(spark, sf_dir)["census"], REFERENCE_TERM, columns=columns)
+    tiebreak = ["emplid", "um_clevel_descr", "um_acad_plan1", "um_acad_sub_plan1"]
+    return cohort.census_listing(sources(spark, sf_dir)["census"], REFERENCE_TERM, tiebreak=tiebreak)
 
 
 @query
@@ -235,6 +268,18 @@ def build_extract(spark, sf_dir):
     return history.build_extract(src, students, first_term=FIRST_TERM)
 
 
+@query
+def build_extract_ordered(spark, sf_dir):
+    """The place of each term among those of its student, as the ordered extract has them."""
+    src = sources(spark, sf_dir)
+    students = cohort.census_cohort(src["census"], REFERENCE_TERM, by="program")
+    rows = history.build_extract(src, students, first_term=FIRST_TERM, ordered=True)
+    placed = rows.select("emplid", "strm", F.monotonically_increasing_id().alias("at"))
+    terms = placed.groupBy("emplid", "strm").agg(F.min("at").alias("at"))
+    order = Window.partitionBy("emplid").orderBy("at")
+    return terms.select("emplid", "strm", F.row_number().over(order).cast("long").alias("place"))
+
+
 @query
 def build_schedule(spark, sf_dir):
     src = sources(spark, sf_dir)
@@ -245,15 +290,14 @@ def build_schedule(spark, sf_dir):
 @query
 def class_rollup(spark, sf_dir):
     src = sources(spark, sf_dir)
-    columns = ["strm", "term", "acad_group", "subject", "catalog_nbr", "class_nbr", "enrl_tot", "tot_credits"]
-    return rollup.class_rollup(src["enrolment"], src["class_dim"], REFERENCE_TERM).select(*columns)
+    return rollup.class_rollup(src["enrolment"], src["class_dim"], REFERENCE_TERM)
 
 
 @query
 def student_classes(spark, sf_dir):
     """Every student's classes of one term; the operator also takes a single id."""
     src = sources(spark, sf_dir)
-    columns = ["emplid", "strm", "class_nbr", "crse_grade_input", "grd_pts_per_unit", "term", "subject", "catalog_nbr"]
+    columns = ["emplid", "strm", "class_nbr", "crse_grade_input", "grd_pts_per_unit", "term", "subject", "catalog_nbr", "class_section"]
     return rollup.student_classes(src["enrolment"], src["class_dim"], REFERENCE_TERM).select(*columns).distinct()
 
 
@@ -402,9 +446,14 @@ def eligibility_stats(spark, sf_dir):
     return reports.eligibility_stats(_matrix(spark, sf_dir), TARGETS, digits=None)
 
 
+@query
+def eligibility_stats_rounded(spark, sf_dir):
+    return reports.eligibility_stats(_matrix(spark, sf_dir), TARGETS, enrolled=f"enrolled_{LAST_TERM}")
+
+
 @query
 def eligible_not_enrolled(spark, sf_dir):
-    return reports.eligible_not_enrolled(_matrix(spark, sf_dir), _base(spark, sf_dir))
+    return reports.eligible_not_enrolled(_matrix(spark, sf_dir, EXPORTED), _base(spark, sf_dir))
 
 
 # Reports

@@ -73,3 +73,8 @@ CENSUS_LISTING_COLUMNS = (
     "um_satr_math", "um_satr_read_wr", "um_veteran", "um_online_learner",
     "um_first_gen", "um_test_optional",
 )
+# Those of them that hold numbers
+CENSUS_NUMBERS = (
+    "unt_term_tot", "unt_audit", "fte", "tot_billing_hrs", "class_size", "class_rank", "um_hs_pcnt", "um_satr_math",
+    "um_satr_read_wr",
+)

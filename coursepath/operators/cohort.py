@@ -55,13 +55,16 @@ def census_listing(
     term: str,
     n: int = 50,
     *,
-    columns=None,
+    columns=fv.CENSUS_LISTING_COLUMNS,
     order_by: str = "admit_term",
     tiebreak=("emplid",),
     career: str = fv.CAREER,
     college: str = fv.COLLEGE,
 ) -> DataFrame:
-    """Census detail of the cohort, the ``n`` latest by ``order_by``; missing values come first."""
+    """Census detail of the cohort, the ``n`` latest by ``order_by``; missing values come first.
+
+    ``columns`` of None gives all columns of the table.
+    """
     rows = _census_rows(census, term, career, college)
     top = rows.orderBy(F.desc_nulls_first(order_by), *[F.asc_nulls_last(c) for c in tiebreak]).limit(n)
     return top if columns is None else top.select(*columns)

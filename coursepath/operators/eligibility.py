@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from .. import fixed_values as fv
 from ..functions import not_nan
 from ..sources.local import local_table
 from .bits import BitIndex, quoted
-from .rules import CURRENT_RULES, Rule, V1_RULES
+from .rules import CURRENT_RULES, Rule, V1_RULES, rule_groups
 from .status import base_flag, in_base, long_rows, status_wide
 
 
@@ -87,8 +89,8 @@ def _student_terms(
     Everything has a fixed width, so each task combines its rows by hash before the shuffle, and a
     student with very many rows arrives as one row per term.
     """
-    # One row per course named in the rules: the rule set itself is on the driver.
-    rows = df.join(F.broadcast(plan.vocabulary(df.sparkSession)), "class", "left")
+    # A local relation of one row per course named in the rules: Spark knows its size and joins by it.
+    rows = df.join(plan.vocabulary(df.sparkSession), "class", "left")
     is_level = {v: f"upper(um_clevel_descr) = {quoted(v)}" for v in plan.levels.names}
     needs_flag = any(r.need_flag for r in plan.rules.values())
     rows = rows.select(
@@ -232,14 +234,19 @@ def _long_counts(wide: DataFrame) -> DataFrame:
     return wide.select("emplid", long_rows(targets, {"sem_eli": "e_"}))
 
 
+def _in_groups(rules, make) -> DataFrame:
+    """The long results of all groups of rules, one under the other; any number of rules plans."""
+    return reduce(DataFrame.unionByName, [make(group) for group in rule_groups(rules)])
+
+
 def eligible_terms(df: DataFrame, rules=CURRENT_RULES, **options) -> DataFrame:
     """``(emplid, target, sem_eli)`` for every base student and rule. Options as for ``counts_wide``."""
-    return _long_counts(counts_wide(df, rules, **options))
+    return _in_groups(rules, lambda group: _long_counts(counts_wide(df, group, **options)))
 
 
 def eligible_terms_v1(df: DataFrame, rules=V1_RULES, **options) -> DataFrame:
     """``(emplid, target, sem_eli)`` by the older rules. Options as for ``counts_wide_v1``."""
-    return _long_counts(counts_wide_v1(df, rules, **options))
+    return _in_groups(rules, lambda group: _long_counts(counts_wide_v1(df, group, **options)))
 
 
 def student_matrix(
@@ -255,13 +262,18 @@ def student_matrix(
 ) -> DataFrame:
     """``(emplid, target, status, sem_eli)`` for every base student and rule.
 
-    Both halves arrive with one row per student, partitioned by student, so they join in place.
+    Both halves arrive with one row per student, partitioned by student, so they join in place. Rules come
+    in groups of one bit word of targets, and each group reads the history once for each half.
     """
-    targets = list(dict.fromkeys(r.target for r in rules))
     member = {"last_term": last_term, "base": base}
-    status = status_wide(df, targets, mode=mode, tiebreak=tiebreak, points=points, **member)
-    counts = counts_wide(df, rules, skip_suffix=skip_suffix, points=points, **member)
-    return _matrix(status, counts, targets)
+
+    def matrix(group) -> DataFrame:
+        targets = [r.target for r in group]
+        status = status_wide(df, targets, mode=mode, tiebreak=tiebreak, points=points, **member)
+        counts = counts_wide(df, group, skip_suffix=skip_suffix, points=points, **member)
+        return _matrix(status, counts, targets)
+
+    return _in_groups(rules, matrix)
 
 
 def student_matrix_v1(
@@ -274,11 +286,15 @@ def student_matrix_v1(
     pass_points: str = "grade_points",
 ) -> DataFrame:
     """The older matrix: sticky status with the older counter."""
-    targets = list(dict.fromkeys(r.target for r in rules))
     member = {"last_term": last_term if base is None else None, "base": base}
-    status = status_wide(df, targets, mode="sticky", points=points, **member)
-    counts = counts_wide_v1(df, rules, last_term=last_term, base=base, points=pass_points)
-    return _matrix(status, counts, targets)
+
+    def matrix(group) -> DataFrame:
+        targets = [r.target for r in group]
+        status = status_wide(df, targets, mode="sticky", points=points, **member)
+        counts = counts_wide_v1(df, group, last_term=last_term, base=base, points=pass_points)
+        return _matrix(status, counts, targets)
+
+    return _in_groups(rules, matrix)
 
 
 def _matrix(status: DataFrame, counts: DataFrame, targets) -> DataFrame:

@@ -36,6 +36,9 @@ SCHEDULE_COLUMNS = [
     "grade_points", "cum_gpa", "tot_cumulative", "tot_hrs_life",
 ]
 
+# Behind student and term in an ordered extract, so that one student's rows are not one range of the sort.
+_TAIL = ["subject", "catalog_nbr", "class_nbr", "acad_plan", "acad_subplan"]
+
 
 def attach_class(enrolment: DataFrame, class_dim: DataFrame, how: str = "left") -> DataFrame:
     """Class attributes by class number and term. Both keys are needed: numbers recur across terms."""
@@ -179,7 +182,7 @@ def build_extract(
     rows = src["progress"].where(F.col("acad_plan").isin(*plans)).join(levels, ["emplid", "strm"], "left")
     terms = _student_terms(rows, courses, cohort, src["admissions"], "left")
     extract = courses.join(terms, ["emplid", "strm"]).select(*EXTRACT_COLUMNS).distinct()
-    return extract.orderBy("emplid", "strm") if ordered else extract
+    return extract.orderBy("emplid", "strm", *_TAIL) if ordered else extract
 
 
 def build_schedule(
@@ -200,4 +203,4 @@ def build_schedule(
     rows = src["progress"].where(F.col("acad_plan").isin(*plans)).join(in_level, ["emplid", "strm"])
     terms = _student_terms(rows, courses, cohort, src["admissions"], "inner")
     schedule = courses.join(terms, ["emplid", "strm"]).select(*SCHEDULE_COLUMNS)
-    return schedule.orderBy("emplid", "strm") if ordered else schedule
+    return schedule.orderBy("emplid", "strm", *_TAIL) if ordered else schedule

@@ -123,12 +123,13 @@ def order_with_tail(df: DataFrame, column: str, tail=fv.TAIL_SUBPLANS) -> DataFr
 def plan_level_table(
     df: DataFrame, plans=fv.REPORT_PLANS, levels=fv.REPORT_LEVELS, plan: str = "acad_plan"
 ) -> DataFrame:
-    """Students per plan and level with a row total; ``plans`` None takes every plan."""
+    """Students per plan and level with a row total, in the order of ``plans``; None takes every plan, by name."""
     rows = df.where(F.col("um_clevel_descr") != fv.DROPPED_LEVEL)
     if plans is not None:
         rows = rows.where(F.col(plan).isin(*plans))
     table = crosstab_students(rows, plan, levels)
-    return with_row_total(table, table.columns[1:])
+    place = F.array_position(F.array(*map(F.lit, plans)), F.col(plan)) if plans is not None else F.col(plan)
+    return with_row_total(table, table.columns[1:]).orderBy(place)
 
 
 def subplan_level_table(

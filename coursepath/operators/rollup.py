@@ -42,7 +42,9 @@ def student_classes(
     rows = _enrolled(enrolment, repeats=False).where(F.col("strm") == term)
     if emplid is not None:
         rows = rows.where(F.col("emplid") == emplid)
-    return attach_class(rows, _class_attributes(class_dim), "inner").distinct().orderBy(*CLASS_ORDER)
+    found = attach_class(rows, _class_attributes(class_dim), "inner").distinct()
+    # The student last, so that one popular class is not one range of the sort.
+    return found.orderBy(*CLASS_ORDER, "emplid", "class_nbr")
 
 
 def latest_description(

@@ -6,11 +6,10 @@ from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.schemas import RULE_SCHEMA
-
-# A rule table is written by hand, one row per target course.
-_MOST_RULES = 10_000
+from .bits import WORD
 
 
 @dataclass(frozen=True)
@@ -69,59 +68,62 @@ UNCONDITIONAL_V1 = (
 V1_RULES = tuple(Rule(t, condreq=0) for t in UNCONDITIONAL_V1) + ARCHIVED_RULES
 
 
-def with_conditions(
-    listed: Iterable[tuple[str, int | None]], conditions: Iterable[Rule] = CURRENT_RULES
-) -> tuple[Rule, ...]:
-    """Rules for the listed ``(target, condreq)`` pairs, conditions taken from ``conditions``.
-
-    The first row of a target counts. A target that needs a condition but has none is kept as a
-    rule that is never met.
-    """
-    known = {rule.target: rule for rule in conditions}
-    rules: dict[str, Rule] = {}
-    for name, condreq in listed:
-        target = name.upper()
-        if target not in rules:
-            need = 1 if condreq is None else int(condreq)
-            rules[target] = replace(known.get(target, Rule(target)), condreq=need)
-    return tuple(rules.values())
-
-
 def rules_from_table(table: DataFrame, conditions: Iterable[Rule] = CURRENT_RULES) -> tuple[Rule, ...]:
-    """Rules from a table as ``read_rules`` gives it.
+    """Rules from a table as ``read_rules`` gives it, in the order of ``ord`` and then by target.
 
-    Rows that state no condition of their own take it from ``conditions``. Rules shape the plan,
-    so this small table is read on the driver; a table of facts given by mistake is refused.
+    Of several rows of a target, the one with the least ``ord`` counts; rows that differ and are first alike are an
+    error, as files have no order in Spark. Rows that state no condition of their own take it from ``conditions``. A target
+    that needs a condition but has none is kept as a rule that is never met. Rules shape the plan, so they
+    come to the driver, one row a target.
     """
-    rows = table.select(*RULE_SCHEMA.fieldNames()).limit(_MOST_RULES + 1).collect()
-    if len(rows) > _MOST_RULES:
-        raise ValueError(f"more than {_MOST_RULES} rows: not a rule table")
+    stated = [c for c in RULE_SCHEMA.fieldNames() if c not in ("ord", "target")]
+    rows = table.select(F.upper("target").alias("target"), "ord", F.struct(*stated).alias("rule")).where("target is not null")
+    place = F.coalesce("ord", F.lit(2**31 - 1))
+    firsts = rows.groupBy("target").agg(F.min(place).alias("place"))
+    kept = (
+        rows.withColumn("place", place)
+        .join(firsts, ["target", "place"])
+        .groupBy("target", "place")
+        .agg(F.min("rule").alias("rule"), F.countDistinct(F.to_json("rule")).alias("kinds"))
+    )
+    found = sorted(kept.collect(), key=lambda r: (r.place, r.target))
+    torn = [r.target for r in found if r.kinds > 1]
+    if torn:
+        raise ValueError(f"rows of one target disagree, and no order tells which counts: {', '.join(torn[:5])}")
     known = {rule.target: rule for rule in conditions}
-    rules: dict[str, Rule] = {}
-    for row in rows:
-        if row.target is None or row.target.upper() in rules:
-            continue
-        target = row.target.upper()
+    rules = []
+    for r in found:
+        row = r.rule
         own = Rule(
-            target,
+            r.target,
             min_hours=row.min_hours,
-            levels=tuple(v.strip().upper() for v in (row.levels or "").split("|") if v.strip()),
+            levels=_listed(row.levels, "|"),
             need_flag=row.need_flag == 1,
-            clauses=tuple(
-                tuple(v.strip().upper() for v in clause.split("|") if v.strip())
-                for clause in (row.clauses or "").split(";")
-                if clause.strip()
-            ),
+            clauses=tuple(_listed(clause, "|") for clause in _listed(row.clauses, ";")),
         )
-        rule = own if own.states_condition else known.get(target, own)
-        rules[target] = replace(rule, condreq=1 if row.condreq is None else row.condreq)
-    return tuple(rules.values())
+        rule = own if own.states_condition else known.get(r.target, own)
+        rules.append(replace(rule, condreq=1 if row.condreq is None else row.condreq))
+    return tuple(rules)
+
+
+def _listed(text: str | None, by: str) -> tuple[str, ...]:
+    return tuple(v.strip().upper() for v in (text or "").split(by) if v.strip())
+
+
+def rule_groups(rules: Iterable[Rule], most: int = WORD) -> list[tuple[Rule, ...]]:
+    """The rules, one per target, in groups whose targets fit one bit word."""
+    unique: dict[str, Rule] = {}
+    for rule in rules:
+        unique.setdefault(rule.target, rule)
+    listed = list(unique.values())
+    return [tuple(listed[k : k + most]) for k in range(0, len(listed), most)] or [()]
 
 
 def rules_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     """Rules as a table that ``read_rules`` and ``rules_from_table`` understand."""
     rows = [
         (
+            number,
             r.target,
             r.condreq,
             None if r.min_hours is None else float(r.min_hours),
@@ -129,6 +131,6 @@ def rules_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
             int(r.need_flag),
             ";".join("|".join(clause) for clause in r.clauses) or None,
         )
-        for r in rules
+        for number, r in enumerate(rules)
     ]
     return spark.createDataFrame(rows, RULE_SCHEMA)

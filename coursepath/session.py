@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Let AQE split a hot join key even where that costs one more shuffle.
 _SKEW_SETTINGS = {
@@ -16,7 +18,8 @@ _SKEW_SETTINGS = {
 }
 
 _local_dirs: dict[str, str] = {}
-_derived: dict[tuple[str, str, str], tuple[str, object]] = {}
+_derived: dict[tuple, tuple[str, object]] = {}
+_to_remove: set[str] = set()
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -27,43 +30,58 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """Folder every executor can reach, or None if the cluster names none.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which every executor can reach.
 
-    A local session has no other machine, so there a temporary folder serves.
+    A local session has no other machine, so there a temporary folder serves if the setting is missing. On a
+    cluster the setting is required.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        return None
+    if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="coursepath-")
     return _local_dirs[app]
 
 
-def scratch_path(spark: SparkSession, name: str) -> str | None:
-    """A fresh path for one table of this application, or None without a shared folder."""
-    root = shared_dir(spark)
-    if root is None:
-        return None
-    return f"{root}/coursepath/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for one table of this application; the tables go when the application ends."""
+    root = f"{shared_dir(spark)}/coursepath/{spark.sparkContext.applicationId}"
+    if root not in _to_remove:
+        _to_remove.add(root)
+        atexit.register(_remove, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    try:
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone already; the folder then stays for the cluster to clear
+        return
+
+
+def _files_mark(spark: SparkSession, paths: list[str]) -> tuple:
+    """Changes when a file under the paths is added, removed or written again. Only listings are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    mark = files.agg(F.count("*"), F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first()
+    return tuple(mark)
 
 
 def derived_table(
-    spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]
+    spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]
 ) -> DataFrame:
-    """Write ``build()`` as Parquet once per application and source, then read it back.
+    """Write ``build()`` as Parquet once per application and state of its input files, then read it back.
 
-    The written table cuts the lineage and outlives lost executors. The inputs under ``source``
-    are taken as unchanging while the application runs. Without a shared folder the plan stays lazy.
+    The written table cuts the lineage and outlives lost executors. Changed inputs are built anew.
     """
-    key = (spark.sparkContext.applicationId, name, source)
+    key = (spark.sparkContext.applicationId, name, *inputs, *_files_mark(spark, inputs))
     if key not in _derived:
         path = scratch_path(spark, name)
-        if path is None:
-            return build()
         table = build()
         table.write.parquet(path)
         _derived[key] = (path, table.schema)

@@ -2,23 +2,54 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions import coerce_number, normalise_headers, pad_to
+from ..functions import coerce_number, normalise_headers
 from .schemas import HISTORY_SCHEMA, RULE_SCHEMA, SOURCE_SCHEMAS
 
 
-def _scan(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    reader = spark.read.format(fmt)
-    if fmt == "csv":
-        reader = reader.option("header", True).option("escape", '"').option("multiLine", False)
-    return normalise_headers(reader.load(path))
+def _csv(spark: SparkSession, multi_line: bool):
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+
+
+def _csv_files(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The CSV files of a path by their header line, so that columns are found by name in every file.
+
+    One pass over the first block of each file, as text. Files without any line are left out.
+    """
+    lines = spark.read.text(path)
+    firsts = (
+        lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+        .where("start = 0")
+        .groupBy("file")
+        .agg(F.first("value").alias("header"))
+    )
+    by_header = firsts.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header")
+    return {r.header: r.files for r in by_header.collect()}
+
+
+def _scan(spark: SparkSession, path: str, fmt: str, multi_line: bool = True) -> DataFrame:
+    """A table with lower-case headers. CSV files may have their columns in any order, and different columns.
+
+    ``multi_line`` lets quoted fields hold line ends, at the price that one file is read by one task.
+    """
+    if fmt != "csv":
+        return normalise_headers(spark.read.format(fmt).load(path))
+    parts = [normalise_headers(_csv(spark, multi_line).csv(files)) for files in _csv_files(spark, path).values()]
+    if not parts:
+        return normalise_headers(_csv(spark, multi_line).csv(path))
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
-def _typed(df: DataFrame, schema: StructType) -> DataFrame:
-    """``schema`` over ``df``: text becomes numbers where it can, NaN becomes NULL."""
+def _typed(df: DataFrame, schema: StructType, keep_rest: bool = False) -> DataFrame:
+    """``schema`` over ``df``: text becomes numbers where it can, NaN becomes NULL.
+
+    ``keep_rest`` puts the other columns behind, as they are.
+    """
     types = dict(df.dtypes)
     columns = []
     for field in schema.fields:
@@ -31,6 +62,8 @@ def _typed(df: DataFrame, schema: StructType) -> DataFrame:
         elif types[field.name] in ("double", "float"):
             column = F.nanvl(column, F.lit(None).cast("double"))
         columns.append(column.cast(field.dataType).alias(field.name))
+    if keep_rest:
+        columns += [F.col(f"`{c}`") for c in df.columns if c not in schema.fieldNames()]
     return df.select(*columns)
 
 
@@ -40,13 +73,15 @@ def read_history(
     fmt: str = "parquet",
     schema: StructType = HISTORY_SCHEMA,
     extra: list[str] | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """The long course history: lower-case headers, string ids, ``''`` for missing text.
 
-    CSV columns are found by header, whatever their order. ``extra`` names further columns to
-    keep, such as tiebreak columns.
+    CSV columns are found by header, whatever their order in each file. ``extra`` names further columns to
+    keep, such as tiebreak columns. Set ``multi_line`` to False for large CSV files whose fields hold no line
+    ends, so that many tasks share a file.
     """
-    raw = _scan(spark, path, fmt)
+    raw = _scan(spark, path, fmt, multi_line)
     known = set(schema.fieldNames())
     more = [StructField(c, raw.schema[c].dataType) for c in extra or [] if c not in known]
     df = _typed(raw, StructType(schema.fields + more))
@@ -64,11 +99,12 @@ def read_rules(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 
 
 def load_sources(spark: SparkSession, folder: str, fmt: str = "parquet") -> dict[str, DataFrame]:
-    """The seven warehouse tables from ``<folder>/<name>``, with the columns the operators use."""
-    return {
-        name: pad_to(_scan(spark, f"{folder}/{name}", fmt), schema)
-        for name, schema in SOURCE_SCHEMAS.items()
-    }
+    """The seven warehouse tables from ``<folder>/<name>`` with all their columns.
+
+    Columns the operators use come first, typed, and NULL where a table lacks them; text that is no number is NULL
+    in a number column.
+    """
+    return {name: _typed(_scan(spark, f"{folder}/{name}", fmt), schema, keep_rest=True) for name, schema in SOURCE_SCHEMAS.items()}
 
 
 def preview(df: DataFrame, n: int = 20, condition: Column | None = None) -> DataFrame:

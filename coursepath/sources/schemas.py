@@ -11,6 +11,8 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
+from ..fixed_values import CENSUS_LISTING_COLUMNS, CENSUS_NUMBERS
+
 
 def _struct(**types) -> StructType:
     return StructType([StructField(name, t, True) for name, t in types.items()])
@@ -27,16 +29,17 @@ HISTORY_SCHEMA = _struct(
     tot_hrs_life=_D,
 )
 
-# The rule table. ``levels`` is ``A|B``; ``clauses`` is ``A|B;C|D`` (all of ``;``, any of ``|``).
+# The rule table. ``levels`` is ``A|B``; ``clauses`` is ``A|B;C|D`` (all of ``;``, any of ``|``). ``ord`` orders the
+# rows: of a target's rows the least counts.
 RULE_SCHEMA = _struct(
-    target=_S, condreq=_I, min_hours=_D, levels=_S, need_flag=_I, clauses=_S,
+    ord=_I, target=_S, condreq=_I, min_hours=_D, levels=_S, need_flag=_I, clauses=_S,
 )
 
 SOURCE_SCHEMAS = {
+    # The columns of the census listing, and the program slots it leaves out.
     "census": _struct(
-        emplid=_S, strm=_S, acad_career=_S, um_deg_seeking=_S, um_acad_grp_descr=_S,
-        um_acad_prog1=_S, um_acad_prog2=_S, um_acad_prog3=_S, um_acad_prog4=_S,
-        um_clevel_descr=_S, admit_term=_S,
+        **{name: _D if name in CENSUS_NUMBERS else _S for name in CENSUS_LISTING_COLUMNS},
+        um_acad_prog3=_S, um_acad_prog4=_S,
     ),
     "enrolment": _struct(
         emplid=_S, strm=_S, class_nbr=_S, stdnt_enrl_status=_S, enrl_status_reason=_S,

@@ -1,6 +1,8 @@
 import pytest
 
-from coursepath.operators.rules import CURRENT_RULES, Rule, rules_from_table, rules_table, with_conditions
+from coursepath import fixed_values as fv
+from coursepath.operators.cohort import census_listing
+from coursepath.operators.rules import CURRENT_RULES, Rule, rules_from_table, rules_table
 from coursepath.session import derived_table, shared_dir, tune
 from coursepath.sources import (
     HISTORY_SCHEMA,
@@ -46,14 +48,27 @@ def test_csv_written_and_read_back(spark, tmp_path):
 
 def test_plain_rule_table_takes_known_conditions(spark, tmp_path):
     file = tmp_path / "rules.csv"
-    file.write_text("Class,CondReq\nengl_1000,0\nFINANC_3000,1\nNEW_1000,1\nengl_1000,1\n,1\n")
+    file.write_text("Class,CondReq,Ord\nengl_1000,0,1\nFINANC_3000,1,2\nNEW_1000,1,3\nengl_1000,1,4\n,1,5\nNEW_1000,1,3\n")
     rules = {r.target: r for r in rules_from_table(read_rules(spark, str(file)))}
     assert list(rules) == ["ENGL_1000", "FINANC_3000", "NEW_1000"]
     assert rules["ENGL_1000"].unconditional
     assert rules["FINANC_3000"] == next(r for r in CURRENT_RULES if r.target == "FINANC_3000")
     assert not rules["NEW_1000"].states_condition and not rules["NEW_1000"].unconditional
-    listed = [("engl_1000", 0), ("FINANC_3000", 1), ("NEW_1000", None), ("engl_1000", 1)]
-    assert with_conditions(listed) == tuple(rules.values())
+
+
+def test_rows_of_a_target_that_disagree_are_an_error(spark, tmp_path):
+    for name, need in (("a", 0), ("b", 1)):
+        (tmp_path / f"{name}.csv").write_text(f"class,condreq\nX_1000,{need}\n")
+    with pytest.raises(ValueError, match="X_1000"):
+        rules_from_table(read_rules(spark, str(tmp_path)))
+
+
+def test_csv_files_with_other_column_orders_and_line_ends(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('EMPLID,STRM,ACAD_PLAN\n0001,5343,"x\ny"\n')
+    (tmp_path / "b.csv").write_text("acad_plan,Strm,emplid,term\nP2,5344,0002,T\n")
+    (tmp_path / "c.csv").write_text("")
+    got = sorted(tuple(r) for r in read_history(spark, str(tmp_path), "csv").select("emplid", "strm", "acad_plan", "term").collect())
+    assert got == [("0001", "5343", "x\ny", ""), ("0002", "5344", "P2", "T")]
 
 
 def test_full_rule_table_survives_a_file(spark, tmp_path):
@@ -62,21 +77,32 @@ def test_full_rule_table_survives_a_file(spark, tmp_path):
     assert set(back) == set(CURRENT_RULES)
 
 
-def test_a_table_of_facts_is_not_a_rule_table(spark):
-    many = rules_table(spark, [Rule("A_1000")]).crossJoin(spark.range(10_001)).drop("id")
-    with pytest.raises(ValueError):
-        rules_from_table(many)
+def test_many_rules_load_and_count_alike_in_groups(spark):
+    from coursepath.operators.eligibility import eligible_terms
+    from coursepath.operators.rules import rule_groups
+
+    from .data import frame, random_histories
+
+    rules = [Rule(f"T_{k}", min_hours=float(k % 60)) for k in range(150)]
+    assert set(rules_from_table(rules_table(spark, rules).union(rules_table(spark, rules)), ())) == set(rules)
+    assert [len(g) for g in rule_groups(rules + rules)] == [62, 62, 26]
+    hist = frame(spark, random_histories(6, ["T_1", "T_100"], 3))
+    last = hist.agg({"strm": "max"}).first()[0]
+    got = eligible_terms(hist, rules, last_term=last).where("target in ('T_1', 'T_100')").collect()
+    one = eligible_terms(hist, [rules[1], rules[100]], last_term=last).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, one))
 
 
-def test_warehouse_tables_are_padded_to_their_schemas(spark, tmp_path):
+def test_warehouse_tables_keep_their_columns_and_get_the_needed_ones(spark, tmp_path):
     for name in SOURCE_SCHEMAS:
-        spark.createDataFrame([("0012", "5343")], "EMPLID string, STRM string").write.parquet(str(tmp_path / name))
-    src = load_sources(spark, str(tmp_path))
-    assert {n: df.schema.fieldNames() for n, df in src.items()} == {
-        n: s.fieldNames() for n, s in SOURCE_SCHEMAS.items()
-    }
-    assert src["census"].first().um_acad_prog1 is None
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.csv").write_text("EMPLID,STRM,Extra,GRD_PTS_PER_UNIT\n0012,5343,e,A-\n")
+    src = load_sources(spark, str(tmp_path), "csv")
+    for name, df in src.items():
+        assert df.columns[: len(SOURCE_SCHEMAS[name])] == SOURCE_SCHEMAS[name].fieldNames() and "extra" in df.columns
+    assert src["census"].first().um_acad_prog1 is None and src["enrolment"].first().grd_pts_per_unit is None
     assert preview(src["census"], 5, src["census"].strm == "5343").count() == 1
+    assert len(fv.CENSUS_LISTING_COLUMNS) == 40 and census_listing(src["census"], "5343").columns == list(fv.CENSUS_LISTING_COLUMNS)
 
 
 def test_export_writes_one_folder_per_target(spark, tmp_path):
@@ -87,19 +113,20 @@ def test_export_writes_one_folder_per_target(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 3
 
 
-def test_derived_table_is_written_once_to_the_shared_folder(spark):
-    built = []
+def test_derived_table_is_written_once_for_each_state_of_its_inputs(spark, tmp_path):
+    built, path = [], str(tmp_path / "in")
 
     def build():
         built.append(1)
-        return spark.range(3)
+        return spark.read.parquet(path)
 
-    first = derived_table(spark, "probe", "here", build)
-    second = derived_table(spark, "probe", "here", build)
+    spark.range(3).write.parquet(path)
+    first = derived_table(spark, "probe", [path], build)
+    second = derived_table(spark, "probe", [path], build)
     assert len(built) == 1 and first.count() == second.count() == 3
     assert all(shared_dir(spark) in f for f in second.inputFiles())
-    derived_table(spark, "probe", "there", build)
-    assert len(built) == 2
+    spark.range(5).write.mode("append").parquet(path)
+    assert derived_table(spark, "probe", [path], build).count() == 8 and len(built) == 2
 
 
 def test_tune_leaves_explicit_settings_alone(spark):
