@@ -40,6 +40,8 @@ TEMPLATES: list[tuple[str, str]] = [
 # Function words, too common in any prose to look for.
 _COMMON = frozenset("a an and any are as at be but by can do for found from has have if in including into is it its no not of on or other that the this to under was with without you your".split())
 
+MOST_BROADCAST_BYTES = 16_000_000  # of templates; a larger library is joined by a shuffle
+
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
@@ -107,7 +109,10 @@ def scan_licenses(
         for n in range(ceil(len(pairs) * least / (2 - least) - 1e-9), floor(len(pairs) * (2 - least) / least + 1e-9) + 1)
     ]
     table = docs.sparkSession.createDataFrame(reach, "n int, license string, template array<string>, b int")
-    met = passages.where(F.size("words") > min(r[0] for r in reach)).withColumn("pairs", bigrams("words")).withColumn("n", F.size("pairs")).join(table, "n")
+    if sum(len(p) for _, _, pairs, _ in reach for p in pairs) <= MOST_BROADCAST_BYTES:
+        table = F.broadcast(table)  # the library is given by the caller, not by the data
+    sized = passages.where(F.size("words") > min(r[0] for r in reach)).select("id", "at", "line", bigrams("words").alias("pairs"))
+    met = sized.withColumn("n", F.size("pairs")).join(table, "n")
     dice = 2 * F.size(F.array_intersect("pairs", "template")) / (F.col("n") + F.col("b"))
     scored = met.withColumn("dice", dice).where(F.col("dice") >= least)
     best = scored.groupBy("id", "at", "line").agg(F.min(F.struct((-F.col("dice")).alias("minus"), "license")).alias("m"))
