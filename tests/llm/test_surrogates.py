@@ -1,0 +1,95 @@
+import re
+
+import pytest
+
+from coursepath.llm import surrogates as S
+
+from .fixtures import documents, plain
+
+PARAMS = S.SurrogateParams(key="test")
+TEXTS = [
+    (1, "Mail jo.98@mail5.example.com or JO.98@MAIL5.EXAMPLE.COM, else ann_7@mail5.example.com."),
+    (2, "Call +1 (672) 555-0196 or +1 672-555-0196, card 4111 1111 1111 1111 and 4245100581169931."),
+    (3, 'At 8.20.209.178 and 10.1.2.3, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" TOKEN "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"'),
+    (4, "Mr. John Smith met Mrs. Mary Smith; John Smith left. Frau Müller und Dr. Weber."),
+    (5, "г-жа Мария Иванова и г-н Иван Иванов."),
+    (6, "Nothing here: 1234, v1.2.3, a@b, 12:30."),
+    (7, None),
+    (8, ""),
+    (9, "SSN 123-45-6789."),
+    (9, "SSN 123-45-6789."),
+    (None, "jo.98@mail5.example.com"),
+    (10, "x " * 30_000 + "jo.98@mail5.example.com" + " y" * 10),
+]
+
+
+@pytest.fixture(scope="module")
+def out(spark):
+    return S.replace_pii(documents(spark, TEXTS), PARAMS, count="n_found")
+
+
+@pytest.fixture(scope="module")
+def new(out):
+    return {r.doc_id: r.text for r in out.collect()}
+
+
+def test_no_entity_is_left_and_other_text_is_unchanged(out, new):
+    assert len(TEXTS) == out.count() and out.columns == [*documents(out.sparkSession, []).columns, "n_found"]
+    for i, old in TEXTS:
+        if i in (6, 7, 8):
+            assert new[i] == old
+            continue
+        parts, parts_new = re.split(r"[\w.@+()\-]+", old), re.split(r"[\w.@+()\-]+", new[i])
+        assert len(parts) == len(parts_new)
+        entities = re.findall(r"\S+@\S+|\d[\d.\- ()]{6,}\d|[0-9a-fA-F]{32,}", old)
+        assert not any(e in new[i] for e in entities)
+
+
+def test_one_entity_has_one_surrogate(new):
+    mails = re.findall(r"(\S+)@(\S+?)[,. ]* ", new[1] + " ")
+    assert mails[0][0].lower() == mails[1][0].lower() and mails[1][0].isupper()
+    assert mails[0][0] != mails[2][0] and mails[0][1] == mails[2][1]
+    assert new[None] in new[1] and new[None] in new[10]
+    phones = [re.sub(r"\D", "", p) for p in re.findall(r"\+1[ (\d)\-]+\d", new[2])]
+    assert phones[0] == phones[1] != "16725550196"
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10
+
+
+def test_formats(new):
+    cards = [re.sub(r"\D", "", c) for c in re.findall(r"(?<!\d)\d[\d ]{14,}\d", new[2])]
+    assert re.search(r"card 4\d{3} \d{4} \d{4} \d{4} and 4\d{15}\.", new[2])
+    assert luhn(cards[0]) == 0 and luhn(cards[1]) != 0
+    assert re.fullmatch(r'At (\d{1,3}\.){3}\d{1,3} and 10\.(\d{1,3}\.){2}\d{1,3}, token = "[0-9a-f]{40}" TOKEN "[0-9A-F]{40}"', new[3])
+    assert re.fullmatch(r"SSN \d{3}-\d{2}-\d{4}\.", new[9])
+    assert "555" in new[2]
+
+
+def test_gender_script_and_people(new):
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs\. (\w+) (\w+); (\w+) (\w+) left\. Frau (\w+) und Dr\. (\w+)\.", new[4])
+    john, smith, mary, smith2, john2, smith3, mueller, weber = m.groups()
+    assert john == john2 and smith == smith2 == smith3 and len({smith, mueller, weber}) == 3
+    assert john in S.GIVEN["m", "latin"] and john != "John" and mary in S.GIVEN["f", "latin"] and mary != "Mary"
+    assert re.fullmatch(r"г-жа [А-Я][а-я]+ [А-Я][а-я]+ и г-н [А-Я][а-я]+ [А-Я][а-я]+\.", new[5])
+    assert new[5].split()[1] in S.GIVEN["f", "cyrillic"]
+
+
+def test_key_decides_and_lengths_are_kept_in_step(spark, new):
+    again = {r.doc_id: r.text for r in S.replace_pii(documents(spark, TEXTS), PARAMS).collect()}
+    other = {r.doc_id: r.text for r in S.replace_pii(documents(spark, TEXTS), S.SurrogateParams(key="other")).collect()}
+    assert again == new and other[1] != new[1]
+    assert all(r.n_chars == len(r.text) for r in S.replace_pii(documents(spark, TEXTS), PARAMS).where("text is not null").collect())
+
+
+def test_many_atoms_of_a_small_domain_stay_distinct(spark):
+    atoms = spark.createDataFrame([("local", f"{a}{b}") for a in "abcdefgh" for b in "0123456789"] + [("local", "z")] * 3, "kind string, canon string")
+    got = S.assign_surrogates(atoms, PARAMS).collect()
+    made = [r.surrogate for r in got]
+    assert len(got) == 81 and len(set(made)) == 81 and not set(made) & {r.canon for r in got}
+
+
+def test_empty_table(spark):
+    assert S.replace_pii(documents(spark, []), PARAMS).count() == 0
+    assert plain(S.replace_pii(documents(spark, [(1, None)]), PARAMS), "doc_id", "text") == [(1, None)]

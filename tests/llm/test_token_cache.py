@@ -1,0 +1,49 @@
+from pathlib import Path
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from coursepath.llm import token_cache as T
+
+from .fixtures import documents
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+DEFINITION = Path(PATH).read_text(encoding="utf-8")
+
+
+@pytest.fixture
+def cache(tmp_path):
+    return str(tmp_path / "cache")
+
+
+def test_counts_are_the_librarys(spark, cache):
+    texts = [(1, "Hello  wörld\n"), (2, None), (3, ""), (4, "<|endoftext|> x"), (5, "ab " * 60_000), (6, "Hello  wörld\n"), (None, "x"), (1, "Hello  wörld\n")]
+    tok = Tokenizer.from_file(PATH)
+    want = sorted(((i, len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False))) for i, t in texts), key=str)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in T.count_tokens(documents(spark, texts), DEFINITION, cache).collect()), key=str)
+    assert got == want
+    assert spark.read.parquet(cache).count() == 5
+
+
+def test_only_misses_are_encoded(spark, cache):
+    T.count_tokens(documents(spark, [(1, "one two"), (2, "three")]), DEFINITION, cache).collect()
+    # A stored count that no encoder gives shows that it is taken from the cache.
+    stored = spark.read.parquet(cache).toPandas()
+    stored["n_tokens"] = 777
+    spark.createDataFrame(stored, T.CACHE_SCHEMA).write.parquet(cache + "2")
+    got = {r.doc_id: r.n_tokens for r in T.count_tokens(documents(spark, [(1, "one two"), (5, "new"), (6, "new")]), DEFINITION, cache + "2").collect()}
+    assert got == {1: 777, 5: 1, 6: 1}
+    assert spark.read.parquet(cache + "2").count() == 3
+
+
+def test_another_tokenizer_has_counts_of_its_own(spark, cache):
+    docs = documents(spark, [(1, "Tokenization")])
+    T.count_tokens(docs, DEFINITION, cache).collect()
+    other = Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
+    assert T.count_tokens(docs, other, cache).first().n_tokens == len(Tokenizer.from_str(other).encode("Tokenization", add_special_tokens=False))
+    assert spark.read.parquet(cache).count() == 2
+
+
+def test_no_documents(spark, cache):
+    assert T.count_tokens(documents(spark, []), DEFINITION, cache).count() == 0
