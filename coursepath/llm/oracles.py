@@ -83,6 +83,107 @@ from ruled join scores using (s), bar
 """
 )
 
+# Every window that a shared five-word shingle aligns, compared by its bag of shingles.
+OP1 = r"""
+with docs as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),
+items as (select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from benchmark),
+doc_grams as (
+    select doc_id, p, array_to_string(w[p + 1:p + 5], ' ') as g from (select doc_id, w, unnest(range(0, len(w) - 4)) as p from docs where len(w) > 4)
+),
+item_grams as (
+    select item_id, n, q, array_to_string(w[q + 1:q + 5], ' ') as g
+    from (select item_id, w, len(w) as n, unnest(range(0, len(w) - 4)) as q from items where len(w) > 4)
+),
+starts as (
+    select distinct doc_id, item_id, n, greatest(0, least(p - q, len(w) - n)) as start
+    from doc_grams join item_grams using (g) join docs using (doc_id)
+),
+windows as (select s.*, w[start + 1:start + n] as w from starts s join docs using (doc_id)),
+bags as (
+    select doc_id, item_id, n, start, array_to_string(w[k + 1:k + 5], ' ') as g, count(*) as c
+    from (select *, unnest(range(0, len(w) - 4)) as k from windows) group by all
+),
+item_bags as (select item_id, g, count(*) as c from item_grams group by all),
+common as (
+    select b.doc_id, b.item_id, b.n, b.start, sum(least(b.c, coalesce(i.c, 0))) as s, sum(b.c) as tw
+    from bags b left join item_bags i on i.item_id = b.item_id and i.g = b.g group by all
+),
+alike as (
+    select doc_id, item_id, n, start, s::double / (tw + ti - s)::double as similarity
+    from common join (select item_id, sum(c) as ti from item_bags group by all) using (item_id)
+)
+select doc_id, item_id, similarity, start::int as start, n::int as n_words from alike where similarity >= 0.8
+qualify row_number() over (partition by doc_id, item_id order by similarity desc, start) = 1
+"""
+
+# All pairs, and all that each vector reaches.
+OP5 = """
+with recursive v as (
+    select vec_id, embedding::double[] as e from embeddings
+    where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+link as (
+    select a.vec_id as x, b.vec_id as y from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+    where list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95
+),
+reach as (select vec_id as x, vec_id as y from embeddings union select r.x, l.y from reach r join link l on l.x = r.y)
+select vec_id, count(y) as n_links, component_id, vec_id = component_id as kept
+from (select x as vec_id, min(y) as component_id from reach group by x) left join link on link.x = vec_id
+group by vec_id, component_id
+"""
+
+# The licence notices.
+_TEMPLATES = """
+    ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
+    ('Apache-2.0', 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ('MIT', 'Released under the MIT License.'),
+    ('MIT', 'This project is licensed under the MIT License.'),
+    ('MIT', 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
+    ('GPL-2.0', 'This work is licensed under the GNU General Public License, version 2.'),
+    ('GPL-3.0', 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.'),
+    ('LGPL-2.1', 'This work is licensed under the GNU Lesser General Public License, version 2.1.'),
+    ('AGPL-3.0', 'This work is licensed under the GNU Affero General Public License, version 3.'),
+    ('MPL-2.0', 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.'),
+    ('BSD-3-Clause', 'Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.'),
+    ('BSD-3-Clause', 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:'),
+    ('ISC', 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.'),
+    ('CC-BY-4.0', 'Licensed under CC BY 4.0.'),
+    ('CC-BY-SA-4.0', 'Licensed under CC BY-SA 4.0.'),
+    ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
+    ('CC-BY-4.0', 'This work is licensed under a Creative Commons Attribution 4.0 International License.'),
+    ('CC0-1.0', 'To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.'),
+    ('Unlicense', 'This is free and unencumbered software released into the public domain.')
+"""
+
+OP6 = r"""
+with templates(license, t) as (values """ + _TEMPLATES + r"""),
+known as (
+    select license, t, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) as b
+    from (select *, list_filter(string_split_regex(lower(t), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from templates)
+),
+passages as (
+    select doc_id, unnest(list_concat(string_split(body, chr(10)), list_filter(string_split_regex(body, '\n\s*\n'), lambda p: contains(trim(p), chr(10))))) as p
+    from (select doc_id, lower(coalesce(text, '')) as body from documents)
+),
+numbered as (
+    select row_number() over () as k, doc_id, list_filter(string_split_regex(p, '[^\p{L}\p{N}]+'), lambda x: x <> '') as w
+    from passages where regexp_matches(p, 'licen|permission|redistribut|unencumbered|waived|free software')
+),
+sized as (select k, doc_id, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) as a from numbered where len(w) > 1),
+scored as (
+    select k, doc_id, license, 2 * len(list_intersect(a, b)) / (len(a) + len(b))::double as dice
+    from sized join known on len(a) between 0.73 * len(b) and 1.36 * len(b)
+),
+best as (
+    select * from scored where dice >= 0.85 qualify row_number() over (partition by k order by dice desc, license) = 1
+)
+select doc_id, license, max(dice) as dice, count(*) as n_passages from best group by doc_id, license
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_decontamination": OP1,
     "op3_url_models": OP3,
+    "op5_embedding_pq": OP5,
+    "op6_license_dice": OP6,
 }
