@@ -174,10 +174,10 @@ def build_extract(
 ) -> DataFrame:
     """The full extract: course history with progress, earliest admit term and class level.
 
-    The student-term attributes are put together first; the course rows then meet them in one
-    join, which also restricts them to the cohort. ``ordered`` sorts by student and term.
+    Each source of courses is restricted to the cohort before it meets its classes. The student-term attributes are put
+    together apart from that, and the course rows meet them in one join. ``ordered`` sorts by student and term.
     """
-    courses = course_history(src, first_term=first_term)
+    courses = course_history(src, cohort, first_term)
     levels = src["census"].select("emplid", "strm", "um_clevel_descr")
     rows = src["progress"].where(F.col("acad_plan").isin(*plans)).join(levels, ["emplid", "strm"], "left")
     terms = _student_terms(rows, courses, cohort, src["admissions"], "left")
@@ -198,7 +198,8 @@ def build_schedule(
     ``ordered`` sorts by student and term.
     """
     classes = src["class_dim"].select("class_nbr", "strm", "subject", "catalog_nbr")
-    courses = attach_class(_enrolled(src["enrolment"], repeats=False), classes, "inner")
+    enrolled = _in_cohort(_enrolled(src["enrolment"], repeats=False), cohort, ["strm", "class_nbr"])
+    courses = attach_class(enrolled, classes, "inner")
     in_level = src["census"].where(F.col("um_clevel_descr").isin(*levels)).select("emplid", "strm", "um_clevel_descr")
     rows = src["progress"].where(F.col("acad_plan").isin(*plans)).join(in_level, ["emplid", "strm"])
     terms = _student_terms(rows, courses, cohort, src["admissions"], "inner")

@@ -42,6 +42,13 @@ def test_cohort_restriction_is_a_semi_join(spark, sf_dir):
     assert "LeftSemi" in plan_of(history.course_history(src, students, "2400"))
 
 
+@pytest.mark.parametrize("name, facts", [("build_extract", 3), ("build_schedule", 1)])
+def test_cohort_cuts_each_fact_of_an_extract_first(spark, sf_dir, name, facts):
+    plan = plan_of(QUERIES[name](spark, sf_dir))
+    # Once for the rows and once for the terms that count for lifetime hours.
+    assert plan.count("LeftSemi") >= 2 * facts
+
+
 def test_counter_shuffles_rows_once_and_then_only_student_terms(spark, sf_dir, no_broadcast):
     df = eligible_terms(classed_history(spark, sf_dir), RULES, last_term=LAST_TERM)
     exchanges = operators(df, "Exchange hashpartitioning")
