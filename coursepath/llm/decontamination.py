@@ -18,7 +18,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coursepath.llm.tables import stored, text_or_empty, without
+from coursepath.llm.tables import free_name, stored, text_or_empty, without
 
 
 @dataclass(frozen=True)
@@ -182,5 +182,6 @@ def _by_windows(corpus: DataFrame, bench: DataFrame, span, params: Decontaminati
 
 def decontaminate(docs: DataFrame, items: DataFrame, params: DecontaminationParams = DecontaminationParams(), id: str = "doc_id") -> DataFrame:
     """The documents without those that match an item; all columns stay."""
-    bad = contaminated(docs, items, params, id).select(F.col(id).alias("bad")).distinct()
-    return without(docs, bad, F.col(f"`{id}`").eqNullSafe(F.col("bad")))
+    name = free_name(docs, "contaminated_id")
+    bad = contaminated(docs, items, params, id).select(F.col(id).alias(name)).distinct()
+    return without(docs, bad, F.col(f"`{id}`").eqNullSafe(F.col(name)))
