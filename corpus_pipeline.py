@@ -26,14 +26,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows without an id go if another row of their group has an id, else one of them stays. If ids repeat, a
     document is an id with a fingerprint: different texts under one id are judged one by one, and equal rows become one.
     """
+    gone, print_, mark = (free_name(docs, c) for c in ("gone_id", "gone_fingerprint", "fingerprint_of_row"))
     groups = stored(simhash_trie.simhash_groups(docs), "groups")
-    out = groups.where(~F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("doc_id").alias("gone"), "fp").distinct()
-    repeats = not groups.groupBy("doc_id").count().where("count > 1").isEmpty()
-    if not repeats:
-        return without(docs, out, F.col("doc_id").eqNullSafe(F.col("gone")))
-    mark = free_name(docs, "fingerprint_of_row")
+    others = groups.where(~F.col("doc_id").eqNullSafe(F.col("component")))
+    out = others.select(F.col("doc_id").alias(gone), F.col("fp").alias(print_)).distinct()
+    same_id = F.col("doc_id").eqNullSafe(F.col(gone))
+    if groups.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return without(docs, out, same_id)
     marked = simhash_trie.with_fingerprint(docs, out=mark).dropDuplicates(["doc_id", mark])
-    return without(marked, out, F.col("doc_id").eqNullSafe(F.col("gone")) & (F.col(mark) == F.col("fp"))).drop(mark)
+    return without(marked, out, same_id & (F.col(mark) == F.col(print_))).drop(mark)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
