@@ -97,7 +97,7 @@ def _stretched(text: str) -> int:
 
 
 FEATURES = (
-    "log_words", "hit_density", "log_hits", "log_kinds", "weight_density", "heaviest", "second_heaviest", "near_you",
+    "hit_density", "log_hits", "log_kinds", "weight_density", "heaviest", "second_heaviest", "near_you",
     "you_density", "unmasked_hits", "capitals", "shouted_words", "punctuation", "shouts", "masked_words", "spaced_words",
     "stretched_words",
 )
@@ -127,7 +127,6 @@ def features_of(text: str, lexicon: Lexicon, starts: frozenset[str]) -> list[flo
     unmasked = Counter([*spaced, *(w.lower().translate(_LEET) for w in masked)])
     loud = capitals > 0.3 * chars
     return [
-        math.log1p(len(words)),
         hits / n,
         math.log1p(hits),
         math.log1p(len(found)),
