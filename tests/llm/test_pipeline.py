@@ -16,7 +16,7 @@ def sf(spark, tmp_path_factory):
         bad = i % 4 == 0
         words = prose(rng, 60).split()
         for _ in range(3 * bad):
-            words.insert(rng.randrange(60), rng.choice(["nastyone", "nastytwo"]))
+            words[rng.randrange(60)] = rng.choice(["nastyone", "nastytwo"])
         texts.append((i, " ".join(words)))
         labels.append((i, 1, int(bad)))
     item = prose(rng, 30)
