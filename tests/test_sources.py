@@ -136,3 +136,15 @@ def test_tune_leaves_explicit_settings_alone(spark):
     spark.conf.set(key, "false")
     assert tune(spark).conf.get(key) == "false"
     spark.conf.unset(key)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "yarn"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
