@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from coursepath.llm.tables import stored, text_or_empty
 
-_BATCH_CHARS = 1 << 21  # characters encoded at once, or one text if it is longer
+_BATCH_CHARS = 1 << 19  # characters encoded at once, or one text if it is longer
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 
