@@ -44,9 +44,11 @@ PATTERNS = {
     "phone": r"(?<![\w+.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .\-]\d{2,4}){2,5}(?!\w)",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "card": r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?!\w)",
-    "person": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.?[ ]{_NAME}(?:[ ]{_NAME})?|(?:{_LISTED})[ ]{_NAME})",
+    "person": rf"(?=[\p{{Lu}}г])(?<!\p{{L}})(?:(?:{_TITLE})\.?[ ]{_NAME}(?:[ ]{_NAME})?|(?:{_LISTED})[ ]{_NAME})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# Every entity but a person holds one of these, so that most texts need no look at the long pattern.
+_SIGNS = r"[0-9@]|[a-f]{32}|[A-F]{32}|ghp_|sk-|xox[bp]-"
 _DIGITS = ("phone", "ssn", "card")
 _FIXED_LENGTH = ("phone", "ssn", "card", "ip", "secret")
 
@@ -216,7 +218,13 @@ def replace_pii(docs: DataFrame, params: SurrogateParams, text: str = "text", co
     """
     found, key, new = (free_name(docs, c) for c in ("entities", "entity_key", "replacements"))
     body = F.col(f"`{text}`")
-    marked = docs.withColumn(found, F.regexp_extract_all(text_or_empty(text), F.lit(ANY), 0))
+    whole_text, person = text_or_empty(text), PATTERNS["person"]
+    entities = (
+        F.when(whole_text.rlike(_SIGNS), F.regexp_extract_all(whole_text, F.lit(ANY), 0))
+        .when(whole_text.rlike(person), F.regexp_extract_all(whole_text, F.lit(person), 0))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    marked = docs.withColumn(found, entities)
     clean = marked.where(F.size(found) == 0).drop(found)
     dirty = stored(marked.where(F.size(found) > 0).withColumn(key, F.md5(F.array_join(found, "\x1f"))), "documents_with_entities")
 
