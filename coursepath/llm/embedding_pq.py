@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from coursepath.llm.components import connected_components, forest
 from coursepath.llm.tables import stored
 
+_ROWS = 8_192  # rows of the index or of visits that a task makes at once
 _SLACK = 1e-6  # distances are rounded; candidates get this much room
 
 
@@ -100,9 +101,9 @@ def _placed(q: Quantiser, members: bool):
     """Rows of the index (with codes), or of the visits to other lists."""
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
+        # Visits multiply the rows: only so many vectors at once that few rows are in memory.
+        step = max(1, _ROWS // (1 if members else len(q.centers)))
+        for batch in (b[at : at + step] for b in batches for at in range(0, len(b), step)):
             x = np.stack(batch.v.to_numpy()).astype(np.float64)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             own = q.nearest(x)
