@@ -48,7 +48,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Every entity but a person holds one of these, so that most texts need no look at the long pattern.
-_SIGNS = r"[0-9@]|[a-f]{32}|[A-F]{32}|ghp_|sk-|xox[bp]-"
+_SIGNS = r"[0-9@]|[a-f]{32}|[A-F]{32}|AKIA|ghp_|sk-|xox[bp]-"
 _DIGITS = ("phone", "ssn", "card")
 _FIXED_LENGTH = ("phone", "ssn", "card", "ip", "secret")
 
@@ -219,8 +219,9 @@ def replace_pii(docs: DataFrame, params: SurrogateParams, text: str = "text", co
     found, key, new = (free_name(docs, c) for c in ("entities", "entity_key", "replacements"))
     body = F.col(f"`{text}`")
     whole_text, person = text_or_empty(text), PATTERNS["person"]
+    signs = whole_text.rlike(_SIGNS)
     entities = (
-        F.when(whole_text.rlike(_SIGNS), F.regexp_extract_all(whole_text, F.lit(ANY), 0))
+        F.when(signs, F.regexp_extract_all(whole_text, F.lit(ANY), 0))
         .when(whole_text.rlike(person), F.regexp_extract_all(whole_text, F.lit(person), 0))
         .otherwise(F.array().cast("array<string>"))
     )
@@ -247,7 +248,8 @@ def replace_pii(docs: DataFrame, params: SurrogateParams, text: str = "text", co
         mentions.join(replaced, "raw").groupBy(F.col("key").alias(key)).agg(F.transform(row, lambda x: x["out"]).alias(new)),
         "replacements",
     )
-    pieces = F.split(body, ANY, -1)
+    # Split by the pattern that the entities were found with, so that pieces and replacements line up.
+    pieces = F.when(signs, F.split(body, ANY, -1)).otherwise(F.split(body, person, -1))
     whole = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.when(i < F.size(new), F.get(F.col(new), i)).otherwise(""))), "")
     changed = dirty.join(by_key, key).withColumn(text, whole)
     if "n_chars" in docs.columns:
