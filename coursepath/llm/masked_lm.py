@@ -1,16 +1,18 @@
 """Masked pseudo-likelihood scores by a bidirectional window network trained in numpy.
 
 Each token is predicted from the two tokens before it and the two after it; a document's score is the sum of the
-log-probabilities of all its tokens. Word counts over the whole corpus choose the vocabulary. Training goes over every
-document: each task starts a round from the same weights and runs through its documents' positions (every ``stride``-th,
-from an offset that moves with the round); Spark averages the tasks' weights, by tokens, parameter by parameter.
+log-probabilities of all its words. A word's probability is that of its class given both sides, by the network, times
+the word's share of its class, by the counts of the whole corpus; a frequent word is a class of its own, the others
+share classes by their endings. Training goes over every position of every document: each task starts a round from the
+same weights and runs through its documents' positions (every ``stride``-th, from an offset that moves with the round);
+Spark averages the tasks' weights, by tokens, parameter by parameter.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -27,8 +29,9 @@ class MaskedLmParams:
     words: int = 192  # most frequent words with an id of their own
     endings: int = 64  # ids shared by all other words, by their last three letters
     width: int = 16
-    rounds: int = 2
-    stride: int = 16  # one position in so many is trained on in a round
+    rounds: int = 2  # from ``stride`` rounds on, every position is trained on
+    stride: int = 2  # one position in so many is trained on in a round
+    held: int = 65_536  # further words whose shares each task holds; the shares of the rest are joined
     batch: int = 512
     rate: float = 0.05
     seed: int = 5
@@ -104,7 +107,9 @@ def _train(weights: list[np.ndarray], ids: np.ndarray, at: np.ndarray, squares:
         back = (wrong @ weights[2].T) * (1 - hidden**2)
         steps = [np.zeros_like(weights[0]), back.sum(0), hidden.T @ wrong, wrong.sum(0)]
         for k, c in enumerate(context):
-            np.add.at(steps[0][k], c, back)
+            order = np.argsort(c, kind="stable")
+            rows, first = np.unique(c[order], return_index=True)
+            steps[0][k][rows] = np.add.reduceat(back[order], first)
         for w, s, q in zip(weights, steps, squares):
             q += s * s
             w -= params.rate * s / (np.sqrt(q) + 1e-6)
@@ -119,6 +124,11 @@ def _shaped(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
     return [part.reshape(w.shape).astype(np.float32) for part, w in zip(np.split(flat, cuts), like)]
 
 
+def targets(n: int, number: int, params: MaskedLmParams) -> np.ndarray:
+    """Which of ``n`` tokens a round trains on."""
+    return (np.arange(n) + number) % params.stride == 0
+
+
 def _round(texts: DataFrame, vocabulary: Vocabulary, weights: list[np.ndarray], number: int, params: MaskedLmParams) -> list[np.ndarray]:
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine, seen = [w.copy() for w in weights], 0
@@ -126,7 +136,7 @@ def _round(texts: DataFrame, vocabulary: Vocabulary, weights: list[np.ndarray],
         for batch in batches:
             ids, _ = vocabulary.stream(batch.text)
             at = np.flatnonzero(ids != vocabulary.pad)
-            at = at[(np.arange(len(at)) + number) % params.stride == 0]
+            at = at[targets(len(at), number, params)]
             _train(mine, ids, at, squares, params)
             seen += len(at)
         if seen:
@@ -146,9 +156,12 @@ def _round(texts: DataFrame, vocabulary: Vocabulary, weights: list[np.ndarray],
 class MaskedLm:
     vocabulary: Vocabulary
     weights: list[np.ndarray]
+    log_shares: dict[str, float]  # of the own and the held words within their classes
+    totals: list[int]  # words of the corpus by class
+    counts: DataFrame | None  # all words of the corpus with their counts
 
-    def scores(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens and summed log-probabilities of plain texts."""
+    def scores(self, texts) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+        """Tokens and summed log-probabilities of plain texts, and the words whose shares are still to be added."""
         ids, owner = self.vocabulary.stream(texts)
         at = np.flatnonzero(ids != self.vocabulary.pad)
         logs = np.empty(len(at))
@@ -158,40 +171,67 @@ class MaskedLm:
             chosen = logits[np.arange(len(here)), ids[here]]
             logs[start : start + 8192] = chosen - np.log(np.exp(logits).sum(1))
         n = int(owner.max()) + 1
-        return np.bincount(owner[at], minlength=n), np.bincount(owner[at], logs, minlength=n)
+        shares, others = np.zeros(n), []
+        for k, text in enumerate(texts):
+            words = text.split(" ") if text else []
+            found = [self.log_shares.get(w) for w in words]
+            others.append([w for w, x in zip(words, found) if x is None])
+            shares[k] = sum(x for x in found if x is not None)
+        return np.bincount(owner[at], minlength=n), np.bincount(owner[at], logs, minlength=n) + shares, others
 
 
 def train_masked_lm(docs: DataFrame, params: MaskedLmParams = MaskedLmParams(), text: str = "text") -> MaskedLm:
     """The network of a corpus. Null and empty texts teach nothing; an empty corpus gives an even prediction."""
     texts = docs.select(plain(text_or_empty(text)).alias("text"))
     counts = stored(texts.select(F.explode(F.split("text", " ")).alias("w")).where("w != ''").groupBy("w").agg(F.count("*").alias("n")), "word_counts")
-    top = [r.w for r in counts.orderBy(F.desc("n"), "w").limit(params.words).collect()]
+    frequent = counts.orderBy(F.desc("n"), "w").limit(params.words + params.held).collect()
+    top = [r.w for r in frequent[: params.words]]
     vocabulary = Vocabulary(top, params.endings)
     own = F.create_map(*(F.lit(x) for k, w in enumerate(top) for x in (w, k))) if top else None
-    ending = len(top) + F.crc32(F.expr("right(w, 3)")) % params.endings
+    ending = _ending(len(top), params.endings)
     token = F.coalesce(own[F.col("w")], ending) if top else ending
     shares = {r.t: r.n for r in counts.groupBy(token.alias("t")).agg(F.sum("n").alias("n")).collect()}  # one row an id
     share = np.array([shares.get(k, 0) + 1.0 for k in range(vocabulary.pad)])
     weights = _blank(vocabulary, np.log(share / share.sum()), params)
     for number in range(params.rounds):
         weights = _round(texts, vocabulary, weights, number, params)
-    return MaskedLm(vocabulary, weights)
+    totals = [shares.get(k, 0) for k in range(vocabulary.pad)]
+    log_shares = {w: 0.0 for w in top}
+    log_shares |= {r.w: float(np.log(r.n / (totals[vocabulary.of(r.w)] + 1))) for r in frequent[params.words :]}
+    return MaskedLm(vocabulary, weights, log_shares, totals, counts)
+
+
+def _ending(own: int, endings: int) -> Column:
+    """The class of a word ``w`` that has none of its own."""
+    return own + F.crc32(F.expr("right(w, 3)")) % endings
 
 
 def score_documents(docs: DataFrame, model: MaskedLm, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, n_tokens, log_likelihood, per_token)`` for every row.
 
     Null, empty and wordless texts have no tokens, a sum of 0 and no mean. Whole texts count, however long; repeated rows and null
-    ids are rows like any other.
+    ids are rows like any other. A class keeps room for one more word than the corpus has in it, which words that the corpus lacks get.
     """
+    network = replace(model, counts=None)
 
-    @F.pandas_udf("n_tokens long, log_likelihood double")
+    @F.pandas_udf("n_tokens long, log_likelihood double, others array<string>")
     def score(texts: pd.Series) -> pd.DataFrame:
         if texts.empty:
-            return pd.DataFrame({"n_tokens": [], "log_likelihood": []})
-        tokens, logs = model.scores(texts)
-        return pd.DataFrame({"n_tokens": tokens, "log_likelihood": logs})
+            return pd.DataFrame({"n_tokens": [], "log_likelihood": [], "others": []})
+        tokens, logs, others = network.scores(texts)
+        return pd.DataFrame({"n_tokens": tokens, "log_likelihood": logs, "others": others})
 
-    scored = docs.select(F.col(f"`{id}`").alias(id), score(plain(text_or_empty(text))).alias("s"))
-    n, total = F.col("s.n_tokens"), F.col("s.log_likelihood")
-    return scored.select(id, n.alias("n_tokens"), total.alias("log_likelihood"), F.when(n > 0, total / n).alias("per_token"))
+    scored = stored(
+        docs.select(F.col(f"`{id}`").alias("id"), F.monotonically_increasing_id().alias("row"), score(plain(text_or_empty(text))).alias("s")).select("id", "row", "s.*"),
+        "scored_documents",
+    )
+    total = F.get(F.array(*map(F.lit, model.totals)), _ending(len(model.vocabulary.ids), model.vocabulary.endings).cast("int"))
+    shares = (
+        scored.select("row", F.explode("others").alias("w"))
+        .join(model.counts, "w", "left")
+        .groupBy("row")
+        .agg(F.sum(F.log(F.coalesce("n", F.lit(1)) / (total + 1))).alias("shares"))
+    )
+    n, sums = F.col("n_tokens"), F.col("log_likelihood") + F.coalesce("shares", F.lit(0.0))
+    out = scored.join(shares, "row", "left")
+    return out.select(F.col("id").alias(id), n, sums.alias("log_likelihood"), F.when(n > 0, sums / n).alias("per_token"))

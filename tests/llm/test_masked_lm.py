@@ -65,3 +65,23 @@ def test_no_documents(spark):
     assert M.score_documents(empty, model).count() == 0
     one = M.score_documents(documents(spark, [(1, "x y")]), model).first()
     assert one.per_token == pytest.approx(-np.log(model.vocabulary.pad), abs=1e-5)
+
+
+def test_every_position_is_trained_on():
+    params = M.MaskedLmParams()
+    for n in (1, 2, 5, 1000):
+        times = sum(M.targets(n, number, params).astype(int) for number in range(params.rounds))
+        assert (times == 1).all()
+
+
+@pytest.mark.parametrize("held", [0, 2, 100])
+def test_rare_words_keep_their_own_probability(spark, held):
+    texts = [(1, "the the the the xing xing xing ying"), (2, "the zing the ying")]
+    params = M.MaskedLmParams(words=1, endings=1, rounds=0, held=held)  # one class holds all words but "the"
+    model = M.train_masked_lm(documents(spark, texts), params)
+    ask = [(1, "xing"), (2, "zing"), (3, "never seen"), (4, "the"), (5, "xing ying")]
+    got = {r.doc_id: r.log_likelihood for r in M.score_documents(documents(spark, ask), model).collect()}
+    rare = np.log((6 + 1) / (12 + 2))
+    xing, ying, one = (np.log(k / 7) + rare for k in (3, 2, 1))
+    want = {1: xing, 2: one, 3: 2 * one, 4: np.log((6 + 1) / (12 + 2)), 5: xing + ying}
+    assert got == pytest.approx(want, abs=1e-5)
