@@ -107,3 +107,12 @@ def test_multi_index_finds_every_pair_within_the_radius(spark):
     left = D.blocks(spark.createDataFrame([(k, a) for k, (a, _) in enumerate(pairs)], "k int, fp long"), 15)
     right = D.blocks(spark.createDataFrame([(k, b) for k, (_, b) in enumerate(pairs)], "k int, fp long"), 15)
     assert left.join(right, ["k", "block", "bits"]).select("k").distinct().count() == 50
+
+
+def test_cut_windows_just_at_the_similarity_are_all_found(spark):
+    rng = random.Random(4)
+    items = [(k, prose(rng, 59, 10**9)) for k in range(400)]
+    texts = [(k, " ".join(t.split()[:48])) for k, t in items]  # 44 of 55 shingles: 0.8
+    assert similarity(words(texts[0][1]), words(items[0][1])) == 0.8
+    found = D.contaminated(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    assert plain(found, "doc_id", "item_id") == sorted(((k, k) for k in range(400)), key=str)
