@@ -63,3 +63,21 @@ def test_every_match_holds_a_telling_word():
 
 def test_no_documents(spark):
     assert plain(L.scan_licenses(documents(spark, [])), "doc_id") == []
+
+
+def test_notices_inside_other_words_are_found(spark):
+    rng = random.Random(3)
+    by, mit, gpl = "Licensed under CC BY-NC 4.0.", "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
+    texts = [
+        (1, f"Copyright 2020 Foo. {by} All rights reserved."),
+        (2, prose(rng, 300) + " " + gpl + " " + prose(rng, 300)),
+        (3, f"{by} {mit} {by}"),
+        (4, f"{prose(rng, 9)} this work is licensed under the GNU\nGeneral Public License,\n\nversion 3 {prose(rng, 9)}"),
+        (5, f"{mit}\n{prose(rng, 30)} {mit}"),
+        (6, prose(rng, 200) + " license under the " + prose(rng, 50)),
+        (7, prose(rng, 20) + " " + mit),
+        (None, f"Copyright 2020 Foo. {by} All rights reserved."),
+    ]
+    got = plain(L.scan_licenses(documents(spark, texts + texts[:1])), "doc_id", "license", "dice", "n_passages")
+    want = [(1, "CC-BY-NC-4.0", 1.0, 2), (2, "GPL-3.0", 1.0, 1), (3, "CC-BY-NC-4.0", 1.0, 2), (3, "MIT", 1.0, 1), (4, "GPL-3.0", 1.0, 1), (5, "MIT", 1.0, 2), (7, "MIT", 1.0, 1), (None, "CC-BY-NC-4.0", 1.0, 1)]
+    assert got == sorted(want, key=str)
