@@ -181,7 +181,8 @@ def _by_windows(corpus: DataFrame, bench: DataFrame, span, params: Decontaminati
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, params: DecontaminationParams = DecontaminationParams(), id: str = "doc_id") -> DataFrame:
-    """The documents without those that match an item; all columns stay."""
-    name = free_name(docs, "contaminated_id")
-    bad = contaminated(docs, items, params, id).select(F.col(id).alias(name)).distinct()
-    return without(docs, bad, F.col(f"`{id}`").eqNullSafe(F.col(name)))
+    """The documents without those that match an item; all columns stay. Texts under one id, or without an id, are judged one by one."""
+    row, name = free_name(docs, "id_and_words"), free_name(docs, "contaminated_id")
+    marked = docs.withColumn(row, F.struct(F.col(f"`{id}`").alias("id"), F.md5(F.concat_ws(" ", words_of(text_or_empty("text")))).alias("words")))
+    bad = contaminated(marked, items, params, row).select(F.col(row).alias(name)).distinct()
+    return without(marked, bad, F.col(row).eqNullSafe(F.col(name))).drop(row)

@@ -116,3 +116,14 @@ def test_cut_windows_just_at_the_similarity_are_all_found(spark):
     assert similarity(words(texts[0][1]), words(items[0][1])) == 0.8
     found = D.contaminated(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
     assert plain(found, "doc_id", "item_id") == sorted(((k, k) for k in range(400)), key=str)
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1_000_000])
+def test_clean_texts_under_a_contaminated_id_stay(spark, broadcast_rows):
+    rng = random.Random(5)
+    item, *clean = (prose(rng, 30) for _ in range(4))
+    bad = f"{clean[0]} {item} {clean[1]}"
+    docs = documents(spark, [(1, bad), (1, clean[0]), (1, clean[0]), (None, bad), (None, clean[1]), (None, None), (2, clean[2])])
+    left = D.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), D.DecontaminationParams(broadcast_rows=broadcast_rows))
+    assert left.columns == docs.columns
+    assert plain(left, "doc_id", "text") == sorted([(1, clean[0]), (1, clean[0]), (None, clean[1]), (None, None), (2, clean[2])], key=str)
