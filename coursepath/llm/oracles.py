@@ -181,9 +181,35 @@ best as (
 select doc_id, license, max(dice) as dice, count(*) as n_passages from best group by doc_id, license
 """
 
+OP11 = """
+with split as (
+    select doc_id, string_split(coalesce(text, ''), chr(10)) as all_lines from documents
+),
+lines as (
+    select doc_id, unnest(all_lines) as line, generate_subscripts(all_lines, 1) as i from split
+),
+keyed as (
+    select *, translate(
+        trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'
+    ) as k
+    from lines
+),
+first_holder as (
+    select k, min(doc_id) as keeps from keyed where length(k) >= 10 group by k
+),
+judged as (
+    select keyed.*, coalesce(doc_id <> keeps, false) as dropped from keyed left join first_holder using (k)
+)
+select
+    doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) order by i) filter (not dropped), '')) as kept_sha256
+from judged group by doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": OP1,
     "op3_url_models": OP3,
     "op5_embedding_pq": OP5,
     "op6_license_dice": OP6,
+    "op11_line_store": OP11,
 }

@@ -4,12 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from pathlib import Path
+from zlib import crc32
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursepath.llm import decontamination, embedding_pq, licenses, masked_lm, packing, simhash_trie, surrogates, token_cache, toxicity, url_filter
+from coursepath.llm import (
+    cross_tokenizer,
+    decontamination,
+    embedding_pq,
+    licenses,
+    line_store,
+    masked_lm,
+    packing,
+    periodic_runs,
+    simhash_trie,
+    surrogates,
+    token_cache,
+    toxicity,
+    url_filter,
+)
 from coursepath.llm.tables import new_path, read
 
 PII_PARAMS = surrogates.SurrogateParams(key="key-of-the-checks")
@@ -88,6 +103,52 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_line_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines left of each document, by a store of its own that takes in the whole table first."""
+    docs = read(spark, sf_dir, "documents")
+    store = line_store.LineStore(spark, new_path(spark, "line_store"))
+    store.insert(docs)
+    kept = store.deduplicated(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = cross_tokenizer.Tokenizers(
+        Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8"),
+        Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes(),
+    )
+    written = cross_tokenizer.align_tokenizers(
+        read(spark, sf_dir, "documents"), pair, groups=lambda g: F.when(g == "", "").otherwise(F.sha2(g, 256))
+    ).documents
+    return written.withColumnRenamed("groups", "groups_sha256")
+
+
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """A tail that repeats its first words, in a tenth of the documents that the id's digest chooses; a null id is none of them."""
+    digest, n = crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or digest % 10 or not n:
+        return words
+    first = digest // 10 % n
+    period = 1 + (n - first) // (3 + digest // 10 % 8)
+    return words[:first] + [words[first + k % period] for k in range(n - first)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(read(spark, sf_dir, "documents"), rewrite=planted_period)
+    greatest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("x"), (-r.period).alias("y"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return found.withColumn("most", greatest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("most.x")).alias("start"),
+        F.col("most.length").alias("length"),
+        (-F.col("most.y")).alias("period"),
+        F.expr("1000 * most.length div -most.y").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -99,4 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_masked_lm": op9_masked_lm,
     "op10_simhash_trie": op10_simhash_trie,
+    "op11_line_store": op11_line_store,
+    "op12_cross_tokenizer": op12_cross_tokenizer,
+    "op13_periodic_runs": op13_periodic_runs,
 }

@@ -47,3 +47,30 @@ def without(df: DataFrame, gone: DataFrame, match: Column) -> DataFrame:
     """``df`` without the rows that match a row of ``gone``, a table of ids, broadcast only if it is small."""
     gone = stored(gone, "gone")
     return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, match, "left_anti")
+
+
+def frequent(table: DataFrame, weight: str, most: int) -> Column:
+    """Whether a row's ``weight`` (a positive number) is so high that at most ``most`` rows have as high a one.
+
+    Decided by powers of two, so the driver sees some sixty counts at most, whatever the table's size.
+    """
+    power = F.floor(F.log2(F.col(weight).cast("double"))).cast("int")
+    seen, edge = 0, None
+    for p, n in sorted(((r[0], r[1]) for r in table.groupBy(power).agg(F.count("*")).collect()), reverse=True):
+        seen += n
+        if seen > most:
+            break
+        edge = p
+    return F.lit(False) if edge is None else power >= edge
+
+
+def joined_by_frequency(rows: DataFrame, lookup: DataFrame, key: str | list[str], is_hot: Column) -> DataFrame:
+    """Inner join with a lookup of one row per key, whose frequent keys are broadcast and whose others are shuffled.
+
+    ``is_hot`` marks a bounded number of lookup rows (see ``frequent``). Their rows, which may be most of all, stay in
+    their tasks, so no hot key is dealt to one task and only rows of rare keys are shuffled.
+    """
+    hot = F.broadcast(lookup.where(is_hot))
+    keys = [key] if isinstance(key, str) else key
+    rare = rows.join(hot.select(*keys), keys, "left_anti").join(lookup.where(~is_hot), keys)
+    return rows.join(hot, keys).unionByName(rare)
