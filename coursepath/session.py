@@ -56,11 +56,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder now, and read it back. Cuts the lineage; what reads it twice evaluates it once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of whichever file system the path names; one that isn't there is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _remove(spark: SparkSession, root: str) -> None:
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
     try:
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove_path(spark, root)
     except Exception:  # noqa: BLE001  the JVM may be gone already; the folder then stays for the cluster to clear
         return
 

@@ -1,5 +1,5 @@
 from .local import local_table
-from .readers import load_sources, preview, read_history, read_rules
+from .readers import load_sources, preview, read_history, read_rules, scan_csv
 from .schemas import HISTORY_SCHEMA, RULE_SCHEMA, SOURCE_SCHEMAS
 from .writers import export_eligible, write_csv
 
@@ -13,5 +13,6 @@ __all__ = [
     "preview",
     "read_history",
     "read_rules",
+    "scan_csv",
     "write_csv",
 ]

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from coursepath import fixed_values as fv
 from coursepath.operators.cohort import census_listing
@@ -12,6 +13,7 @@ from coursepath.sources import (
     preview,
     read_history,
     read_rules,
+    scan_csv,
     write_csv,
 )
 
@@ -77,15 +79,13 @@ def test_full_rule_table_survives_a_file(spark, tmp_path):
     assert set(back) == set(CURRENT_RULES)
 
 
-def test_many_rules_load_and_count_alike_in_groups(spark):
+def test_many_rules_load_and_count_alike(spark):
     from coursepath.operators.eligibility import eligible_terms
-    from coursepath.operators.rules import rule_groups
 
     from .data import frame, random_histories
 
     rules = [Rule(f"T_{k}", min_hours=float(k % 60)) for k in range(150)]
     assert set(rules_from_table(rules_table(spark, rules).union(rules_table(spark, rules)), ())) == set(rules)
-    assert [len(g) for g in rule_groups(rules + rules)] == [62, 62, 26]
     hist = frame(spark, random_histories(6, ["T_1", "T_100"], 3))
     last = hist.agg({"strm": "max"}).first()[0]
     got = eligible_terms(hist, rules, last_term=last).where("target in ('T_1', 'T_100')").collect()
@@ -93,6 +93,54 @@ def test_many_rules_load_and_count_alike_in_groups(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, one))
 
 
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_malformed_rows_go_to_the_quarantine(spark, tmp_path, multi_line):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("EMPLID,STRM,ACAD_PLAN\n0001,5343,P1\n0002,5343\n0003,5343,P1,more\n\n0004,5343,\n")
+    (tmp_path / "in" / "b.csv").write_text("\ufeffStrm,emplid\n5344,0005\n5344,0006,x\n")
+    (tmp_path / "in" / "c.csv").write_text("emplid\n0007\n")
+    (tmp_path / "in" / "d.csv").write_text("EMPLID,STRM,ACAD_PLAN\n")
+    read = lambda **more: sorted(tuple(r) for r in read_history(spark, str(tmp_path / "in"), "csv", multi_line=multi_line, **more).select("emplid", "strm", "acad_plan").collect())
+    good = [("0001", "5343", "P1"), ("0004", "5343", ""), ("0005", "5344", ""), ("0007", "", "")]
+    assert read(quarantine=str(tmp_path / "bad")) == good
+    bad = sorted((r.file.rsplit("/", 1)[1], r.record) for r in spark.read.parquet(str(tmp_path / "bad")).collect())
+    assert bad == [("a.csv", "0002,5343"), ("a.csv", "0003,5343,P1,more"), ("b.csv", "5344,0006,x")]
+    assert read() == sorted([*good, ("0002", "5343", ""), ("0003", "5343", "P1"), ("0006", "5344", "")])
+
+
+def test_repeated_and_blank_column_names_and_no_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,,X,"y z"\n1,2,3,4\n')
+    scan = scan_csv(spark, str(tmp_path / "a.csv"))
+    assert scan.rows.columns == ["x", "_c1", "x_2", "y z"] and [tuple(r) for r in scan.rows.collect()] == [("1", "2", "3", "4")]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "empty.csv").write_text("")
+    assert read_history(spark, str(tmp_path / "none"), "csv").count() == 0
+
+
+def test_ten_thousand_files_are_read_once_each(spark, tmp_path, monkeypatch):
+    from coursepath.sources import readers
+
+    (tmp_path / "in").mkdir()
+    for k in range(10_000):
+        header, row = ("emplid,strm", f"{k:05d},5343") if k % 2 else ("strm,emplid", f"5343,{k:05d}")
+        (tmp_path / "in" / f"{k}.csv").write_text(f"{header}\n{row}\n" + ("torn\n" if k % 1000 == 0 else ""))
+    plans, real = [], readers.stored_table
+    monkeypatch.setattr(readers, "stored_table", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, name))[1])
+    rows = read_history(spark, str(tmp_path / "in"), "csv", multi_line=False, quarantine=str(tmp_path / "bad"))
+    plans.append(rows._jdf.queryExecution().executedPlan().toString())
+    assert [plan.count("FileScan text") for plan in plans] == [1, 0, 0]
+    assert rows.count() == rows.select("emplid").distinct().count() == 10_000 and rows.where("strm <> '5343'").count() == 0
+    assert spark.read.parquet(str(tmp_path / "bad")).count() == 10
+
+
+def test_too_many_headers_are_an_error(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("coursepath.sources.readers.MOST_LAYOUTS", 2)
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text(f"c{k}\n1\n")
+    with pytest.raises(ValueError, match="more than 2 different headers"):
+        scan_csv(spark, str(tmp_path))
+
+
 def test_warehouse_tables_keep_their_columns_and_get_the_needed_ones(spark, tmp_path):
     for name in SOURCE_SCHEMAS:
         (tmp_path / name).mkdir()
@@ -113,6 +161,41 @@ def test_export_writes_one_folder_per_target(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 3
 
 
+def parts(folder):
+    return sorted(p.name for p in folder.iterdir() if p.name.startswith("part-"))
+
+
+def test_export_holds_few_files_and_a_rerun_replaces_its_targets_only(spark, tmp_path):
+    out = tmp_path / "out"
+    many = spark.range(0, 40_000, 1, 40).select(F.col("id").cast("string").alias("emplid"), F.concat(F.lit("T_"), F.col("id") % 8).alias("target"))
+    export_eligible(many, [f"T_{k}" for k in range(8)], str(out))
+    assert all(len(parts(out / f"target=T_{k}")) <= 2 for k in range(8))
+    kept = {k: parts(out / f"target=T_{k}") for k in range(8)}
+
+    def lost(n):
+        raise RuntimeError("lost")
+
+    from pyspark.sql.functions import udf
+
+    broken = many.where("target in ('T_1', 'T_2')").withColumn("emplid", udf(lost)("emplid"))
+    with pytest.raises(Exception, match="lost"):
+        export_eligible(broken, ["T_1", "T_2", "T_3"], str(out))
+    assert {k: parts(out / f"target=T_{k}") for k in range(8)} == kept
+
+    export_eligible(many.where("target in ('T_1', 'T_2') and cast(emplid as int) < 800"), ["T_1", "T_2", "T_3"], str(out))
+    again = spark.read.option("header", True).csv(str(out))
+    counts = {r.target: r["count"] for r in again.groupBy("target").count().collect()}
+    assert counts == {"T_0": 5000, "T_1": 100, "T_2": 100, "T_4": 5000, "T_5": 5000, "T_6": 5000, "T_7": 5000}
+    assert {k: parts(out / f"target=T_{k}") for k in (0, 4, 5, 6, 7)} == {k: kept[k] for k in (0, 4, 5, 6, 7)}
+
+
+def test_export_of_odd_names(spark, tmp_path):
+    df = spark.createDataFrame([("s", "A/1 = 'x'"), ("t", "B")], "emplid string, target string")
+    export_eligible(df, ["A/1 = 'x'", "B"], str(tmp_path / "out"), fmt="parquet")
+    export_eligible(df.where("target = 'B'"), ["A/1 = 'x'", "B"], str(tmp_path / "out"), fmt="parquet")
+    assert [r.target for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["B"]
+
+
 def test_derived_table_is_written_once_for_each_state_of_its_inputs(spark, tmp_path):
     built, path = [], str(tmp_path / "in")
 
