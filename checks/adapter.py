@@ -16,6 +16,7 @@ LAST_TERM = "2843"
 REFERENCE_TERM = "2827"
 FIRST_TERM = "2400"
 TIEBREAK = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+TIEBREAK_BITS = {"l_orderkey": 46, "l_linenumber": 6, "l_partkey": 34, "l_suppkey": 26}
 
 # Fixed values of the fixture: course number k -> subject, catalog number.
 COURSES = [

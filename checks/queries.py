@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from coursepath import fixed_values as fv
 from coursepath import functions as fx
 from coursepath.operators import cohort, eligibility, history, keys, reports, rollup, rules, status
-from coursepath.session import scratch_path, tune
+from coursepath.plans import crosstabs
+from coursepath.session import scratch_path, stored_table, tune
 from coursepath.sources import SOURCE_SCHEMAS, export_eligible, load_sources, preview, read_history, read_rules, write_csv
 
-from .adapter import FIRST_TERM, LAST_TERM, REFERENCE_TERM, TIEBREAK, classed_history, sources
+from .adapter import FIRST_TERM, LAST_TERM, REFERENCE_TERM, TIEBREAK, TIEBREAK_BITS, classed_history, sources
 from .adapter import history as long_history
 
 RULES = rules.CURRENT_RULES + (rules.Rule("ENGLISH_1000", condreq=0),)
@@ -45,7 +47,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _matrix(spark, sf_dir, listed=RULES) -> DataFrame:
-    return eligibility.student_matrix(classed_history(spark, sf_dir), listed, last_term=LAST_TERM, tiebreak=TIEBREAK)
+    return eligibility.student_matrix(classed_history(spark, sf_dir), listed, last_term=LAST_TERM, tiebreak=TIEBREAK_BITS)
 
 
 def _statuses(spark, sf_dir, mode="latest") -> DataFrame:
@@ -125,6 +127,18 @@ def history_csv_files(spark, sf_dir):
     return read_history(spark, path, "csv").groupBy(*columns).agg(F.count("*").alias("n"))
 
 
+@query
+def history_csv_quarantine(spark, sf_dir):
+    """A CSV with some rows of one field too many, which go to a table of their own."""
+    torn = F.when(F.col("l_orderkey") % 50 == 7, F.concat("acad_plan", F.lit(",torn"))).otherwise(F.col("acad_plan"))
+    hist = long_history(spark, sf_dir).select("emplid", "strm", torn.alias("acad_plan"))
+    path, bad = scratch_path(spark, "history-torn"), scratch_path(spark, "history-bad")
+    hist.write.option("header", True).option("quote", "\u0000").csv(path)
+    kept = read_history(spark, path, "csv", multi_line=False, quarantine=bad).groupBy("strm").agg(F.count("*").alias("kept"))
+    torn = spark.read.parquet(bad).groupBy(F.split("record", ",")[1].alias("strm")).agg(F.count("*").alias("bad"))
+    return kept.join(torn, "strm", "full_outer").na.fill(0)
+
+
 @query
 def load_sources_round_trip(spark, sf_dir):
     """The seven tables written and read back; the enrolment facts have some text for a number."""
@@ -227,6 +241,22 @@ def class_fan_out(spark, sf_dir):
     return keys.repeated_keys(sources(spark, sf_dir)["class_dim"], ["class_nbr"])
 
 
+@query
+def class_join_rows(spark, sf_dir):
+    """Rows into and out of the join with the classes, by both keys and by the number alone, as guards count them."""
+    src, found = sources(spark, sf_dir), []
+    rows, classes = src["enrolment"].select("emplid", "class_nbr", "strm"), src["class_dim"].select("class_nbr", "strm", "subject")
+    both, alone = keys.JoinGuard("class_and_term"), keys.JoinGuard("class_alone")
+    joins = {
+        "class and term": (both, history.attach_class(rows, classes, guard=both)),
+        "class alone": (alone, alone.join(rows, classes.drop("strm"), "class_nbr", "left")),
+    }
+    for how, (guard, joined) in joins.items():
+        joined.write.format("noop").mode("overwrite").save()
+        found.append((how, guard.rows_in, guard.rows_out))
+    return spark.createDataFrame(found, "how string, rows_in long, rows_out long")
+
+
 @query
 def course_catalog(spark, sf_dir):
     return history.course_catalog(sources(spark, sf_dir)["class_dim"])
@@ -438,7 +468,18 @@ def student_matrix_v1(spark, sf_dir):
 
 @query
 def student_wide(spark, sf_dir):
-    return status.to_wide(_matrix(spark, sf_dir), TARGETS, _base(spark, sf_dir))
+    wide = eligibility.student_matrix_wide(classed_history(spark, sf_dir), RULES, last_term=LAST_TERM, tiebreak=TIEBREAK_BITS)
+    return _base(spark, sf_dir).join(wide, "emplid", "left")
+
+
+@query
+def student_matrix_by_terms(spark, sf_dir):
+    """The state of all terms before the last, stored, and the last term's rows alone added to it."""
+    hist, options = classed_history(spark, sf_dir), {"rules": RULES, "tiebreak": TIEBREAK_BITS}
+    path = scratch_path(spark, "eligibility-state")
+    eligibility.eligibility_state(hist.where(F.col("strm") < LAST_TERM), **options).write.parquet(path)
+    state = eligibility.advance_state(spark.read.parquet(path), hist.where(F.col("strm") == LAST_TERM), LAST_TERM, **options)
+    return eligibility.matrix_of_state(state, LAST_TERM, RULES)
 
 
 @query
@@ -508,3 +549,15 @@ def overlap_exclusive(spark, sf_dir):
 def level_counts_of_subplan(spark, sf_dir):
     kept = _kept(spark, sf_dir)
     return reports.level_counts_of(kept, kept.where("acad_subplan = 'FIN_BANK'").select("emplid"))
+
+
+@query
+def crosstabs_of_cells(spark, sf_dir):
+    """All five cross-tabs, one under the other, from one scan of the history."""
+    cells = stored_table(reports.student_cells(long_history(spark, sf_dir), REFERENCE_TERM), "cells")
+    tables = []
+    for name, table in crosstabs(cells, REFERENCE_TERM).items():
+        label, *measures = table.columns
+        rows = table.withColumnRenamed(label, "label").unpivot("label", measures, "measure", "n")
+        tables.append(rows.select(F.lit(name).alias("report"), "label", "measure", "n"))
+    return reduce(DataFrame.unionByName, tables)

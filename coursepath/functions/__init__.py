@@ -12,6 +12,7 @@ from .columns import (
     with_class_key,
     with_plan_flag,
 )
+from .order import packed_order
 
 __all__ = [
     "any_of_equals",
@@ -21,6 +22,7 @@ __all__ = [
     "level_or_label",
     "normalise_headers",
     "not_nan",
+    "packed_order",
     "pad_to",
     "strip_suffix",
     "suffix_of",

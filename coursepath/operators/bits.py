@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = 62
+LANES, LANE_BITS = 4, 16  # a student has fewer than 65,536 terms
 
 
 def quoted(text: str) -> str:
@@ -64,3 +65,42 @@ class BitIndex:
             word, bit = self._at[name]
             words[word].append(f"IF({condition}, {1 << bit}L, 0L)")
         return [F.expr(" | ".join(parts)).alias(column) for parts, column in zip(words, self.columns(prefix))]
+
+    # Counters: sixteen bits for each name, four names to a long, so that a handful of sums counts every name.
+
+    def lanes(self, prefix: str) -> list[str]:
+        return [f"{prefix}{k}" for k in range(max(1, -(-len(self.names) // LANES)))]
+
+    def spread(self, prefix: str) -> list[str]:
+        """SQL per lane column: 1 in the counter of each name in the set in the ``prefix`` columns, else 0."""
+        parts: list[list[str]] = [[] for _ in self.lanes("")]
+        for i, name in enumerate(self.names):
+            word, bit = self._at[name]
+            lane, place = divmod(i, LANES)
+            parts[lane].append(f"shiftleft(shiftright({prefix}{word}, {bit}) & 1L, {LANE_BITS * place})")
+        return [" | ".join(p) or "0L" for p in parts]
+
+    def counter(self, prefix: str, name: str) -> Column:
+        """What the counter of ``name`` in the lane columns says."""
+        lane, place = divmod(self.names.index(name), LANES)
+        return F.expr(_counter(f"{prefix}{lane}", str(LANE_BITS * place)))
+
+    def counter_at(self, prefix: str, place: str) -> str:
+        """SQL: the counter of the name at ``place``, a whole number expression."""
+        lanes = ", ".join(self.lanes(prefix))
+        return _counter(f"element_at(array({lanes}), CAST({place} DIV {LANES} AS INT) + 1)", f"CAST({place} % {LANES} AS INT) * {LANE_BITS}")
+
+    def holds_at(self, prefix: str, place: str) -> str:
+        """SQL: whether the set in the ``prefix`` columns has the name at ``place``."""
+        words = ", ".join(self.columns(prefix))
+        return f"getbit(element_at(array({words}), CAST({place} DIV {WORD} AS INT) + 1), CAST({place} % {WORD} AS INT)) = 1"
+
+    def mask_at(self, place: str) -> list[str]:
+        """SQL per word: the set of the one name at ``place``; empty for a place below 0."""
+        return [
+            f"IF({place} >= {w * WORD} AND {place} < {(w + 1) * WORD}, shiftleft(1L, CAST({place} - {w * WORD} AS INT)), 0L)" for w in self.words
+        ]
+
+
+def _counter(lane: str, shift: str) -> str:
+    return f"CAST(shiftrightunsigned({lane}, {shift}) & {2**LANE_BITS - 1}L AS INT)"

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..functions import not_nan
+from ..functions import not_nan, packed_order
 from ..sources.local import local_table
 from .bits import BitIndex, quoted
-from .rules import CURRENT_RULES, Rule, V1_RULES, rule_groups
-from .status import base_flag, in_base, long_rows, status_wide
+from .rules import CURRENT_RULES, Rule, V1_RULES
+from .status import base_flag, in_base, status_code
 
 
 def term_summary(
@@ -51,9 +52,10 @@ class _Plan:
         self.everything = self.targets.mask(self.rules)
 
     def vocabulary(self, spark) -> DataFrame:
-        """Bits of every course the rules name; one row per course, so always small."""
+        """Bits of every course the rules name, and the place of each target; one row per course, so always small."""
         names = list(dict.fromkeys([*self.targets.names, *self.courses.names]))
-        table: dict[str, object] = {"class": names}
+        places = {name: k for k, name in enumerate(self.targets.names)}
+        table: dict[str, object] = {"class": names, "target_no": pa.array([places.get(n) for n in names], pa.int32())}
         for prefix, index in (("is_target", self.targets), ("is_course", self.courses)):
             masks = [index.mask([n] if n in index else []) for n in names]
             for w, column in enumerate(index.columns(prefix)):
@@ -81,13 +83,38 @@ def _or_over(columns: list[str], frame, out: list[str]) -> list[Column]:
     ]
 
 
+def _any_of(columns: list[str], out: list[str]) -> list[Column]:
+    return [F.coalesce(F.bit_or(c), F.lit(0).cast("long")).alias(name) for c, name in zip(columns, out)]
+
+
+@dataclass(frozen=True)
+class _Writes:
+    """How the rows of a target course write its status: the greatest ``key`` of a term counts, and says ``status``."""
+
+    key: Column
+    status: Callable[[Column], Column]
+    last_wins: bool
+
+    @classmethod
+    def of(cls, df: DataFrame, mode: str, points: str, tiebreak) -> _Writes:
+        code = status_code(mode, points)
+        if mode != "latest":
+            return cls(code, lambda key: key, False)
+        packed = packed_order(df, tiebreak, code, 2)
+        if packed is not None:
+            return cls(*packed, True)
+        # Texts and wide numbers have no fixed width together, so this maximum sorts in place of hashing.
+        return cls(F.struct(*[F.col(c) for c in tiebreak], code.alias("status")), lambda key: key["status"], True)
+
+
 def _student_terms(
-    df: DataFrame, plan: _Plan, passed: Column, taken: Column, flag: str, last_term, base
+    df: DataFrame, plan: _Plan, passed: Column, taken: Column, flag: str, last_term, base, writes: _Writes | None = None
 ) -> DataFrame:
     """One row per student and term with the bit sets ``taken``, ``pass`` and ``level``.
 
     Everything has a fixed width, so each task combines its rows by hash before the shuffle, and a
-    student with very many rows arrives as one row per term.
+    student with very many rows arrives as one row per term. With ``writes``, a row follows for each target
+    of the term: ``event`` is its number (-1 on the term's own row) and ``write`` its last write. One scan gives both.
     """
     # A local relation of one row per course named in the rules: Spark knows its size and joins by it.
     rows = df.join(plan.vocabulary(df.sparkSession), "class", "left")
@@ -102,151 +129,201 @@ def _student_terms(
         *plan.levels.gather(is_level, "level"),
         *[F.when(taken, F.col(f"is_{c}")).alias(c) for c in plan.targets.columns("target")],
         *[F.when(passed, F.col(f"is_{c}")).alias(c) for c in plan.courses.columns("course")],
+        *([F.col("target_no"), writes.key.alias("write")] if writes else []),
     )
-
-    def any_of(columns, out):
-        return [
-            F.coalesce(F.bit_or(c), F.lit(0).cast("long")).alias(name) for c, name in zip(columns, out)
-        ]
-
-    return rows.groupBy("emplid", "strm").agg(
+    keys, own = ["emplid", "strm"], lambda c: F.col(c)
+    if writes:
+        both = F.when(F.col("target_no").isNotNull(), F.array(F.lit(-1), "target_no")).otherwise(F.array(F.lit(-1)))
+        rows = rows.withColumn("event", F.explode(both))
+        keys, own = [*keys, "event"], lambda c: F.when(F.col("event") < 0, F.col(c))
+    bits = [*plan.levels.columns("level"), *plan.targets.columns("target"), *plan.courses.columns("course")]
+    rows = rows.withColumns({c: own(c) for c in ["hours", "flag", *bits]})
+    return rows.groupBy(*keys).agg(
         F.max("hours").alias("hours"),
         F.max("flag").alias("flag"),
         F.max("in_base").alias("in_base"),
-        *any_of(plan.levels.columns("level"), plan.levels.columns("level")),
-        *any_of(plan.targets.columns("target"), plan.targets.columns("taken")),
-        *any_of(plan.courses.columns("course"), plan.courses.columns("pass")),
+        *_any_of(plan.levels.columns("level"), plan.levels.columns("level")),
+        *_any_of(plan.targets.columns("target"), plan.targets.columns("taken")),
+        *_any_of(plan.courses.columns("course"), plan.courses.columns("pass")),
+        *([F.max(F.when(F.col("event") >= 0, F.col("write"))).alias("write")] if writes else []),
     )
 
 
 def _eligible_rows(terms: DataFrame, plan: _Plan) -> DataFrame:
-    """Adds the term number and ``open``: the targets whose rule was met in an earlier term."""
-    order = Window.partitionBy("emplid").orderBy("strm")
+    """Adds the term number and ``open``: the targets whose rule was met in an earlier term.
+
+    Rows of writes come behind their term's own row and have no bits, so they change nothing.
+    """
+    events = "event" in terms.columns
+    order = Window.partitionBy("emplid").orderBy("strm", *(["event"] if events else []))
     up_to_now = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    nth = F.count(F.when(F.col("event") < 0, 1)).over(up_to_now).cast("int") if events else F.row_number().over(order)
 
     terms = terms.select(
         "*",
-        F.row_number().over(order).alias("nth"),
+        nth.alias("nth"),
         *_or_over(plan.courses.columns("pass"), up_to_now, plan.courses.columns("have")),
         *_or_over(plan.targets.columns("taken"), earlier, plan.targets.columns("gone")),
     )
-    met = plan.targets.gather(
-        {t: plan.condition(r) for t, r in plan.rules.items() if not r.unconditional}, "met"
-    )
-    terms = terms.select("*", *met)
+    terms = terms.select("*", *_met(plan))
     opened = _or_over(plan.targets.columns("met"), earlier, plan.targets.columns("open"))
-    return terms.select(
-        "*",
-        *[c.bitwiseOR(F.lit(m)).alias(n) for c, m, n in zip(opened, plan.from_start, plan.targets.columns("open"))],
-    )
+    return terms.select("*", *_from_start(plan, opened))
 
 
-def _count(terms: DataFrame, plan: _Plan, prefix: str, base: DataFrame | None) -> DataFrame:
-    """Per base student, the number of rows whose ``counted`` set holds each target."""
-    counts = terms.groupBy("emplid").agg(
-        F.max("in_base").alias("in_base"),
-        *[F.sum(plan.targets.has("counted", t)).cast("int").alias(prefix + t) for t in plan.rules],
-    )
-    return in_base(counts, base).na.fill(0, subset=[prefix + t for t in plan.rules])
+def _met(plan: _Plan) -> list[Column]:
+    """The targets whose stated conditions hold with the columns at hand."""
+    return plan.targets.gather({t: plan.condition(r) for t, r in plan.rules.items() if not r.unconditional}, "met")
 
 
-def counts_wide(
-    df: DataFrame,
-    rules=CURRENT_RULES,
-    *,
-    last_term: str | None = None,
-    base: DataFrame | None = None,
-    skip_suffix: str | None = fv.SUMMER_SUFFIX,
-    points: str = "grd_pts_per_unit",
-    flag: str = "bus_maj",
-    prefix: str = "e_",
-) -> DataFrame:
-    """One row per base student with a counter column ``e_<target>`` per rule.
+def _from_start(plan: _Plan, opened: list[Column]) -> list[Column]:
+    return [c.bitwiseOR(F.lit(m)).alias(n) for c, m, n in zip(opened, plan.from_start, plan.targets.columns("open"))]
 
-    A term counts for a target if it is not the student's first, the rule was met in an earlier
-    term, the target was in no earlier term, and it is the taking term or not a skipped one.
-    Counting is one pass over the student's terms in order.
-    """
-    plan = _Plan(rules)
-    terms = _student_terms(df, plan, not_nan(F.col(points)) > 0, F.lit(True), flag, last_term, base)
-    terms = _eligible_rows(terms, plan)
+
+def _counted(plan: _Plan, skip_suffix: str | None) -> list[Column]:
+    """The targets that a term counts for: it is not the first, the target is open and was not taken before, and no summer is skipped."""
     skipped = F.lit(False) if skip_suffix is None else F.col("strm").endswith(skip_suffix)
-    later = F.col("nth") > 1
-    counted = [
+    names = plan.targets.columns
+    return [
         F.when(
-            later,
+            F.col("nth") > 1,
             F.col(opened)
             .bitwiseAND(F.bitwise_not(F.col(gone)))
             .bitwiseAND(F.when(skipped, F.col(taken)).otherwise(F.lit(everything))),
         )
-        .otherwise(F.lit(0))
+        .otherwise(F.lit(0).cast("long"))
         .alias(name)
-        for opened, gone, taken, everything, name in zip(
-            *[plan.targets.columns(c) for c in ("open", "gone", "taken")],
-            plan.everything,
-            plan.targets.columns("counted"),
-        )
+        for opened, gone, taken, everything, name in zip(names("open"), names("gone"), names("taken"), plan.everything, names("counted"))
     ]
-    return _count(terms.select("emplid", "in_base", *counted), plan, prefix, base)
 
 
-def counts_wide_v1(
-    df: DataFrame,
-    rules=V1_RULES,
-    *,
-    last_term: str,
-    base: DataFrame | None = None,
-    points: str = "grade_points",
-    prefix: str = "e_",
-) -> DataFrame:
-    """The older counter: counts every term after the one that met the rule, up to the stop.
+def _students(terms: DataFrame, plan: _Plan, writes: _Writes | None) -> DataFrame:
+    """One row per student: counters, and with ``writes`` the sets of targets ``done`` and ``tried``; and what another term would go on from.
+
+    ``terms`` are partitioned by student, so nothing is shuffled here.
+    """
+    names = plan.targets.columns
+    lanes = [F.sum(F.expr(sql)).alias(lane) for sql, lane in zip(plan.targets.spread("counted"), plan.targets.lanes("lane"))]
+    state = [
+        F.max("in_base").alias("in_base"),
+        F.max("nth").alias("n_terms"),
+        F.max("strm").alias("last_term"),
+        *_any_of(plan.courses.columns("pass"), plan.courses.columns("have")),
+        *_any_of(names("taken"), names("gone")),
+        *_any_of(names("met"), names("opened")),
+    ]
+    if writes is None:
+        return terms.groupBy("emplid").agg(*state, *lanes)
+    own = F.col("event") < 0
+    terms = terms.withColumns({c: F.when(own, F.col(c)) for c in names("counted")})
+    status = writes.status(F.col("write"))
+    code = F.col("nth") * 4 + status if writes.last_wins else status
+    terms = terms.withColumn("code", F.when(~own, code))
+    per_event = terms.groupBy("emplid", "event").agg(*state, *lanes, F.max("code").alias("code"))
+    code = F.col("code") % 4 if writes.last_wins else F.col("code")
+    masks = plan.targets.mask_at("event")
+    sets = [
+        F.coalesce(F.bit_or(F.when(code == value, F.expr(mask))), F.lit(0).cast("long")).alias(name)
+        for value, prefix in ((2, "done"), (1, "tried"))
+        for mask, name in zip(masks, names(prefix))
+    ]
+    kept = [c for c in per_event.columns if c not in ("emplid", "event", "code", *plan.targets.lanes("lane"))]
+    merged = [F.max(c).alias(c) if c in ("in_base", "n_terms", "last_term") else F.bit_or(c).alias(c) for c in kept]
+    return per_event.groupBy("emplid").agg(*merged, *[F.max(c).alias(c) for c in plan.targets.lanes("lane")], *sets)
+
+
+def _results(students: DataFrame, plan: _Plan, base: DataFrame | None) -> DataFrame:
+    """The base students; those without rows have zeros."""
+    filled = in_base(students, base)
+    return filled.na.fill(0, subset=[c for c in filled.columns if c not in ("emplid", "last_term")])
+
+
+def _long(students: DataFrame, plan: _Plan, with_status: bool) -> DataFrame:
+    """A row for each target, with the status if there is one and the counter. One expression, however many targets."""
+    status = f"'status', IF({plan.targets.holds_at('done', 'i')}, 2, IF({plan.targets.holds_at('tried', 'i')}, 1, 0)), " if with_status else ""
+    row = f"named_struct('place', i, {status}'sem_eli', {plan.targets.counter_at('lane', 'i')})"
+    places = f"sequence(0, {len(plan.targets.names) - 1})" if plan.targets.names else "array_remove(array(0), 0)"
+    rows = students.select("emplid", F.expr(f"inline(transform({places}, i -> {row}))"))
+    names = f"element_at(array({', '.join(map(quoted, plan.targets.names or ['']))}), place + 1)"
+    return rows.select("emplid", F.expr(names).alias("target"), *(["status"] if with_status else []), "sem_eli")
+
+
+def _wide(students: DataFrame, plan: _Plan, names: dict[str, str], count_suffix: str) -> DataFrame:
+    columns = []
+    for t in plan.rules:
+        status = F.when(plan.targets.has("done", t) == 1, 2).when(plan.targets.has("tried", t) == 1, 1).otherwise(0)
+        columns += [status.alias(names.get(t, t)), plan.targets.counter("lane", t).alias(names.get(t, t) + count_suffix)]
+    return students.select("emplid", *columns)
+
+
+def _current(df, plan, skip_suffix, points, flag, last_term, base, writes=None) -> DataFrame:
+    """One row per student under the current counter, from one pass over the history."""
+    terms = _student_terms(df, plan, not_nan(F.col(points)) > 0, F.lit(True), flag, last_term, base, writes)
+    terms = _eligible_rows(terms, plan)
+    return _students(terms.select("*", *_counted(plan, skip_suffix)), plan, writes)
+
+
+def _v1(df, plan, points, last_term, base, writes=None) -> DataFrame:
+    """One row per student under the older counter: every term after the one that met the rule, up to the stop.
 
     The stop is the first counted term in which the target was taken, or the last term. Pass and
     take both mean points of at least 0. The first term and summers count too.
     """
-    plan = _Plan(rules)
     usable = not_nan(F.col(points)) >= 0
     flag_term = last_term if base is None else None
-    terms = _student_terms(df, plan, usable, usable, "bus_maj", flag_term, base)
+    terms = _student_terms(df, plan, usable, usable, "bus_maj", flag_term, base, writes)
     terms = _eligible_rows(terms, plan)
     is_last = F.col("strm") == last_term
+    own = F.col("event") < 0 if writes else F.lit(True)  # rows of writes come behind their term and would see it as an earlier one
     names = plan.targets.columns
     stops = [
-        F.col(opened)
-        .bitwiseAND(F.when(is_last, F.lit(everything)).otherwise(F.col(taken)))
-        .alias(name)
+        F.when(own, F.col(opened).bitwiseAND(F.when(is_last, F.lit(everything)).otherwise(F.col(taken)))).alias(name)
         for opened, taken, everything, name in zip(names("open"), names("taken"), plan.everything, names("stop"))
     ]
-    order = Window.partitionBy("emplid").orderBy("strm")
+    order = Window.partitionBy("emplid").orderBy("strm", *(["event"] if writes else []))
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    terms = terms.select("emplid", "strm", "in_base", *names("open"), *stops)
+    terms = terms.select("*", *stops)
     terms = terms.select("*", *_or_over(names("stop"), earlier, names("over")))
     counted = [
         F.col(opened).bitwiseAND(F.bitwise_not(F.col(over))).alias(name)
         for opened, over, name in zip(names("open"), names("over"), names("counted"))
     ]
-    return _count(terms.select("emplid", "in_base", *counted), plan, prefix, base)
-
+    return _students(terms.select("*", *counted), plan, writes)
 
-def _long_counts(wide: DataFrame) -> DataFrame:
-    targets = [c[2:] for c in wide.columns if c != "emplid"]
-    return wide.select("emplid", long_rows(targets, {"sem_eli": "e_"}))
 
+def eligible_terms(
+    df: DataFrame,
+    rules=CURRENT_RULES,
+    *,
+    last_term: str | None = None,
+    base: DataFrame | None = None,
+    skip_suffix: str | None = fv.SUMMER_SUFFIX,
+    points: str = "grd_pts_per_unit",
+    flag: str = "bus_maj",
+) -> DataFrame:
+    """``(emplid, target, sem_eli)`` for every base student and rule.
 
-def _in_groups(rules, make) -> DataFrame:
-    """The long results of all groups of rules, one under the other; any number of rules plans."""
-    return reduce(DataFrame.unionByName, [make(group) for group in rule_groups(rules)])
+    A term counts for a target if it is not the student's first, the rule was met in an earlier
+    term, the target was in no earlier term, and it is the taking term or not a skipped one.
+    Counting is one pass over the student's terms in order, for any number of rules: a target costs a bit of a
+    set and a quarter of a sum.
+    """
+    plan = _Plan(rules)
+    students = _current(df, plan, skip_suffix, points, flag, last_term, base)
+    return _long(_results(students, plan, base), plan, False)
 
 
-def eligible_terms(df: DataFrame, rules=CURRENT_RULES, **options) -> DataFrame:
-    """``(emplid, target, sem_eli)`` for every base student and rule. Options as for ``counts_wide``."""
-    return _in_groups(rules, lambda group: _long_counts(counts_wide(df, group, **options)))
+def eligible_terms_v1(
+    df: DataFrame, rules=V1_RULES, *, last_term: str, base: DataFrame | None = None, points: str = "grade_points"
+) -> DataFrame:
+    """``(emplid, target, sem_eli)`` by the older rules."""
+    plan = _Plan(rules)
+    return _long(_results(_v1(df, plan, points, last_term, base), plan, base), plan, False)
 
 
-def eligible_terms_v1(df: DataFrame, rules=V1_RULES, **options) -> DataFrame:
-    """``(emplid, target, sem_eli)`` by the older rules. Options as for ``counts_wide_v1``."""
-    return _in_groups(rules, lambda group: _long_counts(counts_wide_v1(df, group, **options)))
+def _matrix_students(df, plan, last_term, base, mode, tiebreak, skip_suffix, points) -> DataFrame:
+    writes = _Writes.of(df, mode, points, tiebreak)
+    return _results(_current(df, plan, skip_suffix, points, "bus_maj", last_term, base, writes), plan, base)
 
 
 def student_matrix(
@@ -260,20 +337,32 @@ def student_matrix(
     skip_suffix: str | None = fv.SUMMER_SUFFIX,
     points: str = "grd_pts_per_unit",
 ) -> DataFrame:
-    """``(emplid, target, status, sem_eli)`` for every base student and rule.
+    """``(emplid, target, status, sem_eli)`` for every base student and rule, in one pass over the history.
 
-    Both halves arrive with one row per student, partitioned by student, so they join in place. Rules come
-    in groups of one bit word of targets, and each group reads the history once for each half.
+    ``tiebreak`` lists the columns that order the rows of a term. Whole numbers up to 32 bits and dates are packed into a fixed
+    width; a mapping states how many bits other whole numbers need (see ``packed_order``).
     """
-    member = {"last_term": last_term, "base": base}
+    plan = _Plan(rules)
+    return _long(_matrix_students(df, plan, last_term, base, mode, tiebreak, skip_suffix, points), plan, True)
 
-    def matrix(group) -> DataFrame:
-        targets = [r.target for r in group]
-        status = status_wide(df, targets, mode=mode, tiebreak=tiebreak, points=points, **member)
-        counts = counts_wide(df, group, skip_suffix=skip_suffix, points=points, **member)
-        return _matrix(status, counts, targets)
 
-    return _in_groups(rules, matrix)
+def student_matrix_wide(
+    df: DataFrame,
+    rules=CURRENT_RULES,
+    *,
+    last_term: str | None = None,
+    base: DataFrame | None = None,
+    mode: str = "latest",
+    tiebreak=(),
+    skip_suffix: str | None = fv.SUMMER_SUFFIX,
+    points: str = "grd_pts_per_unit",
+    names: dict[str, str] | None = None,
+    count_suffix: str = "_SEM_ELI",
+) -> DataFrame:
+    """The matrix with one row per base student: a status and a counter column for each target, in the order of the rules."""
+    plan = _Plan(rules)
+    students = _matrix_students(df, plan, last_term, base, mode, tiebreak, skip_suffix, points)
+    return _wide(students, plan, names or {}, count_suffix)
 
 
 def student_matrix_v1(
@@ -285,18 +374,104 @@ def student_matrix_v1(
     points: str = "grd_pts_per_unit",
     pass_points: str = "grade_points",
 ) -> DataFrame:
-    """The older matrix: sticky status with the older counter."""
-    member = {"last_term": last_term if base is None else None, "base": base}
+    """The older matrix: sticky status with the older counter, in one pass over the history."""
+    plan = _Plan(rules)
+    writes = _Writes.of(df, "sticky", points, ())
+    return _long(_results(_v1(df, plan, pass_points, last_term, base, writes), plan, base), plan, True)
+
+
+# A term at a time
+
+
+def eligibility_state(
+    df: DataFrame,
+    rules=CURRENT_RULES,
+    *,
+    mode: str = "latest",
+    tiebreak=(),
+    skip_suffix: str | None = fv.SUMMER_SUFFIX,
+    points: str = "grd_pts_per_unit",
+) -> DataFrame:
+    """What each student's next term goes on from: one row per student of fixed width, whatever the length of the history.
 
-    def matrix(group) -> DataFrame:
-        targets = [r.target for r in group]
-        status = status_wide(df, targets, mode="sticky", points=points, **member)
-        counts = counts_wide_v1(df, group, last_term=last_term, base=base, points=pass_points)
-        return _matrix(status, counts, targets)
+    Store it, and let ``advance_state`` add each further term from that term's rows alone. It goes with these rules and options.
+    """
+    plan = _Plan(rules)
+    writes = _Writes.of(df, mode, points, tiebreak)
+    everyone = df.select("emplid")
+    students = _current(df, plan, skip_suffix, points, "bus_maj", None, everyone, writes)
+    return students.drop("in_base")
 
-    return _in_groups(rules, matrix)
+
+def advance_state(
+    state: DataFrame,
+    rows: DataFrame,
+    term: str,
+    rules=CURRENT_RULES,
+    *,
+    mode: str = "latest",
+    tiebreak=(),
+    skip_suffix: str | None = fv.SUMMER_SUFFIX,
+    points: str = "grd_pts_per_unit",
+) -> DataFrame:
+    """The state after ``term``, from the state before it and the rows of the term.
+
+    Students new in the term begin here, and students without rows in it keep their state. Terms must come in order: rows of a term
+    that the state has seen already, or of an earlier one, call for the state before that term.
+    """
+    plan = _Plan(rules)
+    writes = _Writes.of(rows, mode, points, tiebreak)
+    rows = rows.where(F.col("strm") == term)
+    events = _student_terms(rows, plan, not_nan(F.col(points)) > 0, F.lit(True), "bus_maj", None, rows, writes)
+    names, masks = plan.targets.columns, plan.targets.mask_at("event")
+    status, own = writes.status(F.col("write")), F.col("event") < 0
+    now = events.groupBy("emplid").agg(
+        F.max("hours").alias("hours"),
+        F.max("flag").alias("flag"),
+        *[F.bit_or(c).alias(c) for c in (*plan.levels.columns("level"), *names("taken"), *plan.courses.columns("pass"))],
+        *[F.bit_or(F.when(~own & (status == 2), F.expr(m)).otherwise(F.lit(0).cast("long"))).alias(c) for m, c in zip(masks, names("done_now"))],
+        *[F.bit_or(F.when(~own & (status == 1), F.expr(m)).otherwise(F.lit(0).cast("long"))).alias(c) for m, c in zip(masks, names("tried_now"))],
+    )
+    sets = [*plan.courses.columns("have"), *names("gone"), *names("opened"), *names("done"), *names("tried"), *plan.targets.lanes("lane")]
+    old = state.select("emplid", F.col("n_terms").alias("old_terms"), F.col("last_term").alias("old_last"), *[F.col(c).alias(f"old_{c}") for c in sets])
+    both = old.join(now.withColumn("here", F.lit(True)), "emplid", "full_outer")
+    zero = F.lit(0).cast("long")
+    here = F.coalesce("here", F.lit(False))
+
+    def was(c: str) -> Column:
+        return F.coalesce(F.col(f"old_{c}"), zero)
+
+    def after(c: str, value: Column) -> Column:
+        return F.when(here, value).otherwise(was(c)).alias(c)
+
+    both = both.select(
+        "*",
+        F.lit(term).alias("strm"),
+        (F.coalesce("old_terms", F.lit(0)) + here.cast("int")).alias("nth"),
+        *[after(have, was(have).bitwiseOR(F.coalesce(F.col(passed), zero))) for have, passed in zip(plan.courses.columns("have"), plan.courses.columns("pass"))],
+        *_from_start(plan, [was(c) for c in names("opened")]),
+        *[was(c).alias(c) for c in names("gone")],
+    )
+    both = both.select("*", *_met(plan), *_counted(plan, skip_suffix))
+    lanes = [after(lane, was(lane) + F.expr(sql)) for sql, lane in zip(plan.targets.spread("counted"), plan.targets.lanes("lane"))]
+    written = []
+    for done, tried, now_done, now_tried in zip(*(names(p) for p in ("done", "tried", "done_now", "tried_now"))):
+        again = F.bitwise_not(F.col(now_done).bitwiseOR(F.col(now_tried))) if writes.last_wins else F.lit(-1).cast("long")
+        all_done = was(done).bitwiseAND(again).bitwiseOR(F.col(now_done))
+        all_tried = was(tried).bitwiseAND(again).bitwiseOR(F.col(now_tried)).bitwiseAND(F.bitwise_not(all_done))
+        written += [after(done, all_done), after(tried, all_tried)]
+    return both.select(
+        "emplid",
+        F.col("nth").alias("n_terms"),
+        F.when(here, F.lit(term)).otherwise(F.col("old_last")).alias("last_term"),
+        *plan.courses.columns("have"),
+        *[after(c, was(c).bitwiseOR(F.col(t))) for c, t in zip(names("gone"), names("taken"))],
+        *[after(c, was(c).bitwiseOR(F.col(m))) for c, m in zip(names("opened"), names("met"))],
+        *lanes,
+        *written,
+    )
 
 
-def _matrix(status: DataFrame, counts: DataFrame, targets) -> DataFrame:
-    cells = long_rows(targets, {"status": "s_", "sem_eli": "e_"})
-    return status.join(counts, "emplid").select("emplid", cells)
+def matrix_of_state(state: DataFrame, term: str, rules=CURRENT_RULES) -> DataFrame:
+    """``(emplid, target, status, sem_eli)`` of the students who have rows in ``term``, the last that the state has seen."""
+    return _long(state.where(F.col("last_term") == term), _Plan(rules), True)

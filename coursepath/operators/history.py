@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .. import fixed_values as fv
 from ..functions import pad_to
+from ..session import stored_table
 from .cohort import earliest_admit
-from .keys import restrict_to, salted_join
+from .keys import JoinGuard, hot_keys, restrict_to, spread_join
 
 _ARM_SCHEMA = StructType(
     [
@@ -40,8 +43,15 @@ SCHEDULE_COLUMNS = [
 _TAIL = ["subject", "catalog_nbr", "class_nbr", "acad_plan", "acad_subplan"]
 
 
-def attach_class(enrolment: DataFrame, class_dim: DataFrame, how: str = "left") -> DataFrame:
-    """Class attributes by class number and term. Both keys are needed: numbers recur across terms."""
+def attach_class(
+    enrolment: DataFrame, class_dim: DataFrame, how: str = "left", guard: JoinGuard | None = None
+) -> DataFrame:
+    """Class attributes by class number and term. Both keys are needed: numbers recur across terms.
+
+    A ``guard`` counts the rows in and out, so that a class listed twice is noticed in the job that joins it.
+    """
+    if guard is not None:
+        return guard.join(enrolment, class_dim, ["class_nbr", "strm"], how)
     return enrolment.join(class_dim, ["class_nbr", "strm"], how)
 
 
@@ -51,15 +61,15 @@ def course_catalog(class_dim: DataFrame) -> DataFrame:
 
 
 def with_lifetime_max(
-    df: DataFrame, column: str = "tot_cumulative", out: str = "tot_hrs_life", student: str = "emplid"
+    df: DataFrame, column: str = "tot_cumulative", out: str = "tot_hrs_life", student: str = "emplid", hot=None
 ) -> DataFrame:
     """Each student's maximum of ``column`` on every row.
 
     Aggregate and join rather than a window: the maximum is taken in each task first, and the
-    rows of a student with very many are spread over tasks.
+    rows of a student with very many are spread over tasks. ``hot`` as for ``spread_join``.
     """
     most = df.groupBy(student).agg(F.max(column).alias(out))
-    return salted_join(df, most, student, "left").select(*df.columns, out)
+    return spread_join(df, most, student, "left", hot=hot).select(*df.columns, out)
 
 
 def _enrolled(enrolment: DataFrame, *, repeats: bool = True) -> DataFrame:
@@ -82,21 +92,30 @@ def _granted(credit: DataFrame, grades) -> DataFrame:
     return credit.where(kept).withColumnsRenamed({"articulation_term": "strm"})
 
 
-def _in_cohort(df: DataFrame, cohort: DataFrame | None, spread: list[str]) -> DataFrame:
-    return df if cohort is None else restrict_to(df, cohort, spread=spread)
+def hot_students(src: dict[str, DataFrame]) -> dict[int, int]:
+    """Students with very many rows in any fact, measured in one pass over the facts' student columns."""
+    facts = [src[name].select("emplid") for name in ("enrolment", "transfer", "test_credit", "progress")]
+    return hot_keys(reduce(DataFrame.unionByName, facts), "emplid")
+
+
+def _in_cohort(df: DataFrame, cohort: DataFrame | None, spread: list[str], hot) -> DataFrame:
+    return df if cohort is None else restrict_to(df, cohort, spread=spread, hot=hot)
 
 
 def course_history(
-    src: dict[str, DataFrame], cohort: DataFrame | None = None, first_term: str = fv.FIRST_TERM
+    src: dict[str, DataFrame], cohort: DataFrame | None = None, first_term: str = fv.FIRST_TERM, hot=None
 ) -> DataFrame:
     """Enrolled, transfer and test-credit courses in one tagged table (UNION ALL).
 
-    Credit rows carry the points sentinel and NULL in the columns only enrolment has.
+    Credit rows carry the points sentinel and NULL in the columns only enrolment has. ``hot`` are the students
+    with very many rows (see ``hot_students``), measured if not given.
     """
+    if cohort is not None and hot is None:
+        hot = hot_students(src)
     catalog = course_catalog(src["class_dim"])
     classes = src["class_dim"].select("class_nbr", "strm", "crse_id", "subject", "catalog_nbr")
 
-    enrolled = _in_cohort(_enrolled(src["enrolment"]).where(F.col("strm") >= first_term), cohort, ["strm", "class_nbr"])
+    enrolled = _in_cohort(_enrolled(src["enrolment"]).where(F.col("strm") >= first_term), cohort, ["strm", "class_nbr"], hot)
     arms = [
         attach_class(enrolled, classes, "inner").withColumn("course_source", F.lit(fv.SOURCE_ENROLLED))
     ]
@@ -104,7 +123,7 @@ def course_history(
         ("transfer", fv.SOURCE_TRANSFER, fv.CREDIT_GRADES),
         ("test_credit", fv.SOURCE_TEST, None),
     ):
-        credit = _in_cohort(_granted(src[name], grades), cohort, ["strm", "crse_id"]).join(catalog, "crse_id")
+        credit = _in_cohort(_granted(src[name], grades), cohort, ["strm", "crse_id"], hot).join(catalog, "crse_id")
         arms.append(
             credit.withColumn("course_source", F.lit(tag)).withColumn("grd_pts_per_unit", F.lit(fv.CREDIT_POINTS))
         )
@@ -141,27 +160,23 @@ _TERM_COLUMNS = [
 ]
 
 
-def _student_terms(
-    rows: DataFrame, courses: DataFrame, cohort: DataFrame, admissions: DataFrame, admit: str
-) -> DataFrame:
-    """Progress rows of the cohort with lifetime hours and admit term. ``admit`` is the join type.
-
-    Lifetime hours count only terms that have a course row, as a window over the joined rows
-    would. Working them out here, from the distinct terms of the courses, keeps the many course
-    rows out of a shuffle by student. What is known per student comes together first.
-    """
-    rows = rows.select(*_TERM_COLUMNS)
-    taken = courses.select("emplid", "strm").distinct()
-    lifetime = (
-        rows.join(taken, ["emplid", "strm"], "left_semi")
-        .groupBy("emplid")
-        .agg(F.max("tot_cumulative").alias("tot_hrs_life"))
-    )
+def _student_terms(rows: DataFrame, cohort: DataFrame, admissions: DataFrame, admit: str, hot) -> DataFrame:
+    """Progress rows of the cohort with the admit term. ``admit`` is the join type."""
     admits = earliest_admit(admissions).withColumnsRenamed(
         {"admit_term_rollup": "admit_term", "admit_term_rollup_descrshort": "admit_term_desc"}
     )
-    students = cohort.select("emplid").distinct().join(lifetime, "emplid").join(admits, "emplid", admit)
-    return salted_join(rows, students, "emplid", "inner", spread=["strm", "acad_plan", "acad_subplan"])
+    students = cohort.select("emplid").distinct().join(admits, "emplid", admit)
+    spread = ["strm", "acad_plan", "acad_subplan"]
+    return spread_join(rows.select(*_TERM_COLUMNS), students, "emplid", "inner", spread=spread, hot=hot)
+
+
+def _with_lifetime_hours(joined: DataFrame, columns: list[str], hot) -> DataFrame:
+    """Lifetime hours count only terms that have a course row, so they are read off the joined rows.
+
+    These are stored first: every fact is then evaluated once, and the hours come from two of the stored columns.
+    """
+    rows = stored_table(joined.select(*[c for c in columns if c != "tot_hrs_life"]), "extract")
+    return with_lifetime_max(rows, hot=hot).select(*columns)
 
 
 def build_extract(
@@ -171,17 +186,21 @@ def build_extract(
     first_term: str = fv.FIRST_TERM,
     *,
     ordered: bool = False,
+    hot: dict[int, int] | None = None,
 ) -> DataFrame:
     """The full extract: course history with progress, earliest admit term and class level.
 
     Each source of courses is restricted to the cohort before it meets its classes. The student-term attributes are put
-    together apart from that, and the course rows meet them in one join. ``ordered`` sorts by student and term.
+    together apart from that, and the course rows meet them in one join, whose result is stored when this is called. ``ordered`` sorts
+    by student and term; ``hot`` as for ``course_history``.
     """
-    courses = course_history(src, cohort, first_term)
+    hot = hot_students(src) if hot is None else hot
+    courses = course_history(src, cohort, first_term, hot)
     levels = src["census"].select("emplid", "strm", "um_clevel_descr")
     rows = src["progress"].where(F.col("acad_plan").isin(*plans)).join(levels, ["emplid", "strm"], "left")
-    terms = _student_terms(rows, courses, cohort, src["admissions"], "left")
-    extract = courses.join(terms, ["emplid", "strm"]).select(*EXTRACT_COLUMNS).distinct()
+    terms = _student_terms(rows, cohort, src["admissions"], "left", hot)
+    distinct = courses.join(terms, ["emplid", "strm"]).select(*[c for c in EXTRACT_COLUMNS if c != "tot_hrs_life"]).distinct()
+    extract = _with_lifetime_hours(distinct, EXTRACT_COLUMNS, hot)
     return extract.orderBy("emplid", "strm", *_TAIL) if ordered else extract
 
 
@@ -192,16 +211,18 @@ def build_schedule(
     levels=fv.UNDERGRAD_LEVELS,
     *,
     ordered: bool = False,
+    hot: dict[int, int] | None = None,
 ) -> DataFrame:
     """The enrolled-only extract: every attribute is required, repeated rows are kept.
 
-    ``ordered`` sorts by student and term.
+    The joined rows are stored when this is called. ``ordered`` sorts by student and term; ``hot`` as for ``course_history``.
     """
+    hot = hot_students(src) if hot is None else hot
     classes = src["class_dim"].select("class_nbr", "strm", "subject", "catalog_nbr")
-    enrolled = _in_cohort(_enrolled(src["enrolment"], repeats=False), cohort, ["strm", "class_nbr"])
+    enrolled = _in_cohort(_enrolled(src["enrolment"], repeats=False), cohort, ["strm", "class_nbr"], hot)
     courses = attach_class(enrolled, classes, "inner")
     in_level = src["census"].where(F.col("um_clevel_descr").isin(*levels)).select("emplid", "strm", "um_clevel_descr")
     rows = src["progress"].where(F.col("acad_plan").isin(*plans)).join(in_level, ["emplid", "strm"])
-    terms = _student_terms(rows, courses, cohort, src["admissions"], "inner")
-    schedule = courses.join(terms, ["emplid", "strm"]).select(*SCHEDULE_COLUMNS)
+    terms = _student_terms(rows, cohort, src["admissions"], "inner", hot)
+    schedule = _with_lifetime_hours(courses.join(terms, ["emplid", "strm"]), SCHEDULE_COLUMNS, hot)
     return schedule.orderBy("emplid", "strm", *_TAIL) if ordered else schedule

@@ -107,6 +107,18 @@ def crosstab_students(
     )
 
 
+def student_cells(
+    df: DataFrame, term: str, *, plan: str = "acad_plan", subplan: str = "acad_subplan", level: str = "um_clevel_descr"
+) -> DataFrame:
+    """The distinct combinations of student, level, plan and subplan, with ``strm`` where one is of ``term``.
+
+    Every count of distinct students by these is the same over the cells as over the history, and there are as many cells as a student
+    has had combinations. Store them, and all cross-tabs come from one scan of the history.
+    """
+    cells = df.groupBy("emplid", level, plan, subplan).agg(F.max(F.when(F.col("strm") == term, 1).otherwise(0)).alias("now"))
+    return cells.withColumn("strm", F.when(F.col("now") == 1, F.lit(term))).drop("now")
+
+
 def with_row_total(df: DataFrame, columns, out: str = "total") -> DataFrame:
     """Sum across columns. Over levels it counts a student once per level, so it is not a distinct count."""
     return df.withColumn(out, reduce(add, [F.col(c) for c in columns]))

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.schemas import RULE_SCHEMA
-from .bits import WORD
 
 
 @dataclass(frozen=True)
@@ -110,15 +109,6 @@ def _listed(text: str | None, by: str) -> tuple[str, ...]:
     return tuple(v.strip().upper() for v in (text or "").split(by) if v.strip())
 
 
-def rule_groups(rules: Iterable[Rule], most: int = WORD) -> list[tuple[Rule, ...]]:
-    """The rules, one per target, in groups whose targets fit one bit word."""
-    unique: dict[str, Rule] = {}
-    for rule in rules:
-        unique.setdefault(rule.target, rule)
-    listed = list(unique.values())
-    return [tuple(listed[k : k + most]) for k in range(0, len(listed), most)] or [()]
-
-
 def rules_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     """Rules as a table that ``read_rules`` and ``rules_from_table`` understand."""
     rows = [

@@ -8,18 +8,20 @@ from pyspark.sql import DataFrame
 from .. import fixed_values as fv
 from ..functions import with_class_key, with_plan_flag
 from ..operators.cohort import census_cohort
-from ..operators.eligibility import student_matrix, student_matrix_v1
+from ..operators.eligibility import advance_state, matrix_of_state, student_matrix, student_matrix_v1
 from ..operators.history import build_extract
 from ..operators.reports import (
     eligibility_stats,
     eligible_not_enrolled,
     overlap_report,
     plan_level_table,
+    student_cells,
     students_by_level,
     subplan_level_table,
 )
 from ..operators.rules import CURRENT_RULES
 from ..operators.status import student_base, to_wide
+from ..session import stored_table
 from ..sources.writers import export_eligible, write_csv
 
 
@@ -66,12 +68,30 @@ def eligibility_batch_v1(history: DataFrame, term: str, out: str, *, tiebreak=()
     write_csv(to_wide(matrix, list(names), base, names=names), out)
 
 
-def crosstab_batch(history: DataFrame, term: str, out: str) -> None:
-    """Write the level counts, the subplan overlap, and the plan and subplan tables as CSV."""
+def crosstabs(cells: DataFrame, term: str) -> dict[str, DataFrame]:
+    """The level counts, the subplan overlap, and the plan and subplan tables, by name."""
     a, b = fv.TAIL_SUBPLANS
-    kept = history.where(history["um_clevel_descr"] != fv.DROPPED_LEVEL)
-    write_csv(students_by_level(history, term=term), f"{out}/students_by_level")
-    write_csv(overlap_report(kept, a, b), f"{out}/overlap_totals")
-    write_csv(overlap_report(kept, a, b, exclusive=True), f"{out}/overlap_exclusive")
-    write_csv(plan_level_table(history), f"{out}/plan_levels")
-    write_csv(subplan_level_table(history), f"{out}/subplan_levels")
+    kept = cells.where(cells["um_clevel_descr"] != fv.DROPPED_LEVEL)
+    return {
+        "students_by_level": students_by_level(cells, term=term),
+        "overlap_totals": overlap_report(kept, a, b),
+        "overlap_exclusive": overlap_report(kept, a, b, exclusive=True),
+        "plan_levels": plan_level_table(cells),
+        "subplan_levels": subplan_level_table(cells),
+    }
+
+
+def crosstab_batch(history: DataFrame, term: str, out: str) -> None:
+    """Write the level counts, the subplan overlap, and the plan and subplan tables as CSV, from one scan of the history."""
+    for name, table in crosstabs(stored_table(student_cells(history, term), "cells"), term).items():
+        write_csv(table, f"{out}/{name}")
+
+
+def eligibility_increment(history: DataFrame, term: str, state: str, out: str, *, rules=CURRENT_RULES, tiebreak=()) -> None:
+    """Add the rows of one more term to the stored student state, and write the state after it and the term's matrix.
+
+    ``state`` is the folder of the state before the term; the new one goes to ``<out>/state``. Only the term's rows of ``history`` are read.
+    """
+    spark, options = history.sparkSession, {"rules": rules, "tiebreak": tiebreak}
+    advance_state(spark.read.parquet(state), with_class_key(history), term, **options).write.mode("overwrite").parquet(f"{out}/state")
+    matrix_of_state(spark.read.parquet(f"{out}/state"), term, rules).write.mode("overwrite").parquet(f"{out}/matrix")

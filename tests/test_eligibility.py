@@ -1,10 +1,14 @@
 import pytest
 
 from coursepath.operators.eligibility import (
+    advance_state,
+    eligibility_state,
     eligible_terms,
     eligible_terms_v1,
+    matrix_of_state,
     student_matrix,
     student_matrix_v1,
+    student_matrix_wide,
     term_summary,
 )
 from coursepath.operators.rules import ARCHIVED_RULES, CURRENT_RULES, Rule, V1_RULES
@@ -189,3 +193,82 @@ def test_names_with_quotes(spark):
     rows = [row("s", "5227", "A_1000", level="it's"), row("s", "5243", odd)]
     got = student_matrix(frame(spark, rows), [rule], last_term="5243").collect()
     assert [tuple(r) for r in got] == [("s", odd, 2, 1)]
+
+
+def cells(df):
+    return {(r.emplid, r.target): (r.status, r.sem_eli) for r in df.collect()}
+
+
+def many_rules(n):
+    names = [f"COURSE_{i:04d}" for i in range(n)]
+    rest = [Rule(t, min_hours=float(i % 40), clauses=((names[i - 1], names[i * 7 % n]),)) for i, t in enumerate(names[1:], start=1)]
+    return names, [Rule(names[0], condreq=0)] + rest
+
+
+def test_a_thousand_rules_in_one_matrix(spark):
+    names, rules = many_rules(1000)
+    rows = random_histories(40, names[:60] + names[-60:], seed=16)
+    got = cells(student_matrix(frame(spark, rows), rules, last_term=LAST, tiebreak=["seq"]))
+    want = {
+        (s, r.target): (status_latest(mine, r.target), count_current(r, mine))
+        for s, mine in by_student(rows).items()
+        if any(x["strm"] == LAST for x in mine)
+        for r in rules
+    }
+    assert got == want and len(set(want.values())) > 8
+
+
+@pytest.mark.parametrize("tiebreak", [["seq"], {"seq": 5}, ["seq", "crse_grade_input"], {"seq": 60, "bus_maj": 60}])
+def test_matrix_for_every_kind_of_tiebreak(spark, tiebreak):
+    """An int, a stated width, a text that cannot be packed, and two longs that make a decimal."""
+    rows = random_histories(150, COURSES, seed=17)
+    got = cells(student_matrix(frame(spark, rows), RULES, last_term=LAST, tiebreak=tiebreak))
+    assert got == cells(student_matrix(frame(spark, rows), RULES, last_term=LAST, tiebreak=["seq"]))
+
+
+def test_a_value_outside_the_stated_width_is_an_error(spark):
+    df = frame(spark, [row("s", LAST, RULES[0].target, seq=9)])
+    with pytest.raises(Exception, match="more than the stated 3 bits"):
+        student_matrix(df, RULES, last_term=LAST, tiebreak={"seq": 3}).collect()
+
+
+def test_wide_matrix_has_the_cells_of_the_long_one(spark):
+    df = frame(spark, random_histories(100, COURSES, seed=18))
+    wide = student_matrix_wide(df, RULES, last_term=LAST, tiebreak=["seq"], names={"NOPE_1000": "NOPE_1000_X"}).collect()
+    want = cells(student_matrix(df, RULES, last_term=LAST, tiebreak=["seq"]))
+    name = lambda t: "NOPE_1000_X" if t == "NOPE_1000" else t
+    assert {(r.emplid, x.target): (r[name(x.target)], r[name(x.target) + "_SEM_ELI"]) for r in wide for x in RULES} == want
+
+
+@pytest.mark.parametrize("mode", ["latest", "sticky"])
+def test_terms_added_one_by_one_equal_a_full_run_after_each(spark, tmp_path, mode):
+    rows = random_histories(60, COURSES, seed=19)
+    df = frame(spark, rows).coalesce(1).cache()
+    options = {"rules": RULES, "mode": mode, "tiebreak": ["seq"]}
+    terms = sorted({r["strm"] for r in rows})
+    terms = terms if mode == "latest" else terms[-5:]
+    eligibility_state(df.where(f"strm <= '{terms[2]}'"), **options).write.parquet(str(tmp_path / terms[2]))
+    for before, term in zip(terms[2:], terms[3:]):
+        state = advance_state(spark.read.parquet(str(tmp_path / before)), df, term, **options)
+        state.write.parquet(str(tmp_path / term))
+        state, so_far = spark.read.parquet(str(tmp_path / term)), df.where(f"strm <= '{term}'")
+        assert cells(matrix_of_state(state, term, RULES)) == cells(student_matrix(so_far, last_term=term, **options))
+        whole = eligibility_state(so_far, **options)
+        assert sorted(map(tuple, state.select(*whole.columns).collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+
+
+def test_an_increment_reads_the_new_term_alone(spark, tmp_path):
+    df = frame(spark, random_histories(20, COURSES, seed=20))
+    df.write.partitionBy("strm").parquet(str(tmp_path / "h"))
+    hist = spark.read.schema(df.schema).parquet(str(tmp_path / "h"))
+    state = eligibility_state(hist.where(f"strm < '{LAST}'"), tiebreak=["seq"])
+    state.write.parquet(str(tmp_path / "s"))
+    plan = advance_state(spark.read.parquet(str(tmp_path / "s")), hist, LAST, tiebreak=["seq"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and f"(strm#" in plan and f"= {LAST})" in plan
+
+
+def test_no_rules_and_no_rows(spark):
+    df = frame(spark, term_rows([("5227", 30), (LAST, 40)]))
+    assert student_matrix(df, [], last_term=LAST).collect() == []
+    assert student_matrix(df.limit(0), RULES, last_term=LAST, tiebreak=["seq"]).collect() == []
+    assert eligibility_state(df.limit(0), RULES).collect() == []

@@ -4,6 +4,7 @@ import random
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 
 from coursepath.functions import pad_to
 from coursepath.operators.cohort import admissions_list, census_cohort, census_listing, earliest_admit
@@ -17,13 +18,15 @@ from coursepath.operators.history import (
     with_lifetime_max,
 )
 from coursepath.operators.keys import (
+    JoinGuard,
     common_keys,
     exclude,
     first_per_key,
+    hot_keys,
     keys_only_in,
     repeated_keys,
     restrict_to,
-    salted_join,
+    spread_join,
 )
 from coursepath.operators.rollup import class_rollup, student_classes
 from coursepath.sources import SOURCE_SCHEMAS
@@ -272,11 +275,42 @@ def test_keys(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_the_plain_join(spark, how):
+@pytest.mark.parametrize("rows_per_copy", [1, 15, 1000])
+def test_spread_join_equals_the_plain_join(spark, how, rows_per_copy):
     df = spark.createDataFrame([(k, n) for k in ("1", "1", "2", None) for n in range(40)], "emplid string, n int")
     lookup = spark.createDataFrame([("1", "a"), ("1", "b"), ("3", "c"), (None, "d")], "emplid string, v string")
-    assert rows_of(salted_join(df, lookup, "emplid", how)) == rows_of(df.join(lookup, "emplid", how))
-    assert rows_of(salted_join(df, lookup, ["emplid"], how, spread=["n"], salts=3)) == rows_of(df.join(lookup, "emplid", how))
+    want = rows_of(df.join(lookup, "emplid", how))
+    hot = hot_keys(df, "emplid", rows_per_copy=rows_per_copy)
+    assert rows_of(spread_join(df, lookup, "emplid", how, hot=hot)) == want
+    assert rows_of(spread_join(df, lookup, ["emplid"], how, spread=["n"], hot=hot)) == want
+    assert rows_of(spread_join(df, lookup, ["emplid"], how)) == want
+
+
+def test_hot_keys_are_those_with_more_than_a_share(spark):
+    df = spark.range(100_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 5 == 0, "warm").otherwise(F.col("id").cast("string")).alias("emplid"), F.lit(1).alias("n")
+    )
+    hashes = {r.emplid: r.h for r in df.select("emplid", F.xxhash64("emplid").alias("h")).distinct().where("emplid in ('hot', 'warm')").collect()}
+    found = hot_keys(df, "emplid", rows_per_copy=5000)
+    assert found == {hashes["hot"]: 3, hashes["warm"]: 2}  # a share is an eighth of the rows here
+    assert hot_keys(df, "emplid") == {} and hot_keys(df.limit(0), "emplid") == {}
+    assert hot_keys(df.select(F.lit(None).cast("string").alias("emplid")), "emplid", rows_per_copy=10) == {}
+
+
+def test_a_guard_counts_rows_in_the_job_of_the_join(spark):
+    rows = spark.createDataFrame([(str(k), "5227") for k in (1, 1, 2, 3)], "class_nbr string, strm string")
+    once = spark.createDataFrame([("1", "5227", "A"), ("2", "5227", "B")], "class_nbr string, strm string, subject string")
+    guard = JoinGuard("classes")
+    assert attach_class(rows, once, guard=guard).count() == 4
+    guard.check()
+    assert (guard.rows_in, guard.rows_out) == (4, 4)
+    guard = JoinGuard("classes")
+    out = attach_class(rows, once.union(once.where("class_nbr = '1'")), guard=guard)
+    assert out.count() == 6 and (guard.rows_in, guard.rows_out) == (4, 6)
+    with pytest.raises(ValueError, match="4 rows became 6"):
+        guard.check()
+    with pytest.raises(ValueError, match="one join"):
+        guard.join(rows, once, ["class_nbr", "strm"], "left")
 
 
 def test_repeated_keys(spark):
