@@ -1,209 +1,350 @@
 """Masked pseudo-likelihood scores by a bidirectional window network trained in numpy.
 
-Each token is predicted from the two tokens before it and the two after it; a document's score is the sum of the
-log-probabilities of all its words. A word's probability is that of its class given both sides, by the network, times
-the word's share of its class, by the counts of the whole corpus; a frequent word is a class of its own, the others
-share classes by their endings. Training goes over every position of every document: each task starts a round from the
-same weights and runs through its documents' positions (every ``stride``-th, from an offset that moves with the round);
-Spark averages the tasks' weights, by tokens, parameter by parameter.
+Each word is predicted from the two words before it and the two after it; a document's score is the sum of the
+log-probabilities of all its words. The network gives the probability of the word's class, in two steps: a group of classes, then
+a class of the group. Half of the classes are words of their own, the most frequent ones; the other half is shared by all other words, by
+their endings, and there a word has its share of its class by the counts of the whole corpus. The number of classes grows with the
+square root of the number of different words.
+
+Words are counted and turned into class numbers once, and stored. Training goes over every position of every document: shards of
+documents, dealt out by a digest, start a round from the same weights and run through their positions in a fixed order, and
+Spark averages the shards' weights by tokens. So neither the files nor the tasks decide the result.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from math import ceil, isqrt, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from coursepath.llm.tables import stored, text_or_empty
+from coursepath.llm.tables import frequent, stored, text_or_empty
 
-_REACH = 2  # tokens seen on each side
+_REACH = 2  # words seen on each side
+_WORD = re.compile(r"[^\W_]+")
+_COUNTED = 1 << 18  # different words that a task counts before it passes them on
 
 
 @dataclass(frozen=True)
 class MaskedLmParams:
-    words: int = 192  # most frequent words with an id of their own
-    endings: int = 64  # ids shared by all other words, by their last three letters
+    side: int | None = None  # groups, and classes of a group; by default they grow with the words of the corpus
     width: int = 16
-    rounds: int = 2  # from ``stride`` rounds on, every position is trained on
-    stride: int = 2  # one position in so many is trained on in a round
-    held: int = 65_536  # further words whose shares each task holds; the shares of the rest are joined
-    batch: int = 512
+    rounds: int = 2  # each trains on one position in so many, so that all rounds together train on every position once
+    hot: int = 1 << 18  # words whose class and share each task holds; those of the others are joined
+    tokens_per_shard: int = 4_000_000
+    batch: int = 2_048
     rate: float = 0.05
     seed: int = 5
 
 
-def plain(text: Column) -> Column:
-    """Lower-case runs of letters and digits, separated by single blanks."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+def words_of(text: str) -> list[str]:
+    """Lower-case runs of letters and digits."""
+    return _WORD.findall(text.lower())
 
 
-class Vocabulary:
-    """Token ids: the frequent words, then the shared ids; the id after the last one pads."""
-
-    def __init__(self, words: list[str], endings: int):
-        self.ids = {w: k for k, w in enumerate(words)}
-        self.endings = endings
-        self.pad = len(words) + endings
-        self._by_ending: dict[str, int] = {}
-
-    def of(self, word: str) -> int:
-        known = self.ids.get(word)
-        if known is None:
-            end = word[-3:]
-            known = self._by_ending.get(end)
-            if known is None:
-                known = self._by_ending[end] = len(self.ids) + zlib.crc32(end.encode()) % self.endings
-        return known
-
-    def stream(self, texts: Iterator[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another with pads around each, and which text each belongs to."""
-        gap = [self.pad] * _REACH
-        ids, sizes = [np.array(gap, np.int32)], []
-        for text in texts:
-            words = text.split(" ") if text else []
-            ids.append(np.fromiter(map(self.of, words), np.int32, len(words)))
-            ids.append(ids[0])
-            sizes.append(len(words) + _REACH)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        return np.concatenate(ids), np.concatenate([np.full(_REACH, -1), owner])
-
-
-def _blank(vocabulary: Vocabulary, log_share: np.ndarray, params: MaskedLmParams) -> list[np.ndarray]:
-    """Weights that predict every token by its share of the corpus."""
-    rng = np.random.default_rng(params.seed)
-    around = rng.normal(0, 0.3, (2 * _REACH, vocabulary.pad + 1, params.width))
-    return [w.astype(np.float32) for w in (around, np.zeros(params.width), np.zeros((params.width, vocabulary.pad)), log_share)]
-
-
-def _context(ids: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    return [ids[at + k] for k in range(-_REACH, _REACH + 1) if k]
-
-
-def _forward(weights: list[np.ndarray], context: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    around, bias, out, share = weights
-    hidden = bias + sum(around[k][c] for k, c in enumerate(context))
-    np.tanh(hidden, out=hidden)
-    logits = hidden @ out
-    logits += share
-    logits -= logits.max(1, keepdims=True)
-    return hidden, logits
+def _ending(word: str, shared: int) -> int:
+    return zlib.crc32(word[-3:].encode()) % shared
 
 
-def _train(weights: list[np.ndarray], ids: np.ndarray, at: np.ndarray, squares: list[np.ndarray], params: MaskedLmParams) -> None:
-    """Adagrad steps over the positions ``at``, in place."""
-    for start in range(0, len(at), params.batch):
-        here = at[start : start + params.batch]
-        context, target, row = _context(ids, here), ids[here], np.arange(len(here))
-        hidden, logits = _forward(weights, context)
-        wrong = np.exp(logits)
-        wrong /= wrong.sum(1, keepdims=True)
-        wrong[row, target] -= 1
-        wrong /= len(here)
-        back = (wrong @ weights[2].T) * (1 - hidden**2)
-        steps = [np.zeros_like(weights[0]), back.sum(0), hidden.T @ wrong, wrong.sum(0)]
-        for k, c in enumerate(context):
-            order = np.argsort(c, kind="stable")
-            rows, first = np.unique(c[order], return_index=True)
-            steps[0][k][rows] = np.add.reduceat(back[order], first)
-        for w, s, q in zip(weights, steps, squares):
-            q += s * s
-            w -= params.rate * s / (np.sqrt(q) + 1e-6)
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words with their numbers, added up in the task as far as memory is bounded."""
+    seen: Counter[str] = Counter()
 
+    def rows() -> pd.DataFrame:
+        return pd.DataFrame({"w": list(seen.keys()), "n": list(seen.values())})
 
-def _flat(weights: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([w.ravel() for w in weights])
+    for batch in batches:
+        for text in batch.text:
+            seen.update(words_of(text))
+            if len(seen) >= _COUNTED:
+                yield rows()
+                seen.clear()
+    if seen:
+        yield rows()
 
 
-def _shaped(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
-    cuts = np.cumsum([w.size for w in like])[:-1]
-    return [part.reshape(w.shape).astype(np.float32) for part, w in zip(np.split(flat, cuts), like)]
+@dataclass(frozen=True)
+class Vocabulary:
+    """Classes: ``own`` words have one each, then come the shared ones. ``number`` places the held words in the arrays."""
+
+    side: int
+    own: int
+    number: dict[str, int]
+    classes: np.ndarray  # of the held words
+    log_shares: np.ndarray  # of the held words within their classes
+    totals: np.ndarray  # words of the corpus by class
+
+    @property
+    def size(self) -> int:
+        return self.side**2
+
+    @property
+    def shared(self) -> int:
+        return self.size - self.own
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, float, list[str]]:
+        """Class numbers, the sum of the held words' log-shares, and the words that aren't held."""
+        get = self.number.get
+        at = np.array([get(w, -1) for w in words], np.int64)
+        held = at >= 0
+        classes = np.empty(len(words), np.int32)
+        classes[held] = self.classes[at[held]]
+        places = np.flatnonzero(~held).tolist()
+        others = [words[k] for k in places]
+        classes[places] = [self.own + _ending(w, self.shared) for w in others]
+        return classes, float(self.log_shares[at[held]].sum()), others
+
+
+def _class_of(own: DataFrame, n_own: int, shared: int, words: DataFrame) -> DataFrame:
+    """Adds ``class`` to a table of words ``w``."""
+    ending = n_own + F.crc32(F.expr("right(w, 3)")) % shared
+    return words.join(F.broadcast(own), "w", "left").withColumn("class", F.coalesce("own", ending).cast("int")).drop("own")
+
+
+class Network:
+    """Weights: an embedding per place and class, a hidden layer, and the two steps of the output."""
+
+    def __init__(self, parts: list[np.ndarray]):
+        self.parts = parts
+        self.around, self.bias, self.out1, self.even1, self.out2, self.even2 = parts
+
+    @classmethod
+    def blank(cls, vocabulary: Vocabulary, params: MaskedLmParams) -> Network:
+        """Weights that predict every class by its share of the corpus."""
+        side, width = vocabulary.side, params.width
+        share = vocabulary.totals.reshape(side, side) + 1.0
+        group = share.sum(1)
+        around = np.random.default_rng(params.seed).normal(0, 0.3, (2 * _REACH, side * side + 1, width))
+        parts = [around, np.zeros(width), np.zeros((width, side)), np.log(group / group.sum()), np.zeros((side, width, side)), np.log(share / group[:, None])]
+        return cls([p.astype(np.float32) for p in parts])
+
+    @property
+    def side(self) -> int:
+        return len(self.even1)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self.parts])
+
+    def shaped(self, flat: np.ndarray) -> Network:
+        cuts = np.cumsum([p.size for p in self.parts])[:-1]
+        return Network([x.reshape(p.shape).astype(np.float32) for x, p in zip(np.split(flat, cuts), self.parts)])
+
+    def hidden(self, ids: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        context = [ids[at + k] for k in range(-_REACH, _REACH + 1) if k]
+        total = self.bias + self.around[0][context[0]]
+        for k in range(1, len(context)):
+            total += self.around[k][context[k]]
+        return context, np.tanh(total, out=total)
+
+    def groups(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each group that occurs: its number, the rows whose target is in it, and their class within it."""
+        first, second = np.divmod(target, self.side)
+        order = np.argsort(first, kind="stable")
+        bounds = np.searchsorted(first[order], np.arange(self.side + 1))
+        for g in np.flatnonzero(np.diff(bounds)).tolist():
+            rows = order[bounds[g] : bounds[g + 1]]
+            yield g, rows, second[rows]
+
+    def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        _, hidden = self.hidden(ids, at)
+        target = ids[at]
+        logits = hidden @ self.out1 + self.even1
+        out = _log_share(logits, target // self.side)
+        for g, rows, second in self.groups(target):
+            out[rows] += _log_share(hidden[rows] @ self.out2[g] + self.even2[g], second)
+        return out
+
+    def train(self, ids: np.ndarray, at: np.ndarray, params: MaskedLmParams) -> None:
+        """Adagrad steps over the positions ``at``, in place."""
+        squares = [np.full_like(p, 1e-4) for p in self.parts]
+        padded = self.side**2 + 1
+        for start in range(0, len(at), params.batch):
+            here = at[start : start + params.batch]
+            target, n = ids[here], len(here)
+            context, hidden = self.hidden(ids, here)
+            wrong = _softmax(hidden @ self.out1 + self.even1)
+            wrong[np.arange(n), target // self.side] -= 1
+            wrong /= n
+            back = wrong @ self.out1.T
+            steps = [None, None, hidden.T @ wrong, wrong.sum(0), np.zeros_like(self.out2), np.zeros_like(self.even2)]
+            for g, rows, second in self.groups(target):
+                mine = hidden[rows]
+                off = _softmax(mine @ self.out2[g] + self.even2[g])
+                off[np.arange(len(rows)), second] -= 1
+                off /= n
+                back[rows] += off @ self.out2[g].T
+                steps[4][g], steps[5][g] = mine.T @ off, off.sum(0)
+            back *= 1 - hidden**2
+            steps[1] = back.sum(0)
+            places = np.concatenate([c + k * padded for k, c in enumerate(context)])
+            sums = [np.bincount(places, np.tile(back[:, d], len(context)), len(context) * padded) for d in range(back.shape[1])]
+            steps[0] = np.stack(sums, 1).reshape(self.around.shape).astype(np.float32)
+            for part, step, square in zip(self.parts, steps, squares):
+                square += step * step
+                part -= params.rate * step / (np.sqrt(square) + 1e-6)
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(1, keepdims=True)
+    return logits
 
 
-def targets(n: int, number: int, params: MaskedLmParams) -> np.ndarray:
-    """Which of ``n`` tokens a round trains on."""
-    return (np.arange(n) + number) % params.stride == 0
+def _log_share(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    logits -= logits.max(1, keepdims=True)
+    picked = logits[np.arange(len(logits)), chosen].astype(np.float64)
+    return picked - np.log(np.exp(logits).sum(1))
 
 
-def _round(texts: DataFrame, vocabulary: Vocabulary, weights: list[np.ndarray], number: int, params: MaskedLmParams) -> list[np.ndarray]:
-    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine, seen = [w.copy() for w in weights], 0
-        squares = [np.full_like(w, 1e-4) for w in mine]
-        for batch in batches:
-            ids, _ = vocabulary.stream(batch.text)
-            at = np.flatnonzero(ids != vocabulary.pad)
-            at = at[targets(len(at), number, params)]
-            _train(mine, ids, at, squares, params)
-            seen += len(at)
-        if seen:
-            yield pd.DataFrame({"w": [_flat(mine).astype(np.float64)], "n": [seen]})
-
-    each = texts.mapInPandas(train, "w array<double>, n long")
-    mean = (
-        each.select(F.posexplode("w").alias("k", "x"), "n")
-        .groupBy("k")
-        .agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
-    )
-    rows = mean.toPandas()  # as many rows as the network has weights
-    return _shaped(rows.sort_values("k").x.to_numpy(), weights) if len(rows) else weights
+def _stream(lists: pa.ListArray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All lists one after another with pads around each; the places of the tokens, and how many each list has."""
+    values = lists.flatten().to_numpy()
+    sizes = np.diff(lists.offsets.to_numpy())
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(values)) + _REACH * (owner + 1)
+    ids = np.full(len(values) + _REACH * (len(sizes) + 1), pad, np.int32)
+    ids[at] = values
+    return ids, at, sizes
 
 
-@dataclass
+@dataclass(frozen=True)
 class MaskedLm:
     vocabulary: Vocabulary
-    weights: list[np.ndarray]
-    log_shares: dict[str, float]  # of the own and the held words within their classes
-    totals: list[int]  # words of the corpus by class
-    counts: DataFrame | None  # all words of the corpus with their counts
-
-    def scores(self, texts) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-        """Tokens and summed log-probabilities of plain texts, and the words whose shares are still to be added."""
-        ids, owner = self.vocabulary.stream(texts)
-        at = np.flatnonzero(ids != self.vocabulary.pad)
-        logs = np.empty(len(at))
-        for start in range(0, len(at), 8192):
-            here = at[start : start + 8192]
-            _, logits = _forward(self.weights, _context(ids, here))
-            chosen = logits[np.arange(len(here)), ids[here]]
-            logs[start : start + 8192] = chosen - np.log(np.exp(logits).sum(1))
-        n = int(owner.max()) + 1
-        shares, others = np.zeros(n), []
-        for k, text in enumerate(texts):
-            words = text.split(" ") if text else []
-            found = [self.log_shares.get(w) for w in words]
-            others.append([w for w, x in zip(words, found) if x is None])
-            shares[k] = sum(x for x in found if x is not None)
-        return np.bincount(owner[at], minlength=n), np.bincount(owner[at], logs, minlength=n) + shares, others
-
-
-def train_masked_lm(docs: DataFrame, params: MaskedLmParams = MaskedLmParams(), text: str = "text") -> MaskedLm:
-    """The network of a corpus. Null and empty texts teach nothing; an empty corpus gives an even prediction."""
-    texts = docs.select(plain(text_or_empty(text)).alias("text"))
-    counts = stored(texts.select(F.explode(F.split("text", " ")).alias("w")).where("w != ''").groupBy("w").agg(F.count("*").alias("n")), "word_counts")
-    frequent = counts.orderBy(F.desc("n"), "w").limit(params.words + params.held).collect()
-    top = [r.w for r in frequent[: params.words]]
-    vocabulary = Vocabulary(top, params.endings)
-    own = F.create_map(*(F.lit(x) for k, w in enumerate(top) for x in (w, k))) if top else None
-    ending = _ending(len(top), params.endings)
-    token = F.coalesce(own[F.col("w")], ending) if top else ending
-    shares = {r.t: r.n for r in counts.groupBy(token.alias("t")).agg(F.sum("n").alias("n")).collect()}  # one row an id
-    share = np.array([shares.get(k, 0) + 1.0 for k in range(vocabulary.pad)])
-    weights = _blank(vocabulary, np.log(share / share.sum()), params)
-    for number in range(params.rounds):
-        weights = _round(texts, vocabulary, weights, number, params)
-    totals = [shares.get(k, 0) for k in range(vocabulary.pad)]
-    log_shares = {w: 0.0 for w in top}
-    log_shares |= {r.w: float(np.log(r.n / (totals[vocabulary.of(r.w)] + 1))) for r in frequent[params.words :]}
-    return MaskedLm(vocabulary, weights, log_shares, totals, counts)
-
-
-def _ending(own: int, endings: int) -> Column:
-    """The class of a word ``w`` that has none of its own."""
-    return own + F.crc32(F.expr("right(w, 3)")) % endings
+    sent: Broadcast | None  # the vocabulary, for the tasks
+    network: Network
+    counts: DataFrame  # all words of the corpus: w, n and class
+
+
+def _held_words(counts: DataFrame, params: MaskedLmParams) -> tuple[int, list[tuple[str, int]]]:
+    """The side of the classes for a table of words, and its most frequent words."""
+    side = params.side or max(4, ceil(sqrt(2 * isqrt(counts.count()))))
+    held = counts.where(frequent(counts, "n", params.hot)).toPandas()
+    return side, sorted(zip(held.w, held.n), key=lambda x: (-x[1], x[0]))
+
+
+def _encoded(docs: DataFrame, sent: Broadcast, id: str, text: str) -> DataFrame:
+    """``(id, row, ids, log_share, others)`` for every row, stored."""
+    schema = StructType(
+        [
+            StructField("id", docs.schema[id].dataType),
+            StructField("row", LongType()),
+            StructField("ids", ArrayType(IntegerType())),
+            StructField("log_share", DoubleType()),
+            StructField("others", ArrayType(StringType())),
+        ]
+    )
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sent.value.encode(words_of(t.as_py())) for t in batch.column(2)]
+            ids = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int32)
+            ends = np.concatenate([[0], np.cumsum([len(f[0]) for f in found], dtype=np.int64)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            others = pa.array([f[2] for f in found], pa.list_(pa.string()))
+            columns = [batch.column(0), batch.column(1), lists, pa.array([f[1] for f in found], pa.float64()), others]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "ids", "log_share", "others"])
+
+    read = docs.select(F.col(f"`{id}`").alias("id"), F.monotonically_increasing_id().alias("row"), text_or_empty(text).alias("text"))
+    return stored(read.mapInArrow(encode, schema), "encoded")
+
+
+def _round(shards: DataFrame, network: Network, pad: int, number: int, params: MaskedLmParams) -> Network:
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def trained(waiting: list) -> pa.RecordBatch:
+            ids, at, _ = _stream(pa.concat_arrays(waiting), pad)
+            at = at[(np.arange(len(at)) + number) % params.rounds == 0]
+            mine = Network([p.copy() for p in network.parts])
+            mine.train(ids, at, params)
+            flat = mine.flat()
+            weights = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat, pa.float32()))
+            return pa.RecordBatch.from_arrays([weights, pa.array([len(at)], pa.int64())], ["w", "n"])
+
+        shard, waiting = None, []
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for x, y in zip(cuts, cuts[1:]):
+                if y > x and numbers[x] != shard:
+                    if waiting:
+                        yield trained(waiting)
+                    shard, waiting = numbers[x], []
+                waiting.append(batch.column(1).slice(x, y - x))
+        if waiting:
+            yield trained(waiting)
+
+    each = shards.mapInArrow(train, "w array<float>, n long").where("n > 0")
+    mean = each.select(F.posexplode("w").alias("k", "x"), "n").groupBy("k").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
+    rows = mean.toPandas()  # as many rows as the network has weights
+    return network.shaped(rows.sort_values("k").x.to_numpy()) if len(rows) else network
+
+
+def train_masked_lm(docs: DataFrame, params: MaskedLmParams = MaskedLmParams(), id: str = "doc_id", text: str = "text") -> tuple[MaskedLm, DataFrame]:
+    """The network of a corpus, and the corpus in class numbers, for ``score_encoded``.
+
+    Null and empty texts teach nothing; an empty corpus gives an even prediction. The driver holds the network, the ``hot`` words and
+    a number for each class.
+    """
+    spark = docs.sparkSession
+    words = docs.select(text_or_empty(text).alias("text")).mapInPandas(_counted, "w string, n long")
+    counts = stored(words.groupBy("w").agg(F.sum("n").alias("n")), "word_counts")
+    side, held = _held_words(counts, params)
+    n_own = min(side * side // 2, len(held))
+    table = pd.DataFrame({"w": [w for w, _ in held[:n_own]], "own": range(n_own)}).astype({"w": object, "own": "int32"})
+    own = spark.createDataFrame(table, "w string, own int")
+    counts = stored(_class_of(own, n_own, side * side - n_own, counts), "word_classes")
+    totals = np.zeros(side * side, np.int64)
+    for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect():  # one row a class
+        totals[r["class"]] = r.n
+    classes = np.array([k if k < n_own else n_own + _ending(w, side * side - n_own) for k, (w, _) in enumerate(held)], np.int64)
+    n = np.array([n for _, n in held], np.float64)
+    shares = np.where(np.arange(len(held)) < n_own, 0.0, np.log(n / (totals[classes] + 1.0)) if len(held) else 0.0)
+    vocabulary = Vocabulary(side, n_own, {w: k for k, (w, _) in enumerate(held)}, classes, shares, totals)
+    sent = spark.sparkContext.broadcast(vocabulary)
+    encoded = _encoded(docs, sent, id, text)
+
+    network = Network.blank(vocabulary, params)
+    if params.rounds:
+        n_shards = max(1, int(totals.sum()) // params.tokens_per_shard)
+        digest = F.xxhash64("id", "ids")
+        marked = encoded.select(F.pmod(digest, F.lit(n_shards)).cast("int").alias("shard"), "ids", digest.alias("digest"), "id")
+        shards = marked.repartition(n_shards, "shard").sortWithinPartitions("shard", "digest", "id").select("shard", "ids")
+        for number in range(params.rounds):
+            network = _round(shards, network, vocabulary.size, number, params)
+    return MaskedLm(vocabulary, sent, network, counts), encoded
+
+
+def score_encoded(encoded: DataFrame, model: MaskedLm, id: str = "doc_id") -> DataFrame:
+    """``(id, n_tokens, log_likelihood, per_token)`` for every row of a table of class numbers. See ``score_documents``."""
+    network, pad = model.network, model.vocabulary.size
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at, sizes = _stream(batch.column(3), pad)
+            logs = np.concatenate([np.empty(0), *(network.log_probabilities(ids, at[x : x + 8192]) for x in range(0, len(at), 8192))])
+            sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, len(sizes)) + batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sums)], ["id", "row", "n_tokens", "logs"])
+
+    schema = StructType([encoded.schema["id"], encoded.schema["row"], StructField("n_tokens", LongType()), StructField("logs", DoubleType())])
+    scored = encoded.select("id", "row", "log_share", "ids").mapInArrow(score, schema)
+    # One row for each class.
+    totals = pd.DataFrame({"class": np.arange(pad, dtype=np.int32), "total": model.vocabulary.totals + 1.0})
+    ending = model.vocabulary.own + F.crc32(F.expr("right(w, 3)")) % model.vocabulary.shared
+    others = encoded.where("size(others) > 0").select("row", F.explode("others").alias("w")).join(model.counts, "w", "left")
+    others = others.withColumn("class", F.coalesce("class", ending.cast("int"))).join(F.broadcast(encoded.sparkSession.createDataFrame(totals)), "class")
+    shares = others.groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(1)) / F.col("total"))).alias("shares"))
+    n, sums = F.col("n_tokens"), F.col("logs") + F.coalesce("shares", F.lit(0.0))
+    return scored.join(shares, "row", "left").select(F.col("id").alias(id), n, sums.alias("log_likelihood"), F.when(n > 0, sums / n).alias("per_token"))
 
 
 def score_documents(docs: DataFrame, model: MaskedLm, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,26 +353,4 @@ def score_documents(docs: DataFrame, model: MaskedLm, id: str = "doc_id", text:
     Null, empty and wordless texts have no tokens, a sum of 0 and no mean. Whole texts count, however long; repeated rows and null
     ids are rows like any other. A class keeps room for one more word than the corpus has in it, which words that the corpus lacks get.
     """
-    network = replace(model, counts=None)
-
-    @F.pandas_udf("n_tokens long, log_likelihood double, others array<string>")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        if texts.empty:
-            return pd.DataFrame({"n_tokens": [], "log_likelihood": [], "others": []})
-        tokens, logs, others = network.scores(texts)
-        return pd.DataFrame({"n_tokens": tokens, "log_likelihood": logs, "others": others})
-
-    scored = stored(
-        docs.select(F.col(f"`{id}`").alias("id"), F.monotonically_increasing_id().alias("row"), score(plain(text_or_empty(text))).alias("s")).select("id", "row", "s.*"),
-        "scored_documents",
-    )
-    total = F.get(F.array(*map(F.lit, model.totals)), _ending(len(model.vocabulary.ids), model.vocabulary.endings).cast("int"))
-    shares = (
-        scored.select("row", F.explode("others").alias("w"))
-        .join(model.counts, "w", "left")
-        .groupBy("row")
-        .agg(F.sum(F.log(F.coalesce("n", F.lit(1)) / (total + 1))).alias("shares"))
-    )
-    n, sums = F.col("n_tokens"), F.col("log_likelihood") + F.coalesce("shares", F.lit(0.0))
-    out = scored.join(shares, "row", "left")
-    return out.select(F.col("id").alias(id), n, sums.alias("log_likelihood"), F.when(n > 0, sums / n).alias("per_token"))
+    return score_encoded(_encoded(docs, model.sent, id, text), model, id)

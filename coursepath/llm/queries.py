@@ -92,8 +92,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return masked_lm.score_documents(docs, masked_lm.train_masked_lm(docs))
+    model, encoded = masked_lm.train_masked_lm(read(spark, sf_dir, "documents"))
+    return masked_lm.score_encoded(encoded, model)
 
 
 def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,51 +9,61 @@ from coursepath.llm import masked_lm as M
 
 from .fixtures import documents
 
+SMALL = M.MaskedLmParams(side=4, batch=256, rate=0.1, tokens_per_shard=4_000)
+
+
+def pairs(rng, n=300):
+    """Texts in which each word tells its neighbour."""
+    return [(i, " ".join(f"{(a := rng.choice('abcdef'))}one {a}two" for _ in range(40))) for i in range(n)]
+
 
 @pytest.fixture(scope="module")
 def case(spark):
-    rng = random.Random(1)
-    texts = []
-    for i in range(300):
-        w = []
-        for _ in range(40):
-            a = rng.choice("abcdef")
-            w += [f"{a}one", f"{a}two"]  # each word tells its neighbour
-        texts.append((i, " ".join(w)))
+    texts = pairs(random.Random(1))
     docs = documents(spark, texts)
-    params = M.MaskedLmParams(words=12, endings=4, stride=2, rate=0.1)
-    return docs, M.train_masked_lm(docs, params), M.train_masked_lm(docs, M.MaskedLmParams(words=12, endings=4, rounds=0))
+    even = M.MaskedLmParams(side=4, rounds=0)
+    return texts, docs, M.train_masked_lm(docs, SMALL)[0], M.train_masked_lm(docs, even)[0]
 
 
-def slow_score(model, text):
-    v, (around, bias, out, share) = model.vocabulary, model.weights
-    ids = [v.pad] * 2 + [v.of(w) for w in text.split()] + [v.pad] * 2
+def slow_score(model, counts, text):
+    """Word by word: network, class and share, without the library's batches and tables."""
+    v, net = model.vocabulary, model.network
+    words = re.findall(r"[^\W_]+", text.lower())
+    of = lambda w: int(v.classes[v.number[w]]) if w in v.number else v.own + M._ending(w, v.shared)
+    ids = [v.size] * 2 + [of(w) for w in words] + [v.size] * 2
     total = 0.0
-    for i in range(2, len(ids) - 2):
-        h = np.tanh(bias + around[0][ids[i - 2]] + around[1][ids[i - 1]] + around[2][ids[i + 1]] + around[3][ids[i + 2]])
-        z = h @ out + share
-        total += float(z[ids[i]] - np.log(np.exp(z).sum()))
+    for i, w in enumerate(words, start=2):
+        h = np.tanh(net.bias + net.around[0][ids[i - 2]] + net.around[1][ids[i - 1]] + net.around[2][ids[i + 1]] + net.around[3][ids[i + 2]])
+        group, place = divmod(ids[i], v.side)
+        for z, k in ((h @ net.out1 + net.even1, group), (h @ net.out2[group] + net.even2[group], place)):
+            total += float(z[k] - np.log(np.exp(z.astype(float)).sum()))
+        if ids[i] >= v.own:
+            total += np.log(max(1, counts[w]) / (sum(n for x, n in counts.items() if of(x) == ids[i]) + 1))
     return total
 
 
-def test_scores_are_sums_of_conditional_log_probabilities(spark, case):
-    _, model, _ = case
-    texts = [(1, "aone atwo bone"), (2, "Zzz! aone, q"), (3, None), (4, ""), (5, "!!"), (None, "aone"), (1, "aone atwo bone"), (6, "aone atwo " * 20_000)]
+@pytest.mark.parametrize("hot", [0, 5, 1 << 18])
+def test_scores_are_sums_of_conditional_log_probabilities(spark, hot):
+    rng = random.Random(2)
+    corpus = pairs(rng, 40) + [(100 + k, " ".join(f"rare{rng.randrange(60)}" for _ in range(20))) for k in range(20)]
+    counts = Counter(w for _, t in corpus for w in t.split())
+    model, _ = M.train_masked_lm(documents(spark, corpus), M.MaskedLmParams(side=5, batch=64, hot=hot))
+    texts = [(1, "aone atwo bone"), (2, "Zzz! aone, q_rare7"), (3, None), (4, ""), (5, "!!"), (None, "aone"), (1, "aone atwo bone"), (6, "rare1 rare59 never aone " * 5000)]
     rows = M.score_documents(documents(spark, texts), model).collect()
     assert len(rows) == len(texts)
     for r in rows:
-        text = {1: "aone atwo bone", 2: "zzz aone q", None: "aone"}.get(r.doc_id)
-        if text:
-            assert r.n_tokens == len(text.split()) and r.log_likelihood == pytest.approx(slow_score(model, text), abs=1e-3)
+        text = dict(texts[:5] + [(None, "aone"), (6, "rare1 rare59 never aone " * 5000)])[r.doc_id]
+        words = re.findall(r"[^\W_]+", (text or "").lower())
+        assert r.n_tokens == len(words)
+        if not words:
+            assert (r.log_likelihood, r.per_token) == (0.0, None)
+        elif r.doc_id != 6:
+            assert r.log_likelihood == pytest.approx(slow_score(model, counts, text), abs=1e-3)
             assert r.per_token == pytest.approx(r.log_likelihood / r.n_tokens)
-        elif r.doc_id == 6:
-            assert r.n_tokens == 40_000
-        else:
-            assert (r.n_tokens, r.log_likelihood, r.per_token) == (0, 0.0, None)
 
 
 def test_training_learns_from_both_sides(spark, case):
-    docs, model, even = case
+    _, docs, model, even = case
     mean = lambda m: M.score_documents(docs, m).selectExpr("sum(log_likelihood) / sum(n_tokens)").first()[0]
     assert mean(model) > mean(even) + 0.3
     shuffled = documents(spark, [(1, "aone btwo cone dtwo eone ftwo"), (2, "aone atwo bone btwo cone ctwo")])
@@ -59,29 +71,53 @@ def test_training_learns_from_both_sides(spark, case):
     assert got[2] > got[1] + 0.3
 
 
+def test_words_far_down_the_list_are_told_apart_by_their_neighbours(spark):
+    """Six hundred words that are equally frequent, in pairs: each word's partner is likelier beside it than another's."""
+    rng = random.Random(3)
+    texts = [(i, " ".join(f"l{(k := rng.randrange(300))}q r{k}q" for _ in range(60))) for i in range(1500)]
+    model, _ = M.train_masked_lm(documents(spark, texts), M.MaskedLmParams(side=36, rounds=4, batch=128, rate=0.3))
+    assert model.vocabulary.own >= 600
+    right = [(k, f"l{k}q r{k}q") for k in range(200, 260)]
+    wrong = [(1000 + k, f"l{k}q r{(k + 17) % 300}q") for k in range(200, 260)]
+    got = {r.doc_id: r.per_token for r in M.score_documents(documents(spark, right + wrong), model).collect()}
+    assert np.mean([got[k] > got[1000 + k] for k in range(200, 260)]) > 0.9
+
+
+def test_files_and_tasks_do_not_decide_the_result(spark, case):
+    texts, _, model, _ = case
+    turned = documents(spark, texts[::-1]).repartition(3)
+    again, _ = M.train_masked_lm(turned, SMALL)
+    assert int(sum(model.vocabulary.totals)) // SMALL.tokens_per_shard == 6
+    for a, b in zip(model.network.parts, again.network.parts):
+        np.testing.assert_allclose(a, b, atol=1e-4)
+
+
+def test_classes_grow_with_the_words(spark):
+    for n, side in ((10, 4), (1000, 8), (40_000, 20)):
+        docs = documents(spark, [(1, " ".join(f"w{k}" for k in range(n)))])
+        assert M.train_masked_lm(docs, M.MaskedLmParams(rounds=0))[0].vocabulary.side == side
+
+
 def test_no_documents(spark):
     empty = documents(spark, [])
-    model = M.train_masked_lm(empty)
-    assert M.score_documents(empty, model).count() == 0
+    model, encoded = M.train_masked_lm(empty)
+    assert M.score_encoded(encoded, model).count() == 0 and M.score_documents(empty, model).count() == 0
     one = M.score_documents(documents(spark, [(1, "x y")]), model).first()
-    assert one.per_token == pytest.approx(-np.log(model.vocabulary.pad), abs=1e-5)
+    assert one.per_token == pytest.approx(-np.log(model.vocabulary.size), abs=1e-5)
 
 
-def test_every_position_is_trained_on():
-    params = M.MaskedLmParams()
-    for n in (1, 2, 5, 1000):
-        times = sum(M.targets(n, number, params).astype(int) for number in range(params.rounds))
-        assert (times == 1).all()
+def test_every_position_is_trained_on_once():
+    for rounds in (1, 2, 3):
+        for n in (1, 2, 5, 1000):
+            assert (sum(((np.arange(n) + k) % rounds == 0).astype(int) for k in range(rounds)) == 1).all()
 
 
-@pytest.mark.parametrize("held", [0, 2, 100])
-def test_rare_words_keep_their_own_probability(spark, held):
+@pytest.mark.parametrize("hot", [0, 2, 100])
+def test_rare_words_keep_their_own_probability(spark, hot):
     texts = [(1, "the the the the xing xing xing ying"), (2, "the zing the ying")]
-    params = M.MaskedLmParams(words=1, endings=1, rounds=0, held=held)  # one class holds all words but "the"
-    model = M.train_masked_lm(documents(spark, texts), params)
+    model, _ = M.train_masked_lm(documents(spark, texts), M.MaskedLmParams(side=1, rounds=0, hot=hot))  # one class holds all words
+    assert model.vocabulary.own == 0 and model.vocabulary.totals.tolist() == [12]
     ask = [(1, "xing"), (2, "zing"), (3, "never seen"), (4, "the"), (5, "xing ying")]
     got = {r.doc_id: r.log_likelihood for r in M.score_documents(documents(spark, ask), model).collect()}
-    rare = np.log((6 + 1) / (12 + 2))
-    xing, ying, one = (np.log(k / 7) + rare for k in (3, 2, 1))
-    want = {1: xing, 2: one, 3: 2 * one, 4: np.log((6 + 1) / (12 + 2)), 5: xing + ying}
-    assert got == pytest.approx(want, abs=1e-5)
+    log = lambda *n: sum(np.log(k / 13) for k in n)
+    assert got == pytest.approx({1: log(3), 2: log(1), 3: log(1, 1), 4: log(6), 5: log(3, 2)}, abs=1e-5)
