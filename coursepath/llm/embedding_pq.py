@@ -41,6 +41,20 @@ class PQParams:
     seed: int = 11
 
 
+def scaled(vectors) -> np.ndarray:
+    """Rows in double precision, each times the power of two that brings its largest component to between a half and one.
+
+    Exact, and no square under- or overflows, so very small and very large finite vectors have a direction like any other.
+    """
+    x = np.stack(list(vectors)).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def unit(vectors) -> np.ndarray:
+    x = scaled(vectors)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     centers = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
@@ -55,9 +69,9 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 class Quantiser:
     """Coarse centroids and residual codebooks of one vector length."""
 
-    def __init__(self, sample: np.ndarray, lists: int, params: PQParams):
+    def __init__(self, sample, lists: int, params: PQParams):
         rng = np.random.default_rng(params.seed)
-        x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        x = unit(sample)
         self.radius = sqrt(2 - 2 * params.similarity)
         self.centers = _kmeans(x, lists, params.rounds, rng)
         self.cuts = list(range(0, x.shape[1], params.subspace))
@@ -104,8 +118,7 @@ def _placed(q: Quantiser, members: bool):
         # Visits multiply the rows: only so many vectors at once that few rows are in memory.
         step = max(1, _ROWS // (1 if members else len(q.centers)))
         for batch in (b[at : at + step] for b in batches for at in range(0, len(b), step)):
-            x = np.stack(batch.v.to_numpy()).astype(np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = unit(batch.v)
             own = q.nearest(x)
             if members:
                 codes, left = q.encode(x - q.centers[own])
@@ -127,7 +140,7 @@ def _unit(q: Quantiser, similarity: float):
         none = pd.DataFrame({"c": [], "links": [], "root": []}).astype("int64")
         if a.empty or b.empty:
             return none
-        wide = [np.stack(s.v.to_numpy()).astype(np.float64) for s in (a, b)]
+        wide = [scaled(s.v) for s in (a, b)]
         norm = [np.linalg.norm(w, axis=1) for w in wide]
         ids = np.concatenate([a.c.to_numpy(), [] if same else b.c.to_numpy()]).astype(np.int64)
         size = [s.n.to_numpy() for s in (a, b)]
@@ -211,7 +224,7 @@ def near_duplicates(vectors: DataFrame, params: PQParams = PQParams(), id: str =
         if picked.empty:
             picked = part.select("v").limit(1).toPandas().v
         lists = max(1, min(params.most_lists, len(picked) // 8, n // params.vectors_per_list))
-        q = Quantiser(np.stack(picked.to_numpy()).astype(np.float64), lists, params)
+        q = Quantiser(picked, lists, params)
         schema = f"list int, c long, n long, v {part.schema['v'].dataType.simpleString()}, codes binary, error double"
         index = stored(part.mapInPandas(_placed(q, True), schema), "index")
         visits = stored(part.mapInPandas(_placed(q, False), schema), "visits")

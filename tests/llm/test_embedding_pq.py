@@ -62,3 +62,20 @@ def test_probes_cover_every_pair_within_the_radius():
     assert pairs and all(flags[a, own[b]] for a, b in pairs)
     codes, left = q.encode(u - q.centers[own])
     assert codes.dtype == np.uint8 and (left >= 0).all()
+
+
+def test_extreme_finite_vectors_link_like_any_other(spark):
+    """Squares that under- or overflow a double poison neither their own links nor those of others."""
+    rng = np.random.default_rng(4)
+    rows = [(k, (v := rng.normal(size=2).tolist())) for k in range(60)] + [(100, [1.0, 2.0]), (101, [2.0, 4.0]), (102, [1e-200, 2e-200]), (103, [1e200, 2e200])]
+    rows += [(104, [5e-324, 1e-323]), (105, [1e308, -1e308]), (106, [-1e-308, 1e-308]), (107, [1.7e308, 0.0]), (108, [0.0, 5e-324])]
+    plain_rows = [(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in rows]
+    for params in (E.PQParams(vectors_per_list=10, block=8, codes=4), E.PQParams()):
+        got = plain(E.near_duplicates(table(spark, rows, "double"), params), "vec_id", "n_links", "component")
+        assert got == sorted(brute(plain_rows), key=str)
+
+
+def test_a_cosine_of_exactly_the_similarity_links(spark):
+    rows = [(1, [1.0, 0.0]), (2, [3.0, 4.0]), (3, [0.6 - 1e-9, 0.8])]
+    got = plain(E.near_duplicates(table(spark, rows, "double"), E.PQParams(similarity=0.6)), "vec_id", "n_links", "component")
+    assert got == [(1, 1, 1), (2, 2, 1), (3, 1, 1)]
