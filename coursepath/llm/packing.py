@@ -1,7 +1,8 @@
 """Packing into length buckets whose bounds minimise padding, and token-budget batches within each bucket.
 
-Only a histogram of lengths comes to the driver. Its bins are exact up to 4,096 tokens and 1/1,024 wide above, so
-it has under 60,000 bins whatever the corpus; dynamic programming over them finds the bounds.
+Only the histogram of exact lengths comes to the driver: two numbers for each length that occurs. L different lengths take
+L^2/2 tokens at the least, so even ten million million tokens have under five million of them. Dynamic programming over them
+finds the bounds, each a length that occurs.
 """
 
 from __future__ import annotations
@@ -14,8 +15,6 @@ from pyspark.sql.window import Window
 
 from coursepath.llm.tables import free_name, stored, text_or_empty
 
-_EXACT_BITS = 12
-
 
 @dataclass(frozen=True)
 class PackingParams:
@@ -30,15 +29,6 @@ def word_count(text: str = "text") -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+")))
 
 
-def upper_edge(n: Column) -> Column:
-    """The upper end of the histogram bin of a length: the length itself up to 4,096, else rounded up to 11 leading bits."""
-    n = n.cast("long")
-    bits = F.length(F.bin(F.greatest(n - 1, F.lit(0)))) - (_EXACT_BITS - 1)
-    unit = F.expr("1L")
-    step = F.call_function("shiftleft", unit, F.greatest(bits, F.lit(0)))
-    return F.when(n <= 1 << _EXACT_BITS, n).otherwise(F.ceil(n / step).cast("long") * step)
-
-
 def best_bounds(bins: list[tuple[int, int, int]], buckets: int) -> tuple[list[int], int]:
     """Bucket bounds with the least padding, and that padding.
 
@@ -98,17 +88,18 @@ def pack(docs: DataFrame, params: PackingParams = PackingParams(), id: str = "do
     sized = stored(
         docs.select(F.col(f"`{id}`").alias("id"), (word_count() if length is None else length).cast("long").alias("n_tokens")),
         "lengths",
-    ).withColumn("edge", upper_edge(F.col("n_tokens")))
-    bins = sized.groupBy("edge").agg(F.count("*").alias("c"), F.sum("n_tokens").alias("t")).orderBy("edge").collect()
-    bounds, _ = best_bounds([(r.edge, r.c, r.t) for r in bins], params.buckets)
+    )
+    histogram = sized.groupBy("n_tokens").agg(F.count("*").alias("c")).toPandas().sort_values("n_tokens")
+    bins = [(n, c, n * c) for n, c in zip(histogram.n_tokens.tolist(), histogram.c.tolist())]
+    bounds, _ = best_bounds(bins, params.buckets)
     if not bounds:
         return sized.select(F.col("id").alias(id), "n_tokens", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("bucket_length"), F.lit("").alias("batch"), F.lit(0).cast("long").alias("padding"))
-    counts = [sum(r.c for r in bins if low < r.edge <= high) for low, high in zip([-1, *bounds], bounds)]
+    counts = [sum(c for n, c, _ in bins if low < n <= high) for low, high in zip([-1, *bounds], bounds)]
     shards = [max(1, -(-c // params.rows_per_shard)) for c in counts]
     capacity = [max(1, params.tokens_per_batch // max(1, b)) for b in bounds]
     pick = lambda values: F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), F.col("bucket") + 1)
     placed = (
-        sized.withColumn("bucket", sum((F.when(F.col("edge") > b, 1).otherwise(0) for b in bounds), F.lit(0)))
+        sized.withColumn("bucket", sum((F.when(F.col("n_tokens") > b, 1).otherwise(0) for b in bounds), F.lit(0)))
         .withColumn("bucket_length", pick(bounds))
         .withColumn("row", F.monotonically_increasing_id())
         .withColumn("shard", F.pmod(F.xxhash64("id", "row"), pick(shards)))

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from coursepath.llm import packing as P
 
 from .fixtures import documents
@@ -29,12 +31,13 @@ def test_bounds_have_the_least_padding():
     assert P.best_bounds([], 4) == ([], 0)
 
 
-def test_bins_are_exact_then_fine(spark):
-    lengths = [0, 1, 2, 4095, 4096, 4097, 4100, 4101, 8191, 8192, 8193, 100_000, 1 << 40]
-    rows = spark.createDataFrame([(n,) for n in lengths], "n long").select("n", P.upper_edge(__import__("pyspark").sql.functions.col("n")).alias("e")).collect()
-    for r in rows:
-        assert r.e == r.n if r.n <= 4096 else r.n <= r.e <= r.n * (1 + 1 / 1024) + 1
-    assert [r.e for r in rows if 4096 < r.n <= 4101] == [4100, 4100, 4104]
+def test_bounds_of_long_texts_are_lengths_that_occur(spark):
+    lengths = [3, 5, 4095, 4097, 5001, 5001, 5003, 8191, 8193, 9001, 20_001]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n long")
+    out = P.pack(rows, P.PackingParams(buckets=5), length=F.col("n")).collect()
+    assert {r.bucket_length for r in out} <= set(lengths)
+    bins = [(k, len(list(g)), 0) for k, g in itertools.groupby(sorted(lengths))]
+    assert sum(r.padding for r in out) == brute([(k, c, k * c) for k, c, _ in bins], 5)
 
 
 def test_every_document_is_in_one_batch_within_budget(spark):
