@@ -3,7 +3,8 @@
 1. Windows are only built in documents that can hold a match. A window of similarity ``t`` to an item shares so
    many shingles with it that one of them stands at every k-th word, so looking at every k-th shingle of a document
    finds every such document (:func:`safe_stride`). No match is lost by this.
-2. In those documents, every shingle shared with an item aligns a window of the item's size.
+2. In those documents, every place that enough shared shingles follow within an item's size starts windows of that size,
+   one for each start that can hold as many. A window of the similarity holds that many, in whatever order, so none is lost.
 3. Windows and items get a 64-bit SimHash over their words. A multi-index over blocks of the fingerprint finds all
    pairs within the radius: with more blocks than differing bits, some block agrees.
 4. The multiset (weighted Jaccard) similarity of five-word shingles verifies each candidate exactly.
@@ -47,6 +48,11 @@ def safe_stride(least: int, most: int, similarity: float) -> int:
     return max(good, default=1)
 
 
+def least_shared(n: Column | str, m: Column | str, similarity: float) -> str:
+    """SQL: how many shingles two bags of ``n`` and ``m`` shingles have in common at least, if they are so similar."""
+    return f"CAST(ceil({similarity / (1 + similarity)!r}D * ({n} + {m}) - 1e-9D) AS INT)"
+
+
 def simhash(hashes: list[Column], n: Column) -> Column:
     """The 64-bit SimHash from 64 counts of set bits among ``n`` hashes: a bit is 1 if set in over half."""
     bits = [F.when(2 * c > n, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i, c in enumerate(hashes)]
@@ -90,9 +96,9 @@ def contaminated(
 ) -> DataFrame:
     """``(id, item, similarity, start, n_words)``: the best window of each document and item that match.
 
-    ``start`` counts words from 0; among equal windows it is the first. Null and empty texts match nothing. Items of
-    fewer words than a shingle match only documents whose whole text is the same words (similarity 1). Repeated rows of
-    a document give one result; a null id is an id of its own. Items with equal texts each get their rows.
+    ``start`` counts words from 0; among equal windows it is the first. A document shorter than an item is one window. Null and empty
+    texts match nothing. An item of fewer words than a shingle is one shingle as a whole, so it is found where its words stand in a
+    row. Repeated rows of a document give one result; a null id is an id of its own. Items with equal texts each get their rows.
     """
     size = params.shingle
     bench = stored(
@@ -104,23 +110,19 @@ def contaminated(
         "benchmark",
     )
     corpus = docs.select(F.col(f"`{id}`").alias("id"), words_of(text_or_empty(text)).alias("words"))
-    span = bench.where(F.col("n_words") >= size).agg(F.min("n_words"), F.max("n_words"), F.count("*")).first()
     found = []
-    if span[2]:
-        found.append(_by_windows(corpus, bench.where(F.col("n_words") >= size), span, params))
-    if not bench.where(F.col("n_words") < size).isEmpty():
-        short = bench.where(F.col("n_words") < size).select("item", "words", "n_words")
-        found.append(
-            corpus.where(F.size("words") < size).join(short, "words").select("id", "item", F.lit(1.0).alias("similarity"), F.lit(0).alias("start"), "n_words").distinct()
-        )
+    # Shingles of the usual size, and of fewer words for items that have no more.
+    kinds = bench.select(F.least("n_words", F.lit(size)).alias("size"), "n_words").groupBy("size").agg(F.min("n_words"), F.max("n_words")).collect()
+    for words, least, most in sorted(map(tuple, kinds), reverse=True):
+        found.append(_by_windows(corpus, bench.where(F.least("n_words", F.lit(size)) == words), (least, most), words, params))
     if not found:
         found.append(docs.sparkSession.createDataFrame([], corpus.select("id").schema).join(bench.select("item").limit(0)).select("id", "item", F.lit(1.0).alias("similarity"), F.lit(0).alias("start"), F.lit(0).alias("n_words")))
     return reduce(DataFrame.unionByName, found).withColumnsRenamed({"id": id, "item": item})
 
 
-def _by_windows(corpus: DataFrame, bench: DataFrame, span, params: DecontaminationParams) -> DataFrame:
-    size = params.shingle
-    anchors = _positions(bench, size).select(F.xxhash64(*_shingle_at("words", "pos", size)).alias("h"), F.col("pos").alias("q"), "n_words").distinct()
+def _by_windows(corpus: DataFrame, bench: DataFrame, span: tuple[int, int], size: int, params: DecontaminationParams) -> DataFrame:
+    """Matches of the items of ``bench``, which have ``span`` words, by shingles of ``size`` words."""
+    anchors = _positions(bench, size).select(F.xxhash64(*_shingle_at("words", "pos", size)).alias("h"), "n_words").distinct()
     hashes = stored(anchors, "benchmark_shingles")
     small = hashes.count() <= params.broadcast_rows
     side = lambda df: F.broadcast(df) if small else df
@@ -139,12 +141,23 @@ def _by_windows(corpus: DataFrame, bench: DataFrame, span, params: Decontaminati
         corpus.join(few, F.col("id").eqNullSafe(F.col("seen")), "left_semi").select(F.monotonically_increasing_id().alias("row"), "id", "words"),
         "matched_documents",
     )
-    starts = (
+    shared = (
         _positions(matched.select("row", "words"), size)
         .select("row", "pos", F.xxhash64(*_shingle_at("words", "pos", size)).alias("h"), F.size("words").alias("n"))
         .join(side(hashes), "h")
-        # A window that would leave the text is moved to its edge.
-        .select("row", "n_words", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("q"), F.col("n") - F.col("n_words"))).alias("start"))
+        .groupBy("row", "n", "n_words")
+        .agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    )
+    # Shingles of a window and of the item, and how many they share at least.
+    window, whole = f"(least(n, n_words) - {size - 1})", f"(n_words - {size - 1})"
+    shared = shared.withColumns({"m": F.expr(window), "need": F.expr(least_shared(window, whole, params.similarity))})
+    full = F.expr("filter(at, (p, i) -> get(at, i + need - 1) <= p + m - 1)")
+    first, last = "greatest(0, p - (m - need))", "least(p, greatest(0, n - n_words))"
+    starts = (
+        shared.where(F.size("at") >= F.col("need"))
+        .select("row", "n", "n_words", "m", "need", F.explode(full).alias("p"))
+        .where(f"{first} <= {last}")
+        .select("row", "n_words", F.explode(F.expr(f"sequence({first}, {last})")).alias("start"))
         .distinct()
     )
     windows = stored(

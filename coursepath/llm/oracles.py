@@ -83,7 +83,7 @@ from ruled join scores using (s), bar
 """
 )
 
-# Every window that a shared five-word shingle aligns, compared by its bag of shingles.
+# Every window that holds a shared five-word shingle, compared by its bag of shingles.
 OP1 = r"""
 with docs as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),
 items as (select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from benchmark),
@@ -94,9 +94,11 @@ item_grams as (
     select item_id, n, q, array_to_string(w[q + 1:q + 5], ' ') as g
     from (select item_id, w, len(w) as n, unnest(range(0, len(w) - 4)) as q from items where len(w) > 4)
 ),
+shared as (
+    select distinct doc_id, item_id, n, p, len(w) as words from doc_grams join (select distinct item_id, n, g from item_grams) using (g) join docs using (doc_id)
+),
 starts as (
-    select distinct doc_id, item_id, n, greatest(0, least(p - q, len(w) - n)) as start
-    from doc_grams join item_grams using (g) join docs using (doc_id)
+    select distinct doc_id, item_id, n, unnest(range(greatest(0, p - n + 5), least(p, greatest(0, words - n)) + 1)) as start from shared
 ),
 windows as (select s.*, w[start + 1:start + n] as w from starts s join docs using (doc_id)),
 bags as (
@@ -119,7 +121,8 @@ qualify row_number() over (partition by doc_id, item_id order by similarity desc
 # All pairs, and all that each vector reaches.
 OP5 = """
 with recursive v as (
-    select vec_id, embedding::double[] as e from embeddings
+    select vec_id, list_transform(embedding::double[], lambda x: x / pow(2, floor(log2(list_max(list_transform(embedding::double[], lambda y: abs(y)))))) as e
+    from embeddings
     where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ),
 link as (

@@ -13,12 +13,14 @@ def words(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
 
-def bag(w):
-    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+def bag(w, size=5):
+    return Counter(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
 
 
 def similarity(a, b):
-    x, y = bag(a), bag(b)
+    """By shingles of five words; an item of fewer is one shingle."""
+    size = min(5, len(b))
+    x, y = bag(a, size), bag(b, size)
     common = sum((x & y).values())
     return common / (sum(x.values()) + sum(y.values()) - common) if x and y else 0.0
 
@@ -30,7 +32,7 @@ def brute(texts, items):
         w = words(t)
         for k, item in items:
             v = words(item)
-            if len(v) < 5:
+            if not v:
                 continue
             starts = range(max(1, len(w) - len(v) + 1))
             best = max(similarity(w[s : s + len(v)], v) for s in starts)
@@ -80,10 +82,38 @@ def test_join_beyond_the_broadcast_bound_gives_the_same(spark, case):
     assert plain(far, "doc_id", "item_id") == sorted(((i, k) for i, k, _ in brute(texts, items)), key=str)
 
 
-def test_short_items_match_equal_texts_only(spark):
-    bench = spark.createDataFrame([(1, "Yes, sir"), (2, "")], "item_id long, text string")
-    docs = documents(spark, [(1, "yes sir!"), (2, "yes sir they said"), (3, None)])
-    assert plain(D.contaminated(docs, bench), "doc_id", "item_id") == [(1, 1)]
+def test_short_items_are_found_where_their_words_stand_in_a_row(spark):
+    items = [(1, "Yes, sir"), (2, ""), (3, "no"), (4, "one two three four"), (5, "a b c d e")]
+    texts = [(1, "yes sir!"), (2, "oh yes, sir they said"), (3, None), (4, "yes my sir"), (5, "he said: No! and one two three  four"), (6, "one two four three"), (7, "z a b c d e z no")]
+    found = D.contaminated(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.similarity) for r in found.collect()} == brute(texts, items)
+    assert {(r.doc_id, r.item_id): (r.start, r.n_words) for r in found.collect()}[2, 1] == (1, 2)
+
+
+def mixed(rng, words):
+    """The words with two stretches swapped, one moved, or some cut out, now and then below the similarity."""
+    n, kind = len(words), rng.randrange(4)
+    cut = rng.randrange(1, n)
+    if kind == 0:
+        return words[cut:] + words[:cut]
+    if kind == 1:
+        a, b = sorted(rng.sample(range(n), 2))
+        return words[b:] + words[a:b] + words[:a]
+    if kind == 2:
+        return words[:cut] + [f"new{rng.randrange(9)}" for _ in range(rng.randrange(3))] + words[cut + rng.randrange(3) :]
+    return words[rng.randrange(4) : n - rng.randrange(4)]
+
+
+@pytest.mark.parametrize("vocabulary", [40, 5000])
+def test_swapped_moved_and_cut_passages_equal_brute_force(spark, vocabulary):
+    """Windows whose shingles stand elsewhere than in the item; few different words make shared shingles by chance too."""
+    rng = random.Random(vocabulary)
+    items = [(k, prose(rng, rng.randint(12, 70), vocabulary)) for k in range(25)]
+    texts = [(i, " ".join(prose(rng, rng.randint(0, 60), vocabulary).split() + mixed(rng, rng.choice(items)[1].split()) + prose(rng, rng.randint(0, 60), vocabulary).split())) for i in range(150)]
+    texts += [(200 + k, " ".join(t.split()[len(t.split()) // 2 :] + t.split()[: len(t.split()) // 2])) for k, t in items]
+    found = D.contaminated(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute(texts, items)
+    assert {(r.doc_id, r.item_id, round(r.similarity, 9)) for r in found.collect()} == want and len(want) > 60
 
 
 def test_empty_tables(spark, case):
