@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursepath.llm.tables import free_name, stored, text_or_empty
@@ -49,6 +49,7 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Every entity but a person holds one of these, so that most texts need no look at the long pattern.
 _SIGNS = r"[0-9@]|[a-f]{32}|[A-F]{32}|AKIA|ghp_|sk-|xox[bp]-"
+_PRIVATE = r"^(10\.|127\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)"
 _DIGITS = ("phone", "ssn", "card")
 _FIXED_LENGTH = ("phone", "ssn", "card", "ip", "secret")
 
@@ -146,7 +147,7 @@ def _surrogate(params: SurrogateParams) -> Column:
     # The exchange 555 marks a number as fictional; it stays as long as free numbers are found.
     area, line = F.substring(shaped, F.lit(1), F.lit(3)), F.substring(shaped, F.lit(7), F.lit(4))
     fictional = (kind == "phone") & canon.rlike(r"^\d{3}555\d{4}$") & (attempt < params.longer_after)
-    private = F.regexp_extract("canon", r"^(10\.|127\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)", 1)
+    private = F.regexp_extract("canon", _PRIVATE, 1)
     octets = F.concat_ws(".", (_number(F.lit(0)) % 191 + 11).cast("string"), *((_number(F.lit(k)) % 254 + 1).cast("string") for k in (1, 2, 3)))
     kept = F.size(F.split(private, r"\.")) - 1
     ip = F.when(private != "", F.concat(private, F.array_join(F.slice(F.split(octets, r"\."), kept + 1, 4 - kept), "."))).otherwise(octets)
@@ -176,7 +177,8 @@ def assign_surrogates(atoms: DataFrame, params: SurrogateParams) -> DataFrame:
     """``(kind, canon, surrogate)`` for distinct atoms: surrogates are distinct within a kind and no atoms themselves.
 
     Listed given names take names of the same list, which the corpus may hold too; all move by the same number of places, so they stay
-    distinct. Of atoms that want one surrogate, the least keeps it and the others try again.
+    distinct. Of atoms that want one surrogate, the least keeps it and the others try again. A format of fixed length may have no values left, as
+    when a corpus holds every address of 192.168; its atoms that are left then take each other's places, each the next one's.
     """
     everyone = stored(atoms.select("kind", "canon").distinct(), "atoms")
     pending, done = everyone, None
@@ -196,7 +198,43 @@ def assign_surrogates(atoms: DataFrame, params: SurrogateParams) -> DataFrame:
         pending = stored(tried.select("kind", "canon").join(won, ["kind", "canon"], "left_anti"), "atoms_pending")
         if pending.isEmpty():
             return done
-    raise ValueError(f"no free surrogates for {pending.count()} atoms, as {pending.first()['kind']}, after {params.most_attempts} attempts")
+        if attempt >= params.longer_after and won.where(F.col("kind").isin(*_FIXED_LENGTH)).isEmpty() and pending.where(~F.col("kind").isin(*_FIXED_LENGTH)).isEmpty():
+            break
+    return done.unionByName(_rotated(pending, everyone))
+
+
+def _format(kind: Column, canon: Column) -> Column:
+    """What a surrogate of fixed length keeps, so that atoms of one format can stand for each other."""
+    shape = F.regexp_replace(F.regexp_replace(canon, r"\d", "0"), "[a-z]", "a")
+    private = F.regexp_extract(canon, _PRIVATE, 1)
+    card = F.concat_ws(" ", F.length(canon).cast("string"), F.substring(canon, F.lit(1), F.lit(1)), (_luhn(canon) == 0).cast("string"))
+    form = F.when(kind == "ip", private).when(kind == "card", card).when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), F.length(canon).cast("string")).otherwise(shape)
+    return F.concat_ws(" ", kind, form)
+
+
+def _rotated(pending: DataFrame, everyone: DataFrame) -> DataFrame:
+    """Each atom gets the next one of its format, the last the first: distinct, none its own, and no surrogate given before.
+
+    Formats are rotated in rings of some 50,000 atoms. An atom alone in its ring joins the others that are alone, and one
+    that is alone in all takes the least other atom of its format.
+    """
+    marked = pending.withColumn("format", _format(F.col("kind"), F.col("canon")))
+    rings = marked.groupBy("format").agg(F.ceil(F.count("*") / 50_000).alias("rings"))
+    placed = stored(marked.join(rings, "format").withColumn("ring", F.pmod(F.xxhash64("canon"), "rings")), "atoms_of_full_formats")
+
+    def next_of(df: DataFrame) -> DataFrame:
+        ring = Window.partitionBy("format", "ring").orderBy("canon")
+        size, whole = F.count("*").over(Window.partitionBy("format", "ring")), ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        following = F.coalesce(F.lead("canon").over(ring), F.first("canon").over(whole))
+        return df.withColumn("surrogate", F.when(size > 1, following))
+
+    first = next_of(placed)
+    second = next_of(first.where("surrogate is null").drop("surrogate").withColumn("ring", F.lit(0).cast("long")))
+    alone = second.where("surrogate is null").drop("surrogate")
+    others = everyone.where(F.col("kind").isin(*_FIXED_LENGTH)).select(_format(F.col("kind"), F.col("canon")).alias("format"), F.col("canon").alias("other"))
+    taken = alone.join(others, "format").where("canon <> other").groupBy("kind", "canon").agg(F.min("other").alias("surrogate"))
+    done = first.where("surrogate is not null").unionByName(second.where("surrogate is not null"))
+    return done.select("kind", "canon", "surrogate").unionByName(taken)
 
 
 def _rendered(kind: Column, atom: Column, surrogate: Column) -> Column:

@@ -90,6 +90,48 @@ def test_many_atoms_of_a_small_domain_stay_distinct(spark):
     assert len(got) == 81 and len(set(made)) == 81 and not set(made) & {r.canon for r in got}
 
 
+def test_full_formats_exchange_their_atoms(spark):
+    """All addresses of 192.168 and all numbers of four digits: no value is free, and yet none stays or is given twice."""
+    ips = spark.range(65_536).selectExpr("'ip' as kind", "concat('192.168.', id div 256, '.', id % 256) as canon")
+    phones = spark.range(10_000).selectExpr("'phone' as kind", "lpad(id, 4, '0') as canon")
+    few = spark.createDataFrame([("ip", "10.0.0.1"), ("phone", "12345"), ("card", "4111111111111111")], "kind string, canon string")
+    atoms = ips.unionByName(phones).unionByName(few)
+    got = S.assign_surrogates(atoms, PARAMS).toPandas()
+    assert len(got) == 65_536 + 10_000 + 3 and not got.duplicated(["kind", "surrogate"]).any() and not got.duplicated(["kind", "canon"]).any()
+    assert (got.canon != got.surrogate).all() and got.surrogate.notna().all()
+    lan = got[got.canon.str.startswith("192.168.")]
+    assert set(lan.canon) == set(lan.surrogate)
+    four = got[(got.kind == "phone") & (got.canon.str.len() == 4)]
+    assert set(four.surrogate) == set(four.canon) and got[got.canon == "10.0.0.1"].surrogate.item().startswith("10.")
+
+
+def test_one_atom_left_in_a_nearly_full_format_takes_anothers_place(spark):
+    atoms = spark.createDataFrame([("phone", str(k)) for k in range(10)] + [("phone", "aa")], "kind string, canon string")
+    got = S._rotated(atoms.where("canon = '7'"), atoms).collect()
+    assert [(r.canon, r.surrogate) for r in got] == [("7", "0")]
+
+
+def test_replacement_equals_a_walk_over_the_entities(spark):
+    """The whole texts against a plain search and replace with the ``regex`` module, given what stands for each entity alone."""
+    import random
+
+    import regex
+
+    rng = random.Random(9)
+    entities = [e for found in ALTERNATIVES.values() for e in found] + ["JO.98@MAIL5.example.com", "Mrs. Mary Smith", "г-жа Мария Иванова", "10.1.2.3", "672-555-0196"]
+    fill = ["word", "a@b", "1234", "12:30", "v1.2.3", "end.", "(", "x,", "\n", "Smith"]
+    texts = [(i, " ".join(rng.choice(entities) if rng.random() < 0.3 else rng.choice(fill) for _ in range(rng.randrange(25)))) for i in range(200)]
+    find = regex.compile(S.ANY)
+    raws = sorted({m[0] for _, t in texts for m in find.finditer(t)})
+    # All raw entities with text that keeps them apart, in one table with the texts, so that the atoms are the same.
+    alone = [(1000 + k, f"| {raw} |") for k, raw in enumerate(raws)]
+    new = {r.doc_id: r.text for r in S.replace_pii(documents(spark, texts + alone), PARAMS).collect()}
+    shown = {raw: new[1000 + k][2:-2] for k, raw in enumerate(raws)}
+    assert len(shown) > 12 and all(shown[r] != r for r in raws)
+    for i, text in texts:
+        assert new[i] == find.sub(lambda m: shown[m[0]], text)
+
+
 # One text for each alternative of each pattern, without a digit where the alternative allows that.
 ALTERNATIVES = {
     "email": ["ann@mail.example.com"],
