@@ -220,6 +220,12 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, leaf: int | None = None)
     return work.groupBy("unit").applyInPandas(_join_unit(radius), "a long, b long")
 
 
+def component_roots(fps: DataFrame, radius: int = 3, leaf: int | None = None) -> DataFrame:
+    """``(fp, root)`` for every distinct fingerprint that links with another: ``root`` is one fingerprint of the component."""
+    found = stored(fingerprint_links(fps, radius, leaf), "fingerprint_links")
+    return connected_components(found).withColumnRenamed("node", "fp")
+
+
 def simhash_groups(
     docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = 3, shingle: int = 3, leaf: int | None = None
 ) -> DataFrame:
@@ -233,8 +239,7 @@ def simhash_groups(
         "fingerprints",
     )
     reps = stored(marked.groupBy("fp").agg(F.min("id").alias("rep")), "distinct_fingerprints")
-    roots = connected_components(stored(fingerprint_links(reps.select("fp"), radius, leaf), "fingerprint_links"))
-    linked_reps = reps.join(roots.withColumnRenamed("node", "fp"), "fp")
+    linked_reps = reps.join(component_roots(reps.select("fp"), radius, leaf), "fp")
     least = linked_reps.groupBy("root").agg(F.min("rep").alias("component"))
     named = linked_reps.join(least, "root").select("fp", "component")
     component = stored(
