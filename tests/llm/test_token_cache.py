@@ -47,3 +47,33 @@ def test_another_tokenizer_has_counts_of_its_own(spark, cache):
 
 def test_no_documents(spark, cache):
     assert T.count_tokens(documents(spark, []), DEFINITION, cache).count() == 0
+
+
+ODD_TEXTS = ["", " ", "<|endoftext|>", "a<|endoftext|> b<|endoftext|><|endoftext|>\n\n c", "<|endoftext", "  two  spaces\t\n", "naïve 日本語 🙂\u0301\u200d", "x" * 5000, "don't WE'LL 12345 ...!?", "\x00\x1f\x85\u2028"]
+
+
+def test_quick_counts_are_the_librarys(spark, sf_dir):
+    texts = ODD_TEXTS + [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    texts += [f"a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)}" for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000]
+    assert T.quick_counter(DEFINITION)(texts) == T.library_counter(DEFINITION)(texts)
+
+
+def test_tokenizers_built_otherwise_are_left_to_the_library(spark, cache):
+    import json
+
+    other = Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
+    spec = json.loads(DEFINITION)
+    turned = json.dumps(spec | {"model": spec["model"] | {"merges": spec["model"]["merges"][:500][::-1]}})
+    prefixed = json.dumps(spec | {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}})
+    stripped = json.dumps(spec | {"added_tokens": [t | {"lstrip": True} for t in spec["added_tokens"]]})
+    assert [T.quick_counter(d) for d in (other, turned, prefixed, stripped)] == [None] * 4
+    docs = documents(spark, list(enumerate(ODD_TEXTS)))
+    got = {r.doc_id: r.n_tokens for r in T.count_tokens(docs, stripped, cache).collect()}
+    assert [got[k] for k in range(len(ODD_TEXTS))] == T.library_counter(stripped)(ODD_TEXTS)
+
+
+def test_a_hot_text_is_dealt_out_once_a_task(spark, cache):
+    hot = documents(spark, [(i, "the same text") for i in range(5000)] + [(9000 + i, f"own {i}") for i in range(50)]).repartition(8)
+    plan = hot.select("text").dropDuplicates(["text"])._jdf.queryExecution().executedPlan().toString()
+    assert "partial_first" in plan or plan.count("HashAggregate") == 2
+    assert T.count_tokens(hot, DEFINITION, cache).count() == 5050 and spark.read.parquet(cache).count() == 51
