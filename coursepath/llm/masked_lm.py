@@ -32,6 +32,8 @@ from coursepath.llm.tables import frequent, stored, text_or_empty
 
 _REACH = 2  # words seen on each side
 _WORD = re.compile(r"[^\W_]+")
+_SCORED = 1 << 14  # positions scored at once
+_ENCODED = 256  # texts numbered at once
 _COUNTED = 1 << 18  # different words that a task counts before it passes them on
 
 
@@ -40,10 +42,10 @@ class MaskedLmParams:
     side: int | None = None  # groups, and classes of a group; by default they grow with the words of the corpus
     width: int = 16
     rounds: int = 2  # each trains on one position in so many, so that all rounds together train on every position once
-    hot: int = 1 << 18  # words whose class and share each task holds; those of the others are joined
+    hot: int = 1 << 19  # words whose class and share each task holds; those of the others are joined
     tokens_per_shard: int = 4_000_000
-    batch: int = 2_048
-    rate: float = 0.05
+    batch: int = 8_192
+    rate: float = 0.1
     seed: int = 5
 
 
@@ -92,17 +94,23 @@ class Vocabulary:
     def shared(self) -> int:
         return self.size - self.own
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, float, list[str]]:
-        """Class numbers, the sum of the held words' log-shares, and the words that aren't held."""
-        get = self.number.get
-        at = np.array([get(w, -1) for w in words], np.int64)
+    def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+        """Class numbers of all words; per text the sum of the held words' log-shares, and the words that aren't held."""
+        get, sizes = self.number.get, [len(words) for words in texts]
+        at = np.array([get(w, -1) for words in texts for w in words], np.int64)
+        owner = np.repeat(np.arange(len(texts)), sizes)
         held = at >= 0
-        classes = np.empty(len(words), np.int32)
+        classes = np.empty(len(at), np.int32)
         classes[held] = self.classes[at[held]]
-        places = np.flatnonzero(~held).tolist()
-        others = [words[k] for k in places]
-        classes[places] = [self.own + _ending(w, self.shared) for w in others]
-        return classes, float(self.log_shares[at[held]].sum()), others
+        shares = np.bincount(owner[held], self.log_shares[at[held]], len(texts))
+        others = [[w for w in words if w not in self.number] for words in texts]
+        endings: dict[str, int] = {}
+        for words in others:
+            for w in words:
+                if w[-3:] not in endings:
+                    endings[w[-3:]] = self.own + _ending(w, self.shared)
+        classes[~held] = [endings[w[-3:]] for words in others for w in words]
+        return classes, shares, others
 
 
 def _class_of(own: DataFrame, n_own: int, shared: int, words: DataFrame) -> DataFrame:
@@ -146,22 +154,25 @@ class Network:
             total += self.around[k][context[k]]
         return context, np.tanh(total, out=total)
 
-    def groups(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Each group that occurs: its number, the rows whose target is in it, and their class within it."""
-        first, second = np.divmod(target, self.side)
+    def second(self, hidden: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+        """The second step with the rows in the order of their groups: that order, the hidden rows in it, each group's bounds,
+        the logits, and the class within the group."""
+        first, place = np.divmod(target, self.side)
         order = np.argsort(first, kind="stable")
-        bounds = np.searchsorted(first[order], np.arange(self.side + 1))
-        for g in np.flatnonzero(np.diff(bounds)).tolist():
-            rows = order[bounds[g] : bounds[g + 1]]
-            yield g, rows, second[rows]
+        ends = np.searchsorted(first[order], np.arange(self.side + 1)).tolist()
+        bounds = [(g, x, y) for g, (x, y) in enumerate(zip(ends, ends[1:])) if y > x]
+        sorted_, logits = hidden[order], np.empty((len(target), self.side), np.float32)
+        for g, x, y in bounds:
+            np.matmul(sorted_[x:y], self.out2[g], out=logits[x:y])
+            logits[x:y] += self.even2[g]
+        return order, sorted_, bounds, logits, place[order]
 
     def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         _, hidden = self.hidden(ids, at)
         target = ids[at]
-        logits = hidden @ self.out1 + self.even1
-        out = _log_share(logits, target // self.side)
-        for g, rows, second in self.groups(target):
-            out[rows] += _log_share(hidden[rows] @ self.out2[g] + self.even2[g], second)
+        out = _log_share(hidden @ self.out1 + self.even1, target // self.side)
+        order, _, _, logits, place = self.second(hidden, target)
+        out[order] += _log_share(logits, place)
         return out
 
     def train(self, ids: np.ndarray, at: np.ndarray, params: MaskedLmParams) -> None:
@@ -171,40 +182,55 @@ class Network:
         for start in range(0, len(at), params.batch):
             here = at[start : start + params.batch]
             target, n = ids[here], len(here)
+            row = np.arange(n)
             context, hidden = self.hidden(ids, here)
             wrong = _softmax(hidden @ self.out1 + self.even1)
-            wrong[np.arange(n), target // self.side] -= 1
-            wrong /= n
+            wrong[row, target // self.side] -= 1
             back = wrong @ self.out1.T
+            order, sorted_, bounds, off, place = self.second(hidden, target)
+            off = _softmax(off)
+            off[row, place] -= 1
             steps = [None, None, hidden.T @ wrong, wrong.sum(0), np.zeros_like(self.out2), np.zeros_like(self.even2)]
-            for g, rows, second in self.groups(target):
-                mine = hidden[rows]
-                off = _softmax(mine @ self.out2[g] + self.even2[g])
-                off[np.arange(len(rows)), second] -= 1
-                off /= n
-                back[rows] += off @ self.out2[g].T
-                steps[4][g], steps[5][g] = mine.T @ off, off.sum(0)
+            passed = np.empty_like(sorted_)
+            for g, x, y in bounds:
+                np.matmul(off[x:y], self.out2[g].T, out=passed[x:y])
+                np.matmul(sorted_[x:y].T, off[x:y], out=steps[4][g])
+                steps[5][g] = off[x:y].sum(0)
+            back[order] += passed
             back *= 1 - hidden**2
             steps[1] = back.sum(0)
-            places = np.concatenate([c + k * padded for k, c in enumerate(context)])
-            sums = [np.bincount(places, np.tile(back[:, d], len(context)), len(context) * padded) for d in range(back.shape[1])]
-            steps[0] = np.stack(sums, 1).reshape(self.around.shape).astype(np.float32)
+            # The sum over the positions that have used an embedding, component by component.
+            places = np.concatenate([c.astype(np.int64) + k * padded for k, c in enumerate(context)])
+            sums = [np.bincount(places, np.tile(component, len(context)), len(context) * padded) for component in np.ascontiguousarray(back.T)]
+            steps[0] = np.stack(sums, 1, dtype=np.float32, casting="same_kind").reshape(self.around.shape)
             for part, step, square in zip(self.parts, steps, squares):
-                square += step * step
-                part -= params.rate * step / (np.sqrt(square) + 1e-6)
+                step /= np.float32(n)
+                scale = step * step
+                square += scale
+                np.sqrt(square, out=scale)
+                scale += np.float32(1e-6)
+                step *= np.float32(params.rate)
+                step /= scale
+                part -= step
+
+
+def _shifted(logits: np.ndarray) -> np.ndarray:
+    """Logits less a number for each row, so that no exponential overflows and no row's all underflow; in place."""
+    high = logits.max(initial=-np.inf)
+    logits -= high if high - logits.min(initial=np.inf) < 60 else logits.max(1, keepdims=True)
+    return logits
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
+    np.exp(_shifted(logits), out=logits)
+    logits /= (logits @ np.ones(logits.shape[1], np.float32))[:, None]
     return logits
 
 
 def _log_share(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
-    picked = logits[np.arange(len(logits)), chosen].astype(np.float64)
-    return picked - np.log(np.exp(logits).sum(1))
+    picked = _shifted(logits)[np.arange(len(logits)), chosen].astype(np.float64)
+    np.exp(logits, out=logits)
+    return picked - np.log(logits @ np.ones(logits.shape[1], np.float32))
 
 
 def _stream(lists: pa.ListArray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,7 +254,7 @@ class MaskedLm:
 
 def _held_words(counts: DataFrame, params: MaskedLmParams) -> tuple[int, list[tuple[str, int]]]:
     """The side of the classes for a table of words, and its most frequent words."""
-    side = params.side or max(4, ceil(sqrt(2 * isqrt(counts.count()))))
+    side = params.side or max(4, ceil(sqrt(isqrt(counts.count()))))
     held = counts.where(frequent(counts, "n", params.hot)).toPandas()
     return side, sorted(zip(held.w, held.n), key=lambda x: (-x[1], x[0]))
 
@@ -247,13 +273,14 @@ def _encoded(docs: DataFrame, sent: Broadcast, id: str, text: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sent.value.encode(words_of(t.as_py())) for t in batch.column(2)]
-            ids = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int32)
-            ends = np.concatenate([[0], np.cumsum([len(f[0]) for f in found], dtype=np.int64)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-            others = pa.array([f[2] for f in found], pa.list_(pa.string()))
-            columns = [batch.column(0), batch.column(1), lists, pa.array([f[1] for f in found], pa.float64()), others]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "ids", "log_share", "others"])
+            for x in range(0, len(batch), _ENCODED):
+                part = batch.slice(x, _ENCODED)
+                words = [words_of(t.as_py()) for t in part.column(2)]
+                ids, shares, others = sent.value.encode(words)
+                ends = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                columns = [part.column(0), part.column(1), lists, pa.array(shares, pa.float64()), pa.array(others, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "row", "ids", "log_share", "others"])
 
     read = docs.select(F.col(f"`{id}`").alias("id"), F.monotonically_increasing_id().alias("row"), text_or_empty(text).alias("text"))
     return stored(read.mapInArrow(encode, schema), "encoded")
@@ -331,7 +358,7 @@ def score_encoded(encoded: DataFrame, model: MaskedLm, id: str = "doc_id") -> Da
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at, sizes = _stream(batch.column(3), pad)
-            logs = np.concatenate([np.empty(0), *(network.log_probabilities(ids, at[x : x + 8192]) for x in range(0, len(at), 8192))])
+            logs = np.concatenate([np.empty(0), *(network.log_probabilities(ids, at[x : x + _SCORED]) for x in range(0, len(at), _SCORED))])
             sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, len(sizes)) + batch.column(2).to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sums)], ["id", "row", "n_tokens", "logs"])
 

@@ -93,7 +93,7 @@ def test_files_and_tasks_do_not_decide_the_result(spark, case):
 
 
 def test_classes_grow_with_the_words(spark):
-    for n, side in ((10, 4), (1000, 8), (40_000, 20)):
+    for n, side in ((10, 4), (1000, 6), (40_000, 15)):
         docs = documents(spark, [(1, " ".join(f"w{k}" for k in range(n)))])
         assert M.train_masked_lm(docs, M.MaskedLmParams(rounds=0))[0].vocabulary.side == side
 
