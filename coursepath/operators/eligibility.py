@@ -113,8 +113,8 @@ def _student_terms(
     """One row per student and term with the bit sets ``taken``, ``pass`` and ``level``.
 
     Everything has a fixed width, so each task combines its rows by hash before the shuffle, and a
-    student with very many rows arrives as one row per term. With ``writes``, a row follows for each target
-    of the term: ``event`` is its number (-1 on the term's own row) and ``write`` its last write. One scan gives both.
+    student with very many rows arrives as one row per term. With ``writes``, the last write of each target comes out of the same scan
+    on rows of its own, and joins its term's row as the sets ``done_now`` and ``tried_now``.
     """
     # A local relation of one row per course named in the rules: Spark knows its size and joins by it.
     rows = df.join(plan.vocabulary(df.sparkSession), "class", "left")
@@ -131,38 +131,34 @@ def _student_terms(
         *[F.when(passed, F.col(f"is_{c}")).alias(c) for c in plan.courses.columns("course")],
         *([F.col("target_no"), writes.key.alias("write")] if writes else []),
     )
-    keys, own = ["emplid", "strm"], lambda c: F.col(c)
-    if writes:
-        both = F.when(F.col("target_no").isNotNull(), F.array(F.lit(-1), "target_no")).otherwise(F.array(F.lit(-1)))
-        rows = rows.withColumn("event", F.explode(both))
-        keys, own = [*keys, "event"], lambda c: F.when(F.col("event") < 0, F.col(c))
     bits = [*plan.levels.columns("level"), *plan.targets.columns("target"), *plan.courses.columns("course")]
-    rows = rows.withColumns({c: own(c) for c in ["hours", "flag", *bits]})
-    return rows.groupBy(*keys).agg(
-        F.max("hours").alias("hours"),
-        F.max("flag").alias("flag"),
-        F.max("in_base").alias("in_base"),
-        *_any_of(plan.levels.columns("level"), plan.levels.columns("level")),
-        *_any_of(plan.targets.columns("target"), plan.targets.columns("taken")),
-        *_any_of(plan.courses.columns("course"), plan.courses.columns("pass")),
-        *([F.max(F.when(F.col("event") >= 0, F.col("write"))).alias("write")] if writes else []),
-    )
+    names = [*plan.levels.columns("level"), *plan.targets.columns("taken"), *plan.courses.columns("pass")]
+    most = [F.max(c).alias(c) for c in ("hours", "flag", "in_base")]
+    if writes is None:
+        return rows.groupBy("emplid", "strm").agg(*most, *_any_of(bits, names))
+    both = F.when(F.col("target_no").isNotNull(), F.array(F.lit(-1), "target_no")).otherwise(F.array(F.lit(-1)))
+    rows = rows.withColumn("event", F.explode(both))
+    rows = rows.withColumns({c: F.when(F.col("event") < 0, F.col(c)) for c in ["hours", "flag", *bits]})
+    last = F.max(F.when(F.col("event") >= 0, F.col("write"))).alias("write")
+    # Dealt out by student here, so that terms, windows and students need no other shuffle.
+    events = rows.groupBy("emplid", "strm", "event").agg(*most, *_any_of(bits, names), last).repartition("emplid")
+    status, masks = writes.status(F.col("write")), plan.targets.mask_at("event")
+    written = [
+        F.bit_or(F.when(status == value, F.expr(mask)).otherwise(F.lit(0).cast("long"))).alias(name)
+        for value, prefix in ((2, "done_now"), (1, "tried_now"))
+        for mask, name in zip(masks, plan.targets.columns(prefix))
+    ]
+    return events.groupBy("emplid", "strm").agg(*most, *_any_of(names, names), *written)
 
 
 def _eligible_rows(terms: DataFrame, plan: _Plan) -> DataFrame:
-    """Adds the term number and ``open``: the targets whose rule was met in an earlier term.
-
-    Rows of writes come behind their term's own row and have no bits, so they change nothing.
-    """
-    events = "event" in terms.columns
-    order = Window.partitionBy("emplid").orderBy("strm", *(["event"] if events else []))
+    """Adds the term number and ``open``: the targets whose rule was met in an earlier term."""
+    order = Window.partitionBy("emplid").orderBy("strm")
     up_to_now = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    nth = F.count(F.when(F.col("event") < 0, 1)).over(up_to_now).cast("int") if events else F.row_number().over(order)
-
     terms = terms.select(
         "*",
-        nth.alias("nth"),
+        F.row_number().over(order).alias("nth"),
         *_or_over(plan.courses.columns("pass"), up_to_now, plan.courses.columns("have")),
         *_or_over(plan.targets.columns("taken"), earlier, plan.targets.columns("gone")),
     )
@@ -214,22 +210,21 @@ def _students(terms: DataFrame, plan: _Plan, writes: _Writes | None) -> DataFram
     ]
     if writes is None:
         return terms.groupBy("emplid").agg(*state, *lanes)
-    own = F.col("event") < 0
-    terms = terms.withColumns({c: F.when(own, F.col(c)) for c in names("counted")})
-    status = writes.status(F.col("write"))
-    code = F.col("nth") * 4 + status if writes.last_wins else status
-    terms = terms.withColumn("code", F.when(~own, code))
-    per_event = terms.groupBy("emplid", "event").agg(*state, *lanes, F.max("code").alias("code"))
-    code = F.col("code") % 4 if writes.last_wins else F.col("code")
-    masks = plan.targets.mask_at("event")
+    words = list(zip(*(names(prefix) for prefix in ("done_now", "tried_now", "later", "done", "tried"))))
+    if writes.last_wins:
+        following = Window.partitionBy("emplid").orderBy("strm").rowsBetween(1, Window.unboundedFollowing)
+        later = [F.bit_or(F.col(done).bitwiseOR(F.col(tried))).over(following) for done, tried, *_ in words]
+    else:
+        later = [F.lit(0).cast("long") for _ in words]
+    zero = F.lit(0).cast("long")
+    terms = terms.select("*", *[F.coalesce(c, zero).alias(word[2]) for c, word in zip(later, words)])
     sets = [
-        F.coalesce(F.bit_or(F.when(code == value, F.expr(mask))), F.lit(0).cast("long")).alias(name)
-        for value, prefix in ((2, "done"), (1, "tried"))
-        for mask, name in zip(masks, names(prefix))
+        F.bit_or(F.col(now).bitwiseAND(F.bitwise_not(F.col(after)))).alias(out)
+        for done_now, tried_now, after, done, tried in words
+        for now, out in ((done_now, done), (tried_now, tried))
     ]
-    kept = [c for c in per_event.columns if c not in ("emplid", "event", "code", *plan.targets.lanes("lane"))]
-    merged = [F.max(c).alias(c) if c in ("in_base", "n_terms", "last_term") else F.bit_or(c).alias(c) for c in kept]
-    return per_event.groupBy("emplid").agg(*merged, *[F.max(c).alias(c) for c in plan.targets.lanes("lane")], *sets)
+    students = terms.groupBy("emplid").agg(*state, *lanes, *sets)
+    return students.withColumns({tried: F.col(tried).bitwiseAND(F.bitwise_not(F.col(done))) for *_, done, tried in words})
 
 
 def _results(students: DataFrame, plan: _Plan, base: DataFrame | None) -> DataFrame:
@@ -274,13 +269,12 @@ def _v1(df, plan, points, last_term, base, writes=None) -> DataFrame:
     terms = _student_terms(df, plan, usable, usable, "bus_maj", flag_term, base, writes)
     terms = _eligible_rows(terms, plan)
     is_last = F.col("strm") == last_term
-    own = F.col("event") < 0 if writes else F.lit(True)  # rows of writes come behind their term and would see it as an earlier one
     names = plan.targets.columns
     stops = [
-        F.when(own, F.col(opened).bitwiseAND(F.when(is_last, F.lit(everything)).otherwise(F.col(taken)))).alias(name)
+        F.col(opened).bitwiseAND(F.when(is_last, F.lit(everything)).otherwise(F.col(taken))).alias(name)
         for opened, taken, everything, name in zip(names("open"), names("taken"), plan.everything, names("stop"))
     ]
-    order = Window.partitionBy("emplid").orderBy("strm", *(["event"] if writes else []))
+    order = Window.partitionBy("emplid").orderBy("strm")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     terms = terms.select("*", *stops)
     terms = terms.select("*", *_or_over(names("stop"), earlier, names("over")))
@@ -422,16 +416,8 @@ def advance_state(
     plan = _Plan(rules)
     writes = _Writes.of(rows, mode, points, tiebreak)
     rows = rows.where(F.col("strm") == term)
-    events = _student_terms(rows, plan, not_nan(F.col(points)) > 0, F.lit(True), "bus_maj", None, rows, writes)
-    names, masks = plan.targets.columns, plan.targets.mask_at("event")
-    status, own = writes.status(F.col("write")), F.col("event") < 0
-    now = events.groupBy("emplid").agg(
-        F.max("hours").alias("hours"),
-        F.max("flag").alias("flag"),
-        *[F.bit_or(c).alias(c) for c in (*plan.levels.columns("level"), *names("taken"), *plan.courses.columns("pass"))],
-        *[F.bit_or(F.when(~own & (status == 2), F.expr(m)).otherwise(F.lit(0).cast("long"))).alias(c) for m, c in zip(masks, names("done_now"))],
-        *[F.bit_or(F.when(~own & (status == 1), F.expr(m)).otherwise(F.lit(0).cast("long"))).alias(c) for m, c in zip(masks, names("tried_now"))],
-    )
+    now = _student_terms(rows, plan, not_nan(F.col(points)) > 0, F.lit(True), "bus_maj", None, rows, writes).drop("strm", "in_base")
+    names = plan.targets.columns
     sets = [*plan.courses.columns("have"), *names("gone"), *names("opened"), *names("done"), *names("tried"), *plan.targets.lanes("lane")]
     old = state.select("emplid", F.col("n_terms").alias("old_terms"), F.col("last_term").alias("old_last"), *[F.col(c).alias(f"old_{c}") for c in sets])
     both = old.join(now.withColumn("here", F.lit(True)), "emplid", "full_outer")
