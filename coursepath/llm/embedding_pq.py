@@ -25,6 +25,7 @@ from coursepath.llm.tables import stored
 
 _ROWS = 8_192  # rows of the index or of visits that a task makes at once
 _SLACK = 1e-6  # distances are rounded; candidates get this much room
+_SQUARE_SLACK = 1e-5  # and sums of looked-up squares, which are in single precision, this much
 
 
 @dataclass(frozen=True)
@@ -100,7 +101,8 @@ class Quantiser:
         c = self.centers
         square = (c**2).sum(1) - 2 * (x @ c.T)
         gap = square - square[np.arange(len(x)), own][:, None]
-        apart = np.sqrt(np.maximum(((c**2).sum(1)[:, None] + (c**2).sum(1) - 2 * c @ c.T), 0))[own]
+        norm = (c**2).sum(1)
+        apart = np.sqrt(np.maximum(norm[own][:, None] + norm - 2 * c[own] @ c.T, 0))
         return (gap <= 2 * apart * (self.radius + _SLACK)) & (np.arange(len(c)) > own[:, None])
 
 
@@ -144,8 +146,8 @@ def _unit(q: Quantiser, similarity: float):
         norm = [np.linalg.norm(w, axis=1) for w in wide]
         ids = np.concatenate([a.c.to_numpy(), [] if same else b.c.to_numpy()]).astype(np.int64)
         size = [s.n.to_numpy() for s in (a, b)]
-        codes = np.stack([np.frombuffer(x, np.uint8) for x in a.codes])
-        reach = q.radius + a.error.to_numpy() + _SLACK
+        codes = np.stack([np.frombuffer(x, np.uint8) for x in a.codes]).T.astype(np.intp)
+        limit = ((q.radius + a.error.to_numpy() + _SLACK) ** 2 + _SQUARE_SLACK).astype(np.float32)[:, None]
         count = np.zeros(len(ids), np.int64)
         shift = 0 if same else len(a)
         center = q.centers[int(a.list.iloc[0])]
@@ -153,12 +155,13 @@ def _unit(q: Quantiser, similarity: float):
         def links() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for at in range(0, len(b), 256):
                 rest = wide[1][at : at + 256] / norm[1][at : at + 256, None] - center
-                square = np.zeros((len(rest), len(a)))
-                for k, (cut, book) in enumerate(zip(q.cuts, q.books)):
+                # Members by visitors: a code picks a whole row of its table.
+                square, picked = np.zeros((2, len(a), len(rest)), np.float32)
+                for code, cut, book in zip(codes, q.cuts, q.books):
                     part = rest[:, cut : cut + book.shape[1]]
-                    table = (part**2).sum(1)[:, None] - 2 * part @ book.T + (book**2).sum(1)
-                    square += table[:, codes[:, k]]
-                y, x = np.nonzero(np.sqrt(np.maximum(square, 0)) <= reach)
+                    table = (part**2).sum(1) - 2 * book @ part.T + (book**2).sum(1)[:, None]
+                    square += np.take(table.astype(np.float32), code, axis=0, out=picked, mode="clip")
+                x, y = np.nonzero(square <= limit)
                 y += at
                 if same:
                     x, y = x[x < y], y[x < y]
