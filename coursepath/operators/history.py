@@ -93,8 +93,11 @@ def _granted(credit: DataFrame, grades) -> DataFrame:
 
 
 def hot_students(src: dict[str, DataFrame]) -> dict[int, int]:
-    """Students with very many rows in any fact, measured in one pass over the facts' student columns."""
-    facts = [src[name].select("emplid") for name in ("enrolment", "transfer", "test_credit", "progress")]
+    """Students with very many rows in the course facts, measured in one pass over their student columns.
+
+    Progress and census have a few rows per student and term, so the course facts decide.
+    """
+    facts = [src[name].select("emplid") for name in ("enrolment", "transfer", "test_credit")]
     return hot_keys(reduce(DataFrame.unionByName, facts), "emplid")
 
 
