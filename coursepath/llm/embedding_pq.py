@@ -17,6 +17,7 @@ from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,21 +114,30 @@ def usable(vector: str) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _placed(q: Quantiser, members: bool):
-    """Rows of the index (with codes), or of the visits to other lists."""
+def _members(q: Quantiser):
+    """Rows of the index, with codes."""
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Visits multiply the rows: only so many vectors at once that few rows are in memory.
-        step = max(1, _ROWS // (1 if members else len(q.centers)))
-        for batch in (b[at : at + step] for b in batches for at in range(0, len(b), step)):
+        for batch in (b[at : at + _ROWS] for b in batches for at in range(0, len(b), _ROWS)):
             x = unit(batch.v)
             own = q.nearest(x)
-            if members:
-                codes, left = q.encode(x - q.centers[own])
-                yield pd.DataFrame({"list": own, "c": batch.c, "n": batch.n, "v": batch.v, "codes": [r.tobytes() for r in codes], "error": left})
-            else:
-                i, j = np.nonzero(q.probes(x, own))
-                yield pd.DataFrame({"list": j, "c": batch.c.to_numpy()[i], "n": batch.n.to_numpy()[i], "v": batch.v.to_numpy()[i], "codes": None, "error": 0.0})
+            codes, left = q.encode(x - q.centers[own])
+            yield pd.DataFrame({"list": own, "c": batch.c, "n": batch.n, "v": batch.v, "codes": [r.tobytes() for r in codes], "error": left})
+
+    return place
+
+
+def _visits(q: Quantiser):
+    """Rows of the visits to other lists."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Visits multiply the rows: only so many vectors at once that few rows are in memory.
+        step = max(1, 4 * _ROWS // len(q.centers))
+        for part in (b.slice(at, step) for b in batches for at in range(0, len(b), step)):
+            x = unit(part.column(2).flatten().to_numpy().reshape(len(part), -1))
+            i, j = np.nonzero(q.probes(x, q.nearest(x)))
+            rows = [pa.array(j, pa.int32()), *(part.column(k).take(pa.array(i)) for k in range(3))]
+            yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(i), pa.binary()), pa.array(np.zeros(len(i)))], ["list", "c", "n", "v", "codes", "error"])
 
     return place
 
@@ -229,8 +239,8 @@ def near_duplicates(vectors: DataFrame, params: PQParams = PQParams(), id: str =
         lists = max(1, min(params.most_lists, len(picked) // 8, n // params.vectors_per_list))
         q = Quantiser(picked, lists, params)
         schema = f"list int, c long, n long, v {part.schema['v'].dataType.simpleString()}, codes binary, error double"
-        index = stored(part.mapInPandas(_placed(q, True), schema), "index")
-        visits = stored(part.mapInPandas(_placed(q, False), schema), "visits")
+        index = stored(part.mapInPandas(_members(q), schema), "index")
+        visits = stored(part.mapInArrow(_visits(q), schema), "visits")
         found.append(stored(_units(index, visits, q, params), "vector_links"))
     links = found[0] if found else spark.createDataFrame([], "c long, links long, root long")
     for more in found[1:]:
