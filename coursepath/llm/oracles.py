@@ -121,7 +121,7 @@ qualify row_number() over (partition by doc_id, item_id order by similarity desc
 # All pairs, and all that each vector reaches.
 OP5 = """
 with recursive v as (
-    select vec_id, list_transform(embedding::double[], lambda x: x / pow(2, floor(log2(list_max(list_transform(embedding::double[], lambda y: abs(y)))))) as e
+    select vec_id, list_transform(embedding::double[], lambda x: x / pow(2, floor(log2(list_max(list_transform(embedding::double[], lambda y: abs(y))))))) as e
     from embeddings
     where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ),
