@@ -7,6 +7,7 @@ import pytest
 
 from checks.adapter import build_history, classed_history, history, sources, student_orders
 from checks.queries import QUERIES
+from coursepath.session import tune
 
 DAY = dt.datetime(1995, 3, 1)
 TABLES = {
@@ -78,3 +79,24 @@ def test_a_cohort_stores_no_history(spark, odd_dir, monkeypatch):
     monkeypatch.setattr("checks.adapter.derived_table", lambda session, name, inputs, build: stored.append(name) or build())
     QUERIES["census_cohort_group"](spark, odd_dir).collect()
     assert stored == ["orders"]
+
+
+def test_the_history_is_sorted_as_narrow_rows(spark, odd_dir, monkeypatch):
+    monkeypatch.setattr("checks.adapter.derived_table", lambda session, name, inputs, build: build())
+
+    def sorts(node) -> list[str]:
+        below = [c for i in range(node.children().size()) for c in sorts(node.children().apply(i))]
+        return below + ([node.output().mkString(" ")] if node.nodeName() == "Sort" else [])
+
+    found = sorts(classed_history(spark, odd_dir)._jdf.queryExecution().optimizedPlan())
+    assert any("l_linenumber" in x for x in found) and not any("um_clevel_descr" in x or "catalog_nbr" in x for x in found)
+
+
+@pytest.mark.parametrize("key", ["spark.sql.adaptive.advisoryPartitionSizeInBytes"])
+def test_tasks_are_small_unless_the_session_says_otherwise(spark, key):
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    assert tune(spark).conf.get(key) == "16m"
+    spark.conf.set(key, "48m")
+    assert tune(spark).conf.get(key) == "48m"
+    spark.conf.unset(key) if before is None else spark.conf.set(key, before)
