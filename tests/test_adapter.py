@@ -92,7 +92,7 @@ def test_the_history_is_sorted_as_narrow_rows(spark, odd_dir, monkeypatch):
     assert any("l_linenumber" in x for x in found) and not any("um_clevel_descr" in x or "catalog_nbr" in x for x in found)
 
 
-@pytest.mark.parametrize("key", ["spark.sql.adaptive.advisoryPartitionSizeInBytes"])
+@pytest.mark.parametrize("key", ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"])
 def test_tasks_are_small_unless_the_session_says_otherwise(spark, key):
     before = spark.conf.get(key, None)
     spark.conf.unset(key)
