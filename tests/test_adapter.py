@@ -68,7 +68,7 @@ def scans(df) -> str:
     return " ".join(re.findall(r"(orders|history)-[0-9a-f]{32}", "".join(f for f in df.inputFiles())))
 
 
-@pytest.mark.parametrize("name", ["census"])
+@pytest.mark.parametrize("name", ["census", "progress", "admissions"])
 def test_what_concerns_no_course_needs_no_history(spark, odd_dir, name):
     view = sources(spark, odd_dir)[name]
     assert "orders" in scans(view) and "history" not in scans(view)
