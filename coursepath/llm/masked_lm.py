@@ -18,6 +18,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 from math import ceil, isqrt, sqrt
 
 import numpy as np
@@ -26,12 +27,13 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from coursepath.llm.tables import frequent, stored, text_or_empty
 
 _REACH = 2  # words seen on each side
 _WORD = re.compile(r"[^\W_]+")
+_BLANKED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))  # blanks for the ASCII characters of no word
 _SCORED = 1 << 14  # positions scored at once
 _ENCODED = 256  # texts numbered at once
 _COUNTED = 1 << 18  # different words that a task counts before it passes them on
@@ -51,23 +53,25 @@ class MaskedLmParams:
 
 def words_of(text: str) -> list[str]:
     """Lower-case runs of letters and digits."""
-    return _WORD.findall(text.lower())
+    words = text.lower().encode("utf-8", "surrogatepass").translate(_BLANKED).decode("utf-8", "surrogatepass").split()
+    # Only a text with other marks than those of ASCII and blanks needs the pattern, which takes twice the time.
+    return words if "".join(words).isalnum() else _WORD.findall(" ".join(words))
 
 
 def _ending(word: str, shared: int) -> int:
     return zlib.crc32(word[-3:].encode()) % shared
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words with their numbers, added up in the task as far as memory is bounded."""
     seen: Counter[str] = Counter()
 
-    def rows() -> pd.DataFrame:
-        return pd.DataFrame({"w": list(seen.keys()), "n": list(seen.values())})
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
 
     for batch in batches:
-        for text in batch.text:
-            seen.update(words_of(text))
+        for text in batch.column(0):
+            seen.update(words_of(text.as_py()))
             if len(seen) >= _COUNTED:
                 yield rows()
                 seen.clear()
@@ -94,22 +98,28 @@ class Vocabulary:
     def shared(self) -> int:
         return self.size - self.own
 
+    @property
+    def kind(self) -> type[np.generic]:
+        """The type in which class numbers are stored: two bytes are enough for the words of nearly any corpus."""
+        return np.uint16 if self.size < 1 << 16 else np.int32
+
     def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         """Class numbers of all words; per text the sum of the held words' log-shares, and the words that aren't held."""
-        get, sizes = self.number.get, [len(words) for words in texts]
-        at = np.array([get(w, -1) for words in texts for w in words], np.int64)
+        sizes, flat = [len(words) for words in texts], list(chain.from_iterable(texts))
+        at = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
         owner = np.repeat(np.arange(len(texts)), sizes)
         held = at >= 0
         classes = np.empty(len(at), np.int32)
         classes[held] = self.classes[at[held]]
         shares = np.bincount(owner[held], self.log_shares[at[held]], len(texts))
-        others = [[w for w in words if w not in self.number] for words in texts]
+        others: list[list[str]] = [[] for _ in texts]
         endings: dict[str, int] = {}
-        for words in others:
-            for w in words:
-                if w[-3:] not in endings:
-                    endings[w[-3:]] = self.own + _ending(w, self.shared)
-        classes[~held] = [endings[w[-3:]] for words in others for w in words]
+        for k, text in zip(*(x[~held].tolist() for x in (np.arange(len(flat)), owner))):
+            w = flat[k]
+            others[text].append(w)
+            if (end := w[-3:]) not in endings:
+                endings[end] = self.own + _ending(w, self.shared)
+            classes[k] = endings[end]
         return classes, shares, others
 
 
@@ -148,20 +158,21 @@ class Network:
         return Network([x.reshape(p.shape).astype(np.float32) for x, p in zip(np.split(flat, cuts), self.parts)])
 
     def hidden(self, ids: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        context = [ids[at + k] for k in range(-_REACH, _REACH + 1) if k]
-        total = self.bias + self.around[0][context[0]]
+        context = [ids.take(at + k) for k in range(-_REACH, _REACH + 1) if k]
+        total = _rows(self.bias + self.around[0], context[0])
         for k in range(1, len(context)):
-            total += self.around[k][context[k]]
+            total += _rows(self.around[k], context[k])
         return context, np.tanh(total, out=total)
 
     def second(self, hidden: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray]:
         """The second step with the rows in the order of their groups: that order, the hidden rows in it, each group's bounds,
         the logits, and the class within the group."""
         first, place = np.divmod(target, self.side)
-        order = np.argsort(first, kind="stable")
+        # Numbers of 16 bits are sorted by their digits.
+        order = np.argsort(first.astype(np.int16) if self.side < 1 << 15 else first, kind="stable")
         ends = np.searchsorted(first[order], np.arange(self.side + 1)).tolist()
         bounds = [(g, x, y) for g, (x, y) in enumerate(zip(ends, ends[1:])) if y > x]
-        sorted_, logits = hidden[order], np.empty((len(target), self.side), np.float32)
+        sorted_, logits = _rows(hidden, order), np.empty((len(target), self.side), np.float32)
         for g, x, y in bounds:
             np.matmul(sorted_[x:y], self.out2[g], out=logits[x:y])
             logits[x:y] += self.even2[g]
@@ -170,7 +181,7 @@ class Network:
     def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         _, hidden = self.hidden(ids, at)
         target = ids[at]
-        out = _log_share(hidden @ self.out1 + self.even1, target // self.side)
+        out = _log_share(_sum(hidden @ self.out1, self.even1), target // self.side)
         order, _, _, logits, place = self.second(hidden, target)
         out[order] += _log_share(logits, place)
         return out
@@ -182,27 +193,30 @@ class Network:
         for start in range(0, len(at), params.batch):
             here = at[start : start + params.batch]
             target, n = ids[here], len(here)
-            row = np.arange(n)
+            starts, back_at = np.arange(n) * self.side, np.empty(n, np.int64)
             context, hidden = self.hidden(ids, here)
-            wrong = _softmax(hidden @ self.out1 + self.even1)
-            wrong[row, target // self.side] -= 1
+            wrong = _softmax(_sum(hidden @ self.out1, self.even1))
+            wrong.reshape(-1)[starts + target // self.side] -= 1
             back = wrong @ self.out1.T
             order, sorted_, bounds, off, place = self.second(hidden, target)
             off = _softmax(off)
-            off[row, place] -= 1
+            off.reshape(-1)[starts + place] -= 1
             steps = [None, None, hidden.T @ wrong, wrong.sum(0), np.zeros_like(self.out2), np.zeros_like(self.even2)]
             passed = np.empty_like(sorted_)
             for g, x, y in bounds:
                 np.matmul(off[x:y], self.out2[g].T, out=passed[x:y])
                 np.matmul(sorted_[x:y].T, off[x:y], out=steps[4][g])
                 steps[5][g] = off[x:y].sum(0)
-            back[order] += passed
+            back_at[order] = np.arange(n)
+            back += _rows(passed, back_at)
             back *= 1 - hidden**2
             steps[1] = back.sum(0)
             # The sum over the positions that have used an embedding, component by component.
-            places = np.concatenate([c.astype(np.int64) + k * padded for k, c in enumerate(context)])
-            sums = [np.bincount(places, np.tile(component, len(context)), len(context) * padded) for component in np.ascontiguousarray(back.T)]
-            steps[0] = np.stack(sums, 1, dtype=np.float32, casting="same_kind").reshape(self.around.shape)
+            steps[0], components = np.empty_like(self.around), np.ascontiguousarray(back.T, np.float64)
+            for k, c in enumerate(context):
+                places = c.astype(np.int64)
+                for j, component in enumerate(components):
+                    steps[0][k, :, j] = np.bincount(places, component, padded)
             for part, step, square in zip(self.parts, steps, squares):
                 step /= np.float32(n)
                 scale = step * step
@@ -214,6 +228,17 @@ class Network:
                 part -= step
 
 
+def _rows(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``table[at]`` of a table with rows in one piece, each of which is moved as a whole."""
+    whole = np.dtype((np.void, table.shape[1] * table.itemsize))
+    return table.view(whole).reshape(-1).take(at).view(table.dtype).reshape(len(at), table.shape[1])
+
+
+def _sum(logits: np.ndarray, even: np.ndarray) -> np.ndarray:
+    logits += even
+    return logits
+
+
 def _shifted(logits: np.ndarray) -> np.ndarray:
     """Logits less a number for each row, so that no exponential overflows and no row's all underflow; in place."""
     high = logits.max(initial=-np.inf)
@@ -233,10 +258,13 @@ def _log_share(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return picked - np.log(logits @ np.ones(logits.shape[1], np.float32))
 
 
-def _stream(lists: pa.ListArray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All lists one after another with pads around each; the places of the tokens, and how many each list has."""
-    values = lists.flatten().to_numpy()
-    sizes = np.diff(lists.offsets.to_numpy())
+def _stream(lists: pa.BinaryArray, pad: int, kind: type[np.generic]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All lists, each the bytes of its numbers, one after another with pads around each; the places of the tokens, and how many
+    each list has."""
+    _, bounds, data = lists.buffers()
+    ends = np.frombuffer(bounds, np.int32)[lists.offset : lists.offset + len(lists) + 1] if len(lists) else np.zeros(1, np.int32)
+    values = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]].view(kind)
+    sizes = np.diff(ends) // np.dtype(kind).itemsize
     owner = np.repeat(np.arange(len(sizes)), sizes)
     at = np.arange(len(values)) + _REACH * (owner + 1)
     ids = np.full(len(values) + _REACH * (len(sizes) + 1), pad, np.int32)
@@ -249,7 +277,7 @@ class MaskedLm:
     vocabulary: Vocabulary
     sent: Broadcast | None  # the vocabulary, for the tasks
     network: Network
-    counts: DataFrame  # all words of the corpus: w, n and class
+    counts: DataFrame  # all words of the corpus: w and n
 
 
 def _held_words(counts: DataFrame, params: MaskedLmParams) -> tuple[int, list[tuple[str, int]]]:
@@ -260,36 +288,43 @@ def _held_words(counts: DataFrame, params: MaskedLmParams) -> tuple[int, list[tu
 
 
 def _encoded(docs: DataFrame, sent: Broadcast, id: str, text: str) -> DataFrame:
-    """``(id, row, ids, log_share, others)`` for every row, stored."""
+    """``(id, row, digest, packed, log_share, others)`` for every row, stored: the class numbers are the bytes of ``packed``."""
     schema = StructType(
         [
             StructField("id", docs.schema[id].dataType),
             StructField("row", LongType()),
-            StructField("ids", ArrayType(IntegerType())),
+            StructField("ids", ArrayType(IntegerType())),  # for the digest
+            StructField("packed", BinaryType()),
             StructField("log_share", DoubleType()),
             StructField("others", ArrayType(StringType())),
         ]
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = sent.value.kind
         for batch in batches:
             for x in range(0, len(batch), _ENCODED):
                 part = batch.slice(x, _ENCODED)
                 words = [words_of(t.as_py()) for t in part.column(2)]
                 ids, shares, others = sent.value.encode(words)
-                ends = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                columns = [part.column(0), part.column(1), lists, pa.array(shares, pa.float64()), pa.array(others, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "row", "ids", "log_share", "others"])
+                ends = np.cumsum([0, *map(len, words)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))
+                data = ids.astype(kind)
+                packed = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends * np.int32(data.itemsize)), pa.py_buffer(data)])
+                columns = [part.column(0), part.column(1), lists, packed, pa.array(shares, pa.float64()), pa.array(others, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     read = docs.select(F.col(f"`{id}`").alias("id"), F.monotonically_increasing_id().alias("row"), text_or_empty(text).alias("text"))
-    return stored(read.mapInArrow(encode, schema), "encoded")
+    digest = F.xxhash64("id", "ids").alias("digest")
+    return stored(read.mapInArrow(encode, schema).select("id", "row", digest, "packed", "log_share", "others"), "encoded")
+
 
+def _round(shards: DataFrame, network: Network, vocabulary: Vocabulary, number: int, params: MaskedLmParams) -> Network:
+    pad, kind = vocabulary.size, vocabulary.kind
 
-def _round(shards: DataFrame, network: Network, pad: int, number: int, params: MaskedLmParams) -> Network:
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def trained(waiting: list) -> pa.RecordBatch:
-            ids, at, _ = _stream(pa.concat_arrays(waiting), pad)
+            ids, at, _ = _stream(pa.concat_arrays(waiting), pad, kind)
             at = at[(np.arange(len(at)) + number) % params.rounds == 0]
             mine = Network([p.copy() for p in network.parts])
             mine.train(ids, at, params)
@@ -323,15 +358,14 @@ def train_masked_lm(docs: DataFrame, params: MaskedLmParams = MaskedLmParams(),
     a number for each class.
     """
     spark = docs.sparkSession
-    words = docs.select(text_or_empty(text).alias("text")).mapInPandas(_counted, "w string, n long")
+    words = docs.select(text_or_empty(text).alias("text")).mapInArrow(_counted, "w string, n long")
     counts = stored(words.groupBy("w").agg(F.sum("n").alias("n")), "word_counts")
     side, held = _held_words(counts, params)
     n_own = min(side * side // 2, len(held))
     table = pd.DataFrame({"w": [w for w, _ in held[:n_own]], "own": range(n_own)}).astype({"w": object, "own": "int32"})
     own = spark.createDataFrame(table, "w string, own int")
-    counts = stored(_class_of(own, n_own, side * side - n_own, counts), "word_classes")
     totals = np.zeros(side * side, np.int64)
-    for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect():  # one row a class
+    for r in _class_of(own, n_own, side * side - n_own, counts).groupBy("class").agg(F.sum("n").alias("n")).collect():  # one row a class
         totals[r["class"]] = r.n
     classes = np.array([k if k < n_own else n_own + _ending(w, side * side - n_own) for k, (w, _) in enumerate(held)], np.int64)
     n = np.array([n for _, n in held], np.float64)
@@ -343,32 +377,33 @@ def train_masked_lm(docs: DataFrame, params: MaskedLmParams = MaskedLmParams(),
     network = Network.blank(vocabulary, params)
     if params.rounds:
         n_shards = max(1, int(totals.sum()) // params.tokens_per_shard)
-        digest = F.xxhash64("id", "ids")
-        marked = encoded.select(F.pmod(digest, F.lit(n_shards)).cast("int").alias("shard"), "ids", digest.alias("digest"), "id")
-        shards = marked.repartition(n_shards, "shard").sortWithinPartitions("shard", "digest", "id").select("shard", "ids")
+        marked = encoded.select(F.pmod("digest", F.lit(n_shards)).cast("int").alias("shard"), "packed", "digest", "id")
+        shards = marked.repartition(n_shards, "shard").sortWithinPartitions("shard", "digest", "id").select("shard", "packed")
         for number in range(params.rounds):
-            network = _round(shards, network, vocabulary.size, number, params)
+            network = _round(shards, network, vocabulary, number, params)
     return MaskedLm(vocabulary, sent, network, counts), encoded
 
 
 def score_encoded(encoded: DataFrame, model: MaskedLm, id: str = "doc_id") -> DataFrame:
     """``(id, n_tokens, log_likelihood, per_token)`` for every row of a table of class numbers. See ``score_documents``."""
-    network, pad = model.network, model.vocabulary.size
+    network, pad, kind = model.network, model.vocabulary.size, model.vocabulary.kind
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, at, sizes = _stream(batch.column(3), pad)
+            ids, at, sizes = _stream(batch.column(3), pad, kind)
             logs = np.concatenate([np.empty(0), *(network.log_probabilities(ids, at[x : x + _SCORED]) for x in range(0, len(at), _SCORED))])
             sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, len(sizes)) + batch.column(2).to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sums)], ["id", "row", "n_tokens", "logs"])
 
     schema = StructType([encoded.schema["id"], encoded.schema["row"], StructField("n_tokens", LongType()), StructField("logs", DoubleType())])
-    scored = encoded.select("id", "row", "log_share", "ids").mapInArrow(score, schema)
+    scored = encoded.select("id", "row", "log_share", "packed").mapInArrow(score, schema)
     # One row for each class.
     totals = pd.DataFrame({"class": np.arange(pad, dtype=np.int32), "total": model.vocabulary.totals + 1.0})
     ending = model.vocabulary.own + F.crc32(F.expr("right(w, 3)")) % model.vocabulary.shared
-    others = encoded.where("size(others) > 0").select("row", F.explode("others").alias("w")).join(model.counts, "w", "left")
-    others = others.withColumn("class", F.coalesce("class", ending.cast("int"))).join(F.broadcast(encoded.sparkSession.createDataFrame(totals)), "class")
+    # Words with a class of their own are all held. Words that occur once need no look-up: a word that isn't found counts as one.
+    repeated = model.counts.where("n > 1")
+    others = encoded.where("size(others) > 0").select("row", F.explode("others").alias("w")).join(repeated, "w", "left")
+    others = others.withColumn("class", ending.cast("int")).join(F.broadcast(encoded.sparkSession.createDataFrame(totals)), "class")
     shares = others.groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(1)) / F.col("total"))).alias("shares"))
     n, sums = F.col("n_tokens"), F.col("logs") + F.coalesce("shares", F.lit(0.0))
     return scored.join(shares, "row", "left").select(F.col("id").alias(id), n, sums.alias("log_likelihood"), F.when(n > 0, sums / n).alias("per_token"))

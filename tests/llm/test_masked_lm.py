@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from coursepath.llm import masked_lm as M
@@ -121,3 +122,70 @@ def test_rare_words_keep_their_own_probability(spark, hot):
     got = {r.doc_id: r.log_likelihood for r in M.score_documents(documents(spark, ask), model).collect()}
     log = lambda *n: sum(np.log(k / 13) for k in n)
     assert got == pytest.approx({1: log(3), 2: log(1), 3: log(1, 1), 4: log(6), 5: log(3, 2)}, abs=1e-5)
+
+
+def test_words_are_those_of_the_pattern():
+    everything = "".join(map(chr, range(0x110000)))
+    odd = ["".join(f"{c}a" for c in everything), "ΑΣ. ΑΣ İx", "naïve «été»—42 a_b\u00a0c\u2003d\x1ce\x00f", "", " _ ", "\ud800x", "日本 語。"]
+    for text in [everything, *odd]:
+        assert M.words_of(text) == re.findall(r"[^\W_]+", text.lower())
+
+
+def test_only_texts_with_marks_beyond_ascii_need_the_pattern(monkeypatch):
+    class Refused:
+        def findall(self, text):
+            raise AssertionError(text)
+
+    monkeypatch.setattr(M, "_WORD", Refused())
+    assert M.words_of("Ça, c'est l'été: A_1\tÖl.\n") == ["ça", "c", "est", "l", "été", "a", "1", "öl"]
+    with pytest.raises(AssertionError):
+        M.words_of("«x»")
+
+
+def test_each_word_is_looked_up_once():
+    class Counted(dict):
+        seen = 0
+
+        def get(self, *key):
+            self.seen += 1
+            return super().get(*key)
+
+        def __contains__(self, key):
+            self.seen += 1
+            return super().__contains__(key)
+
+    number = Counted(a=0, bees=1)
+    vocabulary = M.Vocabulary(2, 1, number, np.array([0, 3]), np.array([0.0, -1.5]), np.zeros(4, np.int64))
+    texts = [["a", "bees", "xing", "a"], [], ["xing", "bees", "ying"]]
+    classes, shares, others = vocabulary.encode(texts)
+    ending = {w: 1 + M._ending(w, 3) for w in ("xing", "ying")}
+    assert classes.tolist() == [0, 3, ending["xing"], 0, ending["xing"], 3, ending["ying"]]
+    assert shares.tolist() == [-1.5, 0, -1.5] and others == [["xing"], [], ["xing", "ying"]]
+    assert number.seen == 7
+
+
+def test_a_class_number_is_stored_in_two_bytes_and_words_in_one_table(spark, monkeypatch):
+    names, stored = [], M.stored
+    monkeypatch.setattr(M, "stored", lambda df, name: names.append(name) or stored(df, name))
+    texts = [(1, "a b c b"), (2, ""), (3, None), (4, "c d")]
+    model, encoded = M.train_masked_lm(documents(spark, texts), SMALL)
+    assert names == ["word_counts", "encoded"]
+    got = {r.id: np.frombuffer(r.packed, np.uint16).tolist() for r in encoded.collect()}
+    of = lambda w: int(model.vocabulary.classes[model.vocabulary.number[w]])
+    assert got == {k: [of(w) for w in (t or "").split()] for k, t in texts}
+
+
+@pytest.mark.parametrize("kind", [np.uint16, np.int32])
+def test_lists_of_numbers_survive_their_bytes(kind):
+    lists = [[1, 2], [], [65_535], [7, 8, 9], []]
+    packed = pa.array([np.array(x, kind).tobytes() for x in lists], pa.binary())
+    for x in range(len(lists) + 1):
+        for y in range(x, len(lists) + 1):
+            ids, at, sizes = M._stream(packed.slice(x, y - x), 70_000, kind)
+            assert sizes.tolist() == [len(v) for v in lists[x:y]] and ids[at].tolist() == sum(lists[x:y], [])
+            assert len(ids) == sum(map(len, lists[x:y])) + 2 * (y - x + 1) and (np.delete(ids, at) == 70_000).all()
+
+
+def test_large_vocabularies_have_wider_numbers():
+    of = lambda side: M.Vocabulary(side, 0, {}, np.empty(0), np.empty(0), np.empty(0)).kind
+    assert (of(255), of(256)) == (np.uint16, np.int32)
